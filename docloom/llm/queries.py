@@ -1,8 +1,10 @@
 """The queries of this subpackage, by the name under which they are registered, and their SQL where there is one."""
 
-from . import mixing, quality_rules, simhash
+from . import fingerprints, language_id, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op3_fingerprints": fingerprints.query,
+    "op9_language_id": language_id.query,
     "op5_mixing": mixing.query,
     "op8_simhash": simhash.query,
     "op10_quality_rules": quality_rules.query,
