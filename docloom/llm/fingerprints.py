@@ -114,7 +114,7 @@ def _compare(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Fingerprints of all texts and of their edited texts, in one shuffle of the texts.
+    """Fingerprints of all texts and of their edited texts, in one shuffle of the texts and one of the fingerprints.
 
     The next document is that of the next smaller id; rows of one id go by text, null ids come last, and the last
     row's next is the first. Ids are cut into slices at some of the ids; the document that heads a slice is also sent
@@ -141,11 +141,12 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     placed = placed.select("doc_id", "text", (F.col("at") < 0).alias("guest"), F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("slice"))
     order = Window.partitionBy("slice").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    out = placed.withColumn("next", F.lead("text").over(order)).withColumn("n_chars", F.length("text").cast("long"))
+    out = placed.withColumn("next", F.lead("text").over(order)).withColumn("row", F.row_number().over(order)).withColumn("n_chars", F.length("text").cast("long"))
     out = out.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.coalesce(F.substring(F.col("next"), F.lit(1), half), F.lit(""))))
-    out = out.withColumn("signed", sign("text", "edited")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    out = out.withColumn("next_fingerprint", F.lead("signed.fingerprint").over(order)).where(~F.col("guest"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "signed.fingerprint", "signed.edited_fingerprint", "signed.near_edited", compare("signed.fingerprint", "next_fingerprint").alias("near_next"))
+    out = out.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).withColumn("signed", sign("text", "edited"))
+    out = out.select("doc_id", "guest", "slice", "row", "n_chars", "edited_sha256", "signed.*")  # no text goes further
+    out = out.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("slice").orderBy("row"))).where(~F.col("guest"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", compare("fingerprint", "next_fingerprint").alias("near_next"))
 
 
 def query(spark, sf_dir):
