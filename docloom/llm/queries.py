@@ -1,8 +1,9 @@
 """The queries of this subpackage, by the name under which they are registered, and their SQL where there is one."""
 
-from . import fingerprints, language_id, mixing, pii, quality_rules, simhash
+from . import fingerprints, language_id, mixing, pii, quality_rules, sentencepiece_nbest, simhash
 
 QUERIES = {
+    "op6_sentencepiece": sentencepiece_nbest.query,
     "op4_pii": pii.query,
     "op3_fingerprints": fingerprints.query,
     "op9_language_id": language_id.query,
