@@ -1,8 +1,9 @@
 """The queries of this subpackage, by the name under which they are registered, and their SQL where there is one."""
 
-from . import fingerprints, html_extract, language_id, mixing, pii, quality_classifier, quality_rules, sentencepiece_nbest, simhash
+from . import fingerprints, html_extract, language_id, mixing, pii, quality_classifier, quality_rules, sentencepiece_nbest, simhash, suffix_dedup
 
 QUERIES = {
+    "op7_suffix_dedup": suffix_dedup.query,
     "op1_html_extraction": html_extract.query,
     "op2_quality_classifier": quality_classifier.query,
     "op6_sentencepiece": sentencepiece_nbest.query,
