@@ -1,6 +1,7 @@
 """What the query modules share."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -8,6 +9,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Line numbers repeat within an order, so lines get a position of their own; the SQL of lines().
+LINES = "(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos from lineitem)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with pos, the position of a line in its order, from 1."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w).cast("long"))
+
+
 class Registry:
     """Queries by name with their SQL; `@registry(name, sql)` adds a function of (spark, sf_dir)."""
 
