@@ -145,9 +145,8 @@ def take(docs: DataFrame, text: str = "text", source: str = "source", id_column:
     joined = plain.withColumn("__n", size).join(p, F.col(key[id_column]).eqNullSafe(F.col("__id")) & F.col(key[source]).eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
     copies = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("__n"))), lambda i: F.least(F.col("__n"), F.col("taken") - i * F.col("__n"))))
     joined = joined.select(*names, "__n", copies.alias("__take"))
-    head = F.regexp_extract(F.col(key[text]), r"^", 0)
     words = F.regexp_extract_all(F.col(key[text]), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.concat(head, F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), ""))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), "")
     body = F.when(F.col("__take") < F.col("__n"), cut).otherwise(F.col(key[text])).alias(key[text])
     return joined.select(*(body if x == key[text] else F.col(x) for x in names)).toDF(*docs.columns)
 
