@@ -9,7 +9,7 @@ is one row (about one per 185 bytes), with a hash of all the bytes that the run
 
 1. Runs with the same anchor and the same bytes: all their windows are repeats (copies, the inside of long matches).
 2. Anchors that remain in two or more different runs mark the ends of matches. One context of each such run is sent to
-   its anchor's group. Groups are packed into batches; over a batch's text a suffix order is built by prefix doubling,
+   its anchor's group, unless the bytes that its windows share (by ranges of offsets) are found in no other. Groups are packed into batches; over a batch's text a suffix order is built by prefix doubling,
    its Burrows-Wheeler transform is cut into runs, and the length of the match with the preceding suffix is taken
    directly only at the starts of runs: elsewhere it is one less than that of the text position before. Streaming over
    the text gives matching statistics, and a window is a repeat where they reach WIDTH.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,15 @@ from .common import mix64, text_of, utf8, written
 WIDTH = 400
 GRAM = 32
 SECTION = 1 << 20
+#: Bytes of the first key of a suffix.
+PACK = 7
 #: Bytes of contexts of a group that one task may index, and of a batch.
 GROUP_BYTES = 1 << 20
 BATCH_BYTES = 1 << 21
 #: Offsets in a range, by level; the first is all there are.
 RANGES = (WIDTH, 46, 6, 1)
+#: Offsets in a range of the filter before the index.
+COARSE = 62
 _BASE = 0xD6E8FEB86659FD93
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
@@ -95,49 +100,67 @@ def runs(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         yield first, a, b, place, gram[place], whole
 
 
+def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys and their ranks, equal keys with equal ranks."""
+    order = np.argsort(key)
+    ordered = key[order]
+    step = np.zeros(len(key), np.int64)
+    np.cumsum(ordered[1:] != ordered[:-1], out=step[1:])
+    rank = np.empty(len(key), np.int64)
+    rank[order] = step
+    return order, rank
+
+
 def repeats(contexts: list[bytes]) -> list[np.ndarray]:
     """For each context, for each of its windows, whether the window's bytes start elsewhere in any of the contexts.
 
     The run-length index: see the module's text. Separators sort by context and are all different.
     """
     sizes = np.array([len(c) for c in contexts])
-    text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + len(contexts)
+    text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
-    text[ends] = np.arange(len(contexts))
+    text[ends] = 0
     n = len(text)
-    # Suffix order by prefix doubling; the ranks of each length stay, to compare suffixes with.
-    rank = np.unique(text, return_inverse=True)[1]
-    ranks, h = [rank], 1
-    while True:
+    own = np.repeat(np.arange(len(contexts)), sizes + 1)
+    # Suffix order by prefix doubling, from PACK bytes on; the ranks of each length stay, to compare suffixes with.
+    at = np.arange(n)
+    gap = ends[own] - at  # bytes before the separator
+    key = np.zeros(n, np.int64)
+    for i in range(PACK):
+        key = key * 257
+        inside = gap > i
+        key[inside] += text[at[inside] + i]
+    rank = _dense(key)[1]
+    order, rank = _dense(rank * (len(contexts) + 1) + np.where(gap < PACK, own + 1, 0))
+    ranks, h = [rank], PACK
+    while int(rank[order[-1]]) < n - 1:
         key = rank * (n + 1)
         key[:-h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        step = np.empty(n, np.int64)
-        step[0] = 0
-        np.cumsum(key[order][1:] != key[order][:-1], out=step[1:])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
+        order, rank = _dense(key)
         h *= 2
-        if step[-1] == n - 1:
-            break
         ranks.append(rank)
     # Runs of the transform: a suffix at the start of a run is sampled, the others follow from the text before them.
     last = text[order - 1]
     sampled = np.ones(n, bool)
-    sampled[1:] = (last[1:] != last[:-1]) | (last[1:] < len(contexts))
+    sampled[1:] = (last[1:] != last[:-1]) | (last[1:] == 0)
     heads = np.flatnonzero(sampled)
     heads = heads[heads > 0]
     x, y = order[heads], order[heads - 1]
     match = np.zeros(len(heads), np.int64)
     for level in range(len(ranks) - 1, -1, -1):
-        inside = (x + match < n) & (y + match < n)
-        same = np.zeros(len(heads), bool)
-        same[inside] = ranks[level][(x + match)[inside]] == ranks[level][(y + match)[inside]]
-        match[same] += 1 << level
+        size = PACK << level
+        inside = np.flatnonzero((x + match < n) & (y + match < n))
+        same = inside[ranks[level][(x + match)[inside]] == ranks[level][(y + match)[inside]]]
+        match[same] += size
+    for _ in range(PACK - 1):  # what is left is shorter than PACK
+        inside = np.flatnonzero((x + match < n) & (y + match < n))
+        same = inside[(text[(x + match)[inside]] == text[(y + match)[inside]]) & (text[(x + match)[inside]] > 0)]
+        if not len(same):
+            break
+        match[same] += 1
     known = np.full(n, -1, np.int64)
     known[order[0]] = 0
     known[x] = match
-    at = np.arange(n)
     source = np.maximum.accumulate(np.where(known >= 0, at, 0))
     before = np.maximum(known[source] - (at - source), 0)  # match with the preceding suffix, by text position
     # A suffix matches the one that follows it as that one matches it.
@@ -174,17 +197,37 @@ def anchored(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(cut, f"{_ID}, anchor long, whole long, a long, b long, place long")
 
 
+def cores(context: bytes, off: int) -> list[int]:
+    """For each range of COARSE offsets that has windows in the context, a hash of the bytes that all its windows share."""
+    out = []
+    for q in range((off - (len(context) - WIDTH)) // COARSE, off // COARSE + 1):
+        core = context[off - q * COARSE : off - q * COARSE - COARSE + 1 + WIDTH]
+        out.append(xxhash.xxh64_intdigest(core, q) - (1 << 63))
+    return out
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """The contexts that share the core of some range with another one: no window of the rest is a repeat."""
+    core = rows.select("key", F.explode("cores").alias("core"), "doc_id", "h", "start")
+    twice = core.groupBy("key", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "core")
+    some = core.join(twice, ["key", "core"]).select("h", "start", "key", F.col("doc_id").alias("__id")).distinct()
+    return rows.join(some, ["h", "start", "key"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id", "cores")
+
+
 def contexts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The bytes that the chosen run of each class spans: key, offset of the first window before the anchor, bytes."""
     wanted = classes.groupBy("rep.doc_id", "rep.h").agg(F.collect_list(F.struct("anchor", "single", "rep.a", "rep.b", "rep.place")).alias("runs"))
     joined = docs.join(wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("h", "__h"), (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
 
-    @F.pandas_udf("array<struct<key: long, single: boolean, off: long, start: long, context: binary>>")
+    @F.pandas_udf("array<struct<key: long, single: boolean, off: long, start: long, context: binary, cores: array<long>>>")
     def slices(texts: pd.Series, rows: pd.Series) -> pd.Series:
         out = []
         for text, found in zip(texts, rows):
-            data = utf8(text)
-            out.append([{"key": r["anchor"], "single": r["single"], "off": r["place"] - r["a"], "start": r["a"], "context": data[r["a"] : r["b"] + WIDTH]} for r in found])
+            data, mine = utf8(text), []
+            for r in found:
+                c, off = data[r["a"] : r["b"] + WIDTH], r["place"] - r["a"]
+                mine.append({"key": r["anchor"], "single": r["single"], "off": off, "start": r["a"], "context": c, "cores": cores(c, off)})
+            out.append(mine)
         return pd.Series(out)
 
     return joined.select("doc_id", "h", F.explode(slices("text", "runs")).alias("c")).select("doc_id", "h", "c.*")
@@ -282,7 +325,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     shared = written(classes.join(anchors, "anchor"))
     equal = rows.join(shared.where("c > 1").select("anchor", "whole"), ["anchor", "whole"]).select("doc_id", "h", "a", "b")
     mixed = shared.where("k > 1").select("anchor", (F.col("c") == 1).alias("single"), "rep")
-    return equal.union(settled(written(contexts(docs, mixed)), 0))
+    return equal.union(settled(written(paired(written(contexts(docs, mixed)))), 0))
 
 
 def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> tuple[DataFrame, str, str]:
