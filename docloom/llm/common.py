@@ -39,6 +39,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that a Python worker gets at a time, unless the session sets its own number.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding Arrow batches of texts: Spark's own 10,000 rows of long texts would be held several times over."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that does not clash (case-insensitively) with those given."""
     taken = {c.lower() for c in columns}

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_terms, mix64, text_of, utf8, word_spans
+from .common import hash_terms, mix64, small_batches, text_of, utf8, word_spans
 
 SLOTS = 64
 WIDTH = 5
@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     to the slice before, so that a window within each slice sees every next text. Null texts are empty. An empty table
     gives an empty result; a single row is its own next. Extra columns are dropped.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     d = docs.select(F.col(id_column).alias("doc_id"), text_of(text).alias("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = d.agg(F.percentile_approx("doc_id", F.array(*(F.lit((i + 1) / n) for i in range(n))), F.lit(10 * n)), F.max("doc_id")).first()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, small_batches
 
 #: Weight of the content's entropy; the presentation's has the rest.
 GAMMA = 0.9
@@ -221,7 +221,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     Null and empty pages have an empty text. Null ids and urls stay (the host is then empty). Repeated rows stay.
     Extra columns are dropped. The table of branches to cut has a row for each host that has any.
     """
-    p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
+    p = small_batches(pages).select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     low = style_tree(p).where(~F.col("decided") & (F.col("importance") < CUT))
     cuts = low.groupBy("host").agg(F.collect_set("path").alias("cuts"))
     own = fresh(p.columns, "page_host")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 
 HIDDEN = 10
 WINDOW = 96
@@ -195,7 +195,7 @@ def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", id_colu
     without a letter are `und` with score 0, and so is everything if there is nothing to learn from. Extra columns
     are dropped.
     """
-    d = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    d = small_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     fold = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % folds
     d = d.withColumn("held_out", fold == held_out)
     langs, net = fit(d.where(~F.col("held_out")))

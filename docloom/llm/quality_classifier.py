@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_terms, utf8, word_spans, written
+from .common import hash_terms, small_batches, utf8, word_spans, written
 from .quality_rules import features
 
 SAMPLE = 4000
@@ -79,7 +79,7 @@ def classify(docs: DataFrame, labels: DataFrame, host, path, text: str = "text",
     Null texts are empty. A null host or path is a group of its own. Without labels every probability is 0.5 and all
     are kept. Repeated rows stay; extra columns are dropped. An empty table gives an empty result.
     """
-    d = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.coalesce(host, F.lit("\0")).alias("host"), F.coalesce(path, F.lit("\0")).alias("path"))
+    d = small_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.coalesce(host, F.lit("\0")).alias("host"), F.coalesce(path, F.lit("\0")).alias("path"))
     weights = fit(d, labels)
 
     @F.pandas_udf("double")

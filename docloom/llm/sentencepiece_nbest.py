@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -41,11 +41,11 @@ _BASE, _SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 17
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 #: Words kept per worker, those kept with their N best paths, and the longest word of the batched pass.
-CACHE = 200_000
-SEARCHED = 20_000
+CACHE = 120_000
+SEARCHED = 10_000
 LONGEST = 40
 #: Texts whose new words are looked up together hold about so many characters.
-GROUP = 2_000_000
+GROUP = 1_000_000
 
 
 class Model:
@@ -384,7 +384,7 @@ def digests(docs: DataFrame, text: str = "text", model: str = MODEL, n_best: int
                     rows.append((len(raw[0]) // 4, paths[0][0], [s for s, _ in paths], sha(raw[0]), sha(b"|".join(raw)), sha(back.encode("utf-8", "surrogatepass")), back == t))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in kind.split(", ")])
 
-    return docs.withColumn(at, run(F.col(text))), at
+    return small_batches(docs).withColumn(at, run(F.col(text))), at
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
@@ -408,7 +408,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
                 done += len(group)
                 yield pa.RecordBatch.from_arrays([ids if i == k else c for i, c in enumerate(part.columns)], [at if i == k else n for i, n in enumerate(part.schema.names)])
 
-    return docs.mapInArrow(run, kind)
+    return small_batches(docs).mapInArrow(run, kind)
 
 
 def decode(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> tuple[DataFrame, str]:

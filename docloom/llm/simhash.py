@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, utf8, written
+from .common import connected_components, small_batches, utf8, written
 
 RADIUS = 2
 SEED = 42
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3):
         for texts in batches:
             yield pd.Series(np.array([fingerprint(x, width) for x in texts], np.uint64).astype(np.int64))
 
+    small_batches(docs)
     return measure(F.col(text))
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_of, utf8, written
+from .common import mix64, small_batches, text_of, utf8, written
 
 WIDTH = 400
 GRAM = 32
@@ -334,7 +334,7 @@ def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> tup
     Null texts are empty; texts of fewer than WIDTH bytes hold no repeat. A repeated row is a repeat of itself. Null
     ids are allowed. Extra columns are dropped. An empty table gives an empty result.
     """
-    d = docs.select(F.col(id_column).alias("doc_id"), text_of(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    d = small_batches(docs).select(F.col(id_column).alias("doc_id"), text_of(text).alias("text")).withColumn("h", F.xxhash64("text"))
     found = repeated(d).distinct()
     lists = written(found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("windows")))
     lists = lists.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "windows")
