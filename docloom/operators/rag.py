@@ -72,9 +72,9 @@ def hierarchy(entries: DataFrame, doc: str, order: str, level: str, title: str,
     done = heads.where("parent is null").select(doc, "head", F.array("number").alias("numbers"), F.array("head_title").alias("titles"))
     everything, last = done, done
     for _ in range(depth - 1):
-        p = last.select(F.col(doc).alias("d"), F.col("head").alias("p"), F.col("numbers").alias("pn"), F.col("titles").alias("pt"))
-        j = heads.join(p, (F.col(doc) == F.col("d")) & (F.col("parent") == F.col("p")))
-        last = j.select(doc, "head", F.concat("pn", F.array("number")).alias("numbers"), F.concat("pt", F.array("head_title")).alias("titles"))
+        up = last.select(F.col(doc).alias("__doc"), F.col("head").alias("__up"), F.col("numbers").alias("__n"), F.col("titles").alias("__t"))
+        j = heads.join(up, (F.col(doc) == F.col("__doc")) & (F.col("parent") == F.col("__up")))
+        last = j.select(doc, "head", F.concat("__n", F.array("number")).alias("numbers"), F.concat("__t", F.array("head_title")).alias("titles"))
         everything = everything.union(last)
     current = F.when(F.col(level).isNotNull(), F.col(order)).otherwise(F.max(F.when(F.col(level).isNotNull(), F.col(order))).over(before(w)))
     placed = entries.withColumn("head", current)
@@ -190,13 +190,14 @@ def shift(entries: DataFrame, targets: DataFrame, doc: str, order: str, level: s
     """
     w = ordered([doc], [order])
     last = F.last(level, ignorenulls=True).over(before(w))
-    e = entries.withColumn("prev", F.coalesce(last, F.lit(0))).join(targets, doc, "left")
-    here = e.where(F.col(order) == F.col("target")).select(F.col(doc).alias("d"), F.col(level).alias("old"), F.when(F.col("delta") > 0, F.least(F.col(level) + 1, F.col("prev") + 1)).otherwise(F.greatest(F.col(level) - 1, F.lit(1))).alias("new"))
-    e = e.join(here, F.col(doc) == F.col("d"), "left")
-    stop = F.min(F.when((F.col(order) > F.col("target")) & (F.col(level) <= F.col("old")), F.col(order))).over(Window.partitionBy(doc))
-    inside = (F.col(order) >= F.col("target")) & (F.col(order) < F.coalesce(stop, F.lit(2**62)))
-    moved = F.when(inside & F.col(level).isNotNull(), F.col(level) + F.col("new") - F.col("old")).otherwise(F.col(level))
-    return e.withColumn("new_level", moved).drop("d", "prev", "old", "new", "target", "delta")
+    e = entries.withColumn("__prev", F.coalesce(last, F.lit(0))).join(targets.select(F.col(doc), F.col("target").alias("__at"), F.col("delta").alias("__by")), doc, "left")
+    new = F.when(F.col("__by") > 0, F.least(F.col(level) + 1, F.col("__prev") + 1)).otherwise(F.greatest(F.col(level) - 1, F.lit(1)))
+    here = e.where(F.col(order) == F.col("__at")).select(F.col(doc).alias("__doc"), F.col(level).alias("__old"), new.alias("__new"))
+    e = e.join(here, F.col(doc) == F.col("__doc"), "left")
+    stop = F.min(F.when((F.col(order) > F.col("__at")) & (F.col(level) <= F.col("__old")), F.col(order))).over(Window.partitionBy(doc))
+    inside = (F.col(order) >= F.col("__at")) & (F.col(order) < F.coalesce(stop, F.lit(2**62)))
+    moved = F.when(inside & F.col(level).isNotNull(), F.col(level) + F.col("__new") - F.col("__old")).otherwise(F.col(level))
+    return e.withColumn("new_level", moved).drop("__doc", "__prev", "__old", "__new", "__at", "__by")
 
 
 def under_path(entries: DataFrame, doc: str, order: str, level: str, titles: str, want: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import sections, spans
+from ..operators import render, sections, spans
 from .base import LINES, Registry, lines, table
 
 query = Registry()
@@ -78,3 +78,15 @@ def fill_down(spark, sf_dir):
     """Returned lines carry their id down as far as their span."""
     c = lines(spark, sf_dir).select("l_orderkey", "pos", F.lit(1).alias("c"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("CL"), F.col("pos").cast("string"))).alias("v"), (F.col("l_quantity").cast("int") % 3 + 1).alias("s"))
     return sections.fill_down(c, ["l_orderkey"], "pos", "c", "v", "s").select("l_orderkey", "pos", "filled", F.col("run").cast("long").alias("run"))
+
+
+@query(
+    "rnd_matrix",
+    """select n_regionkey, '<table><tr><th>name</th><th>key</th></tr>' || string_agg('<tr><td class="text-ltr">' || n_name || '</td><td class="text-ltr" style="background:#00000' || (n_nationkey % 10) || ';color:#ffffff">' || n_nationkey || '</td></tr>', '' order by n_nationkey) || '</table>' as html
+    from nation group by n_regionkey""",
+)
+def matrix(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    row = F.array("n_name", F.concat(F.col("n_nationkey").cast("string"), F.lit(" [#00000"), (F.col("n_nationkey") % 10).cast("string"), F.lit("]")))
+    g = n.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    return g.select("n_regionkey", render.matrix(F.array(F.lit("name"), F.lit("key")), F.col("rows")).alias("html"))
