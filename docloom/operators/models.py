@@ -7,7 +7,7 @@ so they are dealt out to workers and each is worked through in one of them. Retr
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -109,3 +109,22 @@ def label_documents(chunks: DataFrame, client: ModelClient, attempts: int = 6, d
 
     types = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
     return chunks.groupBy(doc).applyInPandas(run, f"{doc} {types[doc]}, {order} {types[order]}, labels array<string>, retries int, error string")
+
+
+def answer(prompts: DataFrame, client: ModelClient, check: Callable[[str], object], attempts: int = 6, key: str = "id", system: str = "system", user: str = "user") -> DataFrame:
+    """(key, answer, attempts, error): each prompt asked by itself; the answer is null after the last failed attempt.
+
+    check raises ValueError for an answer that does not hold. What to use instead of a null answer is the caller's
+    to say, by a coalesce with its own fallback.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, s, u in zip(f[key], f[system], f[user]):
+                got, failed = ask(client, [{"role": "system", "content": s}, {"role": "user", "content": u}], check, attempts)
+                out.append((k, None if got is None else json.dumps(got, ensure_ascii=False), len(failed) + (got is not None), failed[-1][1] if got is None and failed else None))
+            yield pd.DataFrame(out, columns=[key, "answer", "attempts", "error"])
+
+    kind = prompts.schema[key].dataType.simpleString()
+    return prompts.select(key, system, user).mapInPandas(run, f"{key} {kind}, answer string, attempts int, error string")

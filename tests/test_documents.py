@@ -197,3 +197,73 @@ def test_plans(spark, data):
     assert "TakeOrderedAndProject" in top and "PushedFilters: [In(label" in top
     d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", rag.segments(F.col("text"), r"\n+").alias("s"))
     assert "Exchange" not in plan(rag.split(d, "doc_id", "s")).split("== Physical Plan ==")[1]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from docloom.operators import catalog
+    from docloom.sources import files
+
+    root = tmp_path / "docs"
+    for doc, names in (("a", ("other.docx", "source.docx")), ("b", ("z.docx", "y.docx"))):
+        (root / doc).mkdir(parents=True)
+        for n in names:
+            (root / doc / n).write_bytes(docx(p("x")))
+    found = ooxml.files(spark, str(root)).select("doc_id", F.substring_index("path", "/", -1).alias("n"))
+    assert sorted(map(tuple, found.collect())) == [("a", "source.docx"), ("b", "y.docx")]
+    assert [r.doc_id for r in files.missing(spark.createDataFrame([("a",), ("c",)], "doc_id string"), found).collect()] == ["c"]
+    for n, t in (("0001_text.txt", "two"), ("0000_table.txt", "one"), ("0000_table_nested_0001.txt", "no")):
+        (root / "a" / n).write_text(t)
+    assert [(r.file_name, r.chunk_index) for r in files.text_chunks(spark, str(root)).orderBy("chunk_index").collect()] == [("0000_table.txt", 0), ("0001_text.txt", 1)]
+    chunks = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], "doc_id string, chunk_index int, content string")
+    files.write_chunks(chunks, str(tmp_path / "c"))
+    files.write_chunks(chunks.where("doc_id = 'a'").withColumn("content", F.lit("new")), str(tmp_path / "c"))
+    assert sorted((r.doc_id, r.content) for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [("a", "new"), ("b", "y")]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "good.json").write_text('{"a": 1}')
+    assert files.json_objects(spark, str(tmp_path / "j")).select(F.expr("variant_get(value, '$.a', 'int')")).first()[0] == 1
+    (tmp_path / "j" / "bad.json").write_text("[1]")
+    with pytest.raises(Exception, match="not a JSON object"):
+        files.json_objects(spark, str(tmp_path / "j")).collect()
+    manifest = spark.createDataFrame([("a", "1"), ("a", "2")], "doc_id string, file_name string")
+    texts = spark.createDataFrame([("a", "1", "t"), ("a", "2", " ")], "doc_id string, file_name string, content string")
+    assert files.manifest_texts(manifest, texts).count() == 1
+    with pytest.raises(Exception, match="missing file"):
+        files.manifest_texts(manifest, texts.limit(1)).collect()
+    log = spark.createDataFrame([("",), ("{x",), ('{"a": 1}',), ("[1]",)], "value string")
+    assert catalog.read_log(log).count() == 1
+    assert files.detect_schema(["source", "chunk_file", "x"]) == "source"
+    archive = files.zip_chunks(spark.createDataFrame([("a", "n.txt", "t")], "doc_id string, file_name string, content string")).first().archive
+    assert zipfile.ZipFile(io.BytesIO(archive)).read("n.txt") == b"t"
+    one = spark.createDataFrame([("d", "x.png", b"1")], "doc_id string, stored_name string, content binary")
+    path = files.write_assets(one, str(tmp_path / "assets")).first().path
+    assert open(path, "rb").read() == b"1"
+
+
+def test_prompts_over_frames(spark):
+    prompts = spark.createDataFrame([(1, "s", "u"), (2, "s", "u")], "id long, system string, user string")
+    good = models.answer(prompts, models.ReplayModel(['{"sections": ["SEC01"]}']), models.check_labels).collect()
+    assert [(r.answer, r.attempts, r.error) for r in good] == [('["SEC01"]', 1, None)] * 2
+    bad = models.answer(prompts, models.ReplayModel(["{"]), models.check_labels, 2).first()
+    assert bad.answer is None and bad.attempts == 2 and bad.error
+
+
+def test_streaming_state_and_log(spark, tmp_path):
+    rows = [(1, "a", "running", False), (1, "b", "done", False), (2, "a", "paused", False), (1, "b", "warning", True)]
+    df = spark.createDataFrame(rows, "job long, step string, status string, failed boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = progress.step_machine(s, "job", "step", "status").writeStream.outputMode("update").format("memory").queryName("steps").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("steps").collect())) == [(1, "a", "error"), (1, "b", "warning"), (2, "a", "paused")]
+    progress.append_log(s, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "log")).count() == 4
+
+
+def test_inline_html(spark):
+    from docloom.operators import render
+
+    x = '<strong>a</strong> <script>&</script>\n<HL:http://x.y/?a=1>l</HL> <HL:javascript:z>n</HL>'
+    want = '<strong>a</strong> &lt;script&gt;&amp;&lt;/script&gt;<br><a href="http://x.y/?a=1">l</a> &lt;HL:javascript:z&gt;n&lt;/HL&gt;'
+    assert render.inline(x) == want
+    df = spark.createDataFrame([(x,)], "x string")
+    assert df.select(render.inline_column(F.col("x"))).first()[0] == want
