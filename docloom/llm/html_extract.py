@@ -30,14 +30,19 @@ PRIOR, PRIOR_PAGES, CUT = 0.6, 8.0, 0.25
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("label a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _NEVER = frozenset("head title script style noscript template svg math canvas nav footer aside form button select option textarea input label fieldset iframe object embed audio video dialog menu map xmp noembed noframes".split())
 _HOLDS_CONTENT = frozenset(("article", "main"))
 _MARKED = re.compile(
     r"(?i)(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|side-?bar|foot|footer|footnotes?-?nav|masthead|site-?header|page-?header|topbar|toolbar|banner|cookies?|consent|gdpr|notices?|notification|alert|"
     r"pop-?up|modal|overlay|ads?|advert\w*|adverts?|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|sign-up|"
-    r"log-?in|search|search-?form|form|widgets?|pagination|pager|copyright|disclaimer|skip-?link|tags?-?cloud)(?:$|[\s_-])"
+    r"adsbygoogle|outbrain|taboola|log-?in|search|search-?form|form|widgets?|pagination|pager|copyright|disclaimer|skip-?link|tags?-?cloud)(?:$|[\s_-])"
 )
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Words of a layout's container that say what else is on the page.
+_LAYOUT = re.compile(r"(?i)(?<![\w-])(?:has|with|without|no|is)-[\w-]+")
+_HEADER = re.compile(r"(?i)(?:^|[\s_-])header(?:$|\s)")
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -67,7 +72,9 @@ def _never(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body", "main", "article") and "comment" not in (attrs.get("class", "") + attrs.get("id", "")).lower():
         return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    names = _LAYOUT.sub(" ", _HUMP.sub("-", f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+    if not inside and tag not in _TITLES and _HEADER.search(names):
+        return True
     style = attrs.get("style", "").replace(" ", "").lower()
     return bool(_MARKED.search(names)) or attrs.get("role", "").lower() in _ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
 
@@ -79,10 +86,12 @@ class Page:
         self.blocks: list[tuple[str, tuple[str, ...], bool, bool]] = []  # text, paths from the root, gone, inside
         self.nodes: dict[str, list[int]] = {}  # path -> content digest, presentation digest, decided
         self._parts: list[str] = []
+        self._mute: list[str] = []  # open marked inline elements, the outermost first
         self._stack: list[Node] = []
         self._parse(text or "")
 
     def _flush(self) -> None:
+        self._mute = []  # an unclosed marked inline element ends with its block
         if self._parts:
             text = _SPACE.sub(" ", "".join(self._parts)).strip()
             self._parts = []
@@ -124,9 +133,10 @@ class Page:
             if not m:
                 rest = text[at:]
                 cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the page breaks off in
-                self._parts.append(html.unescape(rest[: cut.start()] if cut else rest))
+                if not self._mute:
+                    self._parts.append(html.unescape(rest[: cut.start()] if cut else rest))
                 break
-            if m.start() > at:
+            if m.start() > at and not self._mute:
                 self._parts.append(html.unescape(text[at : m.start()]))
             at = m.end()
             tag = m[2].lower() if m[2] else ""
@@ -135,9 +145,11 @@ class Page:
             if m[1]:
                 if tag == "br":
                     self._parts.append(" ")
-                elif tag not in _INLINE or any(x.tag == tag for x in self._stack[-1:]):
+                elif tag not in _INLINE:
                     self._flush()
                     self._close((tag,))
+                elif self._mute and self._mute[-1] == tag:
+                    self._mute.pop()
                 continue
             attrs = _attributes(m[3])
             if tag in _RAW:
@@ -155,16 +167,15 @@ class Page:
                 if tag == "hr":
                     self._flush()
                 continue
-            if tag in _INLINE and not (attrs and _never(tag, attrs, True)) and tag != "label":
+            if tag in _INLINE or tag == "label":
+                if tag == "label" or (attrs and _never(tag, attrs, True)) or (self._mute and self._mute[-1] == tag):
+                    self._mute.append(tag)
                 continue
             self._flush()
-            if self._stack and self._stack[-1].tag in _INLINE and tag not in _INLINE:
-                self._stack.pop()  # an unclosed marked inline element ends with its block
-            if tag not in _INLINE:
-                if self._stack and self._stack[-1].tag == "p":
-                    self._stack.pop()
-                if tag in _CLOSES:
-                    self._close(*_CLOSES[tag])
+            if self._stack and self._stack[-1].tag == "p":
+                self._stack.pop()
+            if tag in _CLOSES:
+                self._close(*_CLOSES[tag])
             if not m[3].endswith("/") or tag in ("div", "p"):
                 self._open(tag, attrs)
         self._flush()

@@ -496,6 +496,8 @@ LAYOUT = (
         (LAYOUT.format("<article><h1>A &lt;b&gt;</h1><p>one<br>two &nbsp; three<p>four <b>five<p>six</article>"), "A <b>\n\none two three\n\nfour five\n\nsix"),
         (LAYOUT.format("<h2>Plain</h2><ul><li>i<li>j</ul><!-- no --><table><tr><td>c<td>d</table>"), "Plain\n\ni\n\nj\n\nc\n\nd"),
         ("<article><p>a</p><section id=comments><article>hey</article></section><p>b &quo; &am", "a\n\nb &quo; &am"),
+        ("<article><p>go <span class=ad>buy <b>now</b></span> on <a class='btn shareLink'>tweet</a>.<p>b<span hidden>x<p>c", "go on .\n\nb\n\nc"),
+        ("<div class='layout has-sidebar'><div class=header>Site</div><div class=mainNav>m</div><div class=post><h2 class=header>T</h2>x</div><div id=commentList>c</div></div>", "T\n\nx"),
         ("<p>open<div>next<p cl", "open\n\nnext"),
         ("<main><p>x &#8364; &#x41;</p><style>p{}</style><div hidden>no</div></main><p>out</p>", "x € A"),
     ],
