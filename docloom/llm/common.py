@@ -117,6 +117,26 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Most bytes of a table that is broadcast, counted as JSON, and parts that rows of one key are dealt into beyond that.
+BROADCAST_BYTES, SALT = 8_000_000, 16
+
+
+def join_table(big: DataFrame, small: DataFrame, on: str, by: str, how: str = "inner", spread: str | None = None) -> DataFrame:
+    """big joined with small, which has one row per key (big.on = small.by), without one task for the rows of one key.
+
+    small is written and measured: within BROADCAST_BYTES it is broadcast. Beyond that it is repeated SALT times and
+    the rows of a key are dealt out by a hash of big's column `spread`.
+    """
+    small = written(small)
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), F.col(on) == F.col(by), how)
+    salt, other = fresh([*big.columns, *small.columns], "salt"), fresh([*big.columns, *small.columns], "salt_of_key")
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(spread or on), F.lit(SALT)).cast("int"))
+    every = small.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return dealt.join(every, (F.col(on) == F.col(by)) & (F.col(salt) == F.col(other)), how).drop(salt, other)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph with edges (u, v), two columns of long: one row (node, root) per node, root its smallest node.
 

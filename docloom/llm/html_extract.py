@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from .common import fresh, join_table, small_batches
 
 #: Weight of the content's entropy; the presentation's has the rest.
 GAMMA = 0.9
@@ -230,7 +230,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     """page_id, url, text and n_chars for every row.
 
     Null and empty pages have an empty text. Null ids and urls stay (the host is then empty). Repeated rows stay.
-    Extra columns are dropped. The table of branches to cut has a row for each host that has any.
+    Extra columns are dropped. The table of branches to cut has a row
+    for each host that has any; it is broadcast if it is small, and else a host's pages are dealt out.
     """
     p = small_batches(pages).select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     low = style_tree(p).where(~F.col("decided") & (F.col("importance") < CUT))
@@ -244,7 +245,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
         for texts, cut in batches:
             yield pd.Series([Page(t).text(set(c) if c is not None else frozenset()) for t, c in zip(texts, cut)])
 
-    joined = p.withColumn(own, host).join(cuts, F.col(own) == F.col("host"), "left")
+    joined = join_table(p.withColumn(own, host), cuts, own, "host", "left", spread="url")
     out = joined.select("page_id", "url", text("html", "cuts").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import join_table, small_batches, utf8
 
 HIDDEN = 10
 WINDOW = 96
@@ -142,9 +142,9 @@ def sample(docs: DataFrame) -> DataFrame:
     snippets = F.array(*(F.substring(F.col("text"), start(i), F.lit(SNIPPET)) for i in range(SNIPPETS)))
     rows = docs.where("lang is not null and text is not null").select("lang", place.alias("place"), snippets.alias("snippets"))
     # A share of each language that has about twice SAMPLE rows goes on, so that no language is ranked in one task whole.
-    share = rows.groupBy("lang").agg((F.lit(2.0 * SAMPLE) / F.count(F.lit(1))).alias("share"))
+    share = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(2.0 * SAMPLE) / F.count(F.lit(1))).alias("share"))
     at = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    some = rows.join(share, "lang").where(at < F.col("share"))
+    some = join_table(rows, share, "lang", "of", spread="place").where(at < F.col("share"))
     ranked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "snippets"))).where(F.col("n") <= SAMPLE)
     return ranked.select("lang", "n", "snippets")
 

@@ -54,6 +54,18 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_tables_are_broadcast_only_within_a_bound(spark, monkeypatch):
+    big = spark.createDataFrame([(i, f"k{i % 3}") for i in range(50)], "id long, k string")
+    small = spark.createDataFrame([("k0", 1), ("k1", 2)], "of string, v int")
+    want = sorted(map(str, common.join_table(big, small, "k", "of", "left", "id").collect()))
+    assert "BroadcastHashJoin" in common.join_table(big, small, "k", "of")._jdf.queryExecution().toString()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    salted = common.join_table(big, small, "k", "of", "left", "id")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, salted.collect())) == want and salted.columns == ["id", "k", "of", "v"]
+
+
 # ---------------------------------------------------------------- quality rules
 
 
