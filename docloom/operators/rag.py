@@ -25,65 +25,68 @@ def pieces(text: Column) -> Column:
 
 
 def resolve(spark: SparkSession, nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """(root, text, used, unresolved): the text of each root node with its references expanded.
+    """resolve_by_document() for nodes of one document: (root, text, used, unresolved)."""
+    return resolve_by_document(spark, nodes.withColumn("doc_id", F.lit(0)), depth).drop("doc_id")
 
-    nodes has id, text and is_root. References expand depth first in the order of the text, by a recursive query that
-    carries the path: a node that is on its own path gives no text, an unknown cell or table stays as it is written and
-    is unresolved, assets always stay. Leaves are put together in the order of their positions along the path.
+
+def resolve_by_document(spark: SparkSession, nodes: DataFrame, depth: int = 16) -> DataFrame:
+    """(doc_id, root, text, used, unresolved): the text of each root node with its references expanded.
+
+    nodes has doc_id, id, text and is_root. References expand depth first in the order of the text, within a document,
+    by a recursive query that carries the path: a node that is on its own path gives no text, an unknown cell or table
+    stays as it is written and is unresolved, assets always stay. Leaves are put together in the order of their
+    positions along the path. References nested deeper than `depth` are dropped.
     """
-    n = nodes.select("id", F.posexplode(pieces(F.col("text"))).alias("pos", "p")).select("id", "pos", "p.text", "p.is_ref")
+    n = nodes.select("doc_id", "id", F.posexplode(pieces(F.col("text"))).alias("pos", "p")).select("doc_id", "id", "pos", "p.text", "p.is_ref")
     target = F.regexp_replace("text", "[<>]", "")
     n = n.withColumn("target", F.when(F.col("is_ref") & ~F.col("text").startswith("<EM"), target))
     n.createOrReplaceTempView("docloom_pieces")
-    nodes.select("id", "is_root").createOrReplaceTempView("docloom_nodes")
+    nodes.select("doc_id", "id", "is_root").createOrReplaceTempView("docloom_nodes")
     walked = spark.sql(f"""
-        with recursive walk(root, node, path, place, text, state) as (
-            select id, id, array(id), cast(array() as array<int>), cast(null as string), 'open' from docloom_nodes where is_root
+        with recursive walk(doc_id, root, node, path, place, text, state) as (
+            select doc_id, id, id, array(id), cast(array() as array<int>), cast(null as string), 'open' from docloom_nodes where is_root
             union all
-            select w.root, case when k.id is not null and not array_contains(w.path, p.target) then p.target end,
+            select w.doc_id, w.root, case when k.id is not null and not array_contains(w.path, p.target) then p.target end,
                    case when p.target is not null then concat(w.path, array(p.target)) else w.path end, concat(w.place, array(p.pos)),
                    case when p.target is null then p.text when k.id is null then p.target end,
                    case when p.target is null then case when p.text like '<EM%' then 'asset' else 'text' end when k.id is null then 'unresolved'
                         when array_contains(w.path, p.target) then 'cycle' else 'open' end
-            from walk w join docloom_pieces p on p.id = w.node left join docloom_nodes k on k.id = p.target
+            from walk w join docloom_pieces p on p.doc_id = w.doc_id and p.id = w.node left join docloom_nodes k on k.doc_id = p.doc_id and k.id = p.target
             where w.state = 'open' and size(w.path) <= {depth}
         ) select * from walk""")
     # Places along a path compare like the digits of a number.
     order = F.array_join(F.transform("place", lambda x: F.lpad(x.cast("string"), 8, "0")), ".")
     parts = F.filter(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.trim("text").alias("t")))), lambda x: F.coalesce(x["t"], F.lit("")) != "")
     ids = lambda c, v: F.array_sort(F.collect_set(F.when(c, v)))
-    return walked.groupBy("root").agg(
+    return walked.groupBy("doc_id", "root").agg(
         F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("path")))).alias("used"), ids(F.col("state") == "unresolved", F.col("text")).alias("unresolved")
     )
 
 
 def hierarchy(entries: DataFrame, doc: str, order: str, level: str, title: str, depth: int = 9) -> DataFrame:
-    """Entries with their header, number path and title path; level is null for items and 1 to depth for headers.
+    """Entries with their header (head), number path (numbers) and title path (titles); level is null for items, 1 to depth for headers.
 
-    A header's parent is the last earlier one of a smaller level, which is what a stack of open headers gives. Headers
-    are numbered under their parent, items under their header. Paths are built level by level, at most `depth` joins of
-    the headers with themselves.
+    The stack of open headers at an entry: for each smaller level the last header before it, if that is later than
+    those of all smaller levels. A header's parent is the last of its stack. Headers are numbered under their parent,
+    items under their header. Only windows: one running maximum per level, no recursion and no join.
     """
     w = ordered([doc], [order])
-    heads = entries.where(F.col(level).isNotNull())
-    heads = heads.withColumn("parent", previous_smaller(F.col(level), F.col(order), w, depth + 1))
-    number = F.row_number().over(Window.partitionBy(doc, "parent").orderBy(order))
-    heads = heads.withColumn("number", number).select(doc, F.col(order).alias("head"), "parent", "number", F.col(title).alias("head_title"))
-    done = heads.where("parent is null").select(doc, "head", F.array("number").alias("numbers"), F.array("head_title").alias("titles"))
-    everything, last = done, done
-    for _ in range(depth - 1):
-        up = last.select(F.col(doc).alias("__doc"), F.col("head").alias("__up"), F.col("numbers").alias("__n"), F.col("titles").alias("__t"))
-        j = heads.join(up, (F.col(doc) == F.col("__doc")) & (F.col("parent") == F.col("__up")))
-        last = j.select(doc, "head", F.concat("__n", F.array("number")).alias("numbers"), F.concat("__t", F.array("head_title")).alias("titles"))
-        everything = everything.union(last)
-    current = F.when(F.col(level).isNotNull(), F.col(order)).otherwise(F.max(F.when(F.col(level).isNotNull(), F.col(order))).over(before(w)))
-    placed = entries.withColumn("head", current)
-    item = F.row_number().over(Window.partitionBy(doc, "head", F.col(level).isNull()).orderBy(order))
-    placed = placed.withColumn("item", F.when(F.col(level).isNull(), item))
-    out = placed.join(everything, [doc, "head"], "left")
-    numbers = F.coalesce("numbers", F.array().cast("array<int>"))
-    numbers = F.when(F.col("item").isNotNull(), F.concat(numbers, F.array("item"))).otherwise(numbers)
-    return out.withColumn("numbers", numbers).withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+    is_head = F.col(level).isNotNull()
+    e = entries.withColumn("__parent", F.when(is_head, previous_smaller(F.col(level), F.col(order), w, depth + 1)))
+    e = e.withColumn("__number", F.when(is_head, F.row_number().over(Window.partitionBy(doc, is_head, "__parent").orderBy(order))))
+    me = F.struct(F.col(order).alias("o"), F.col(title).alias("t"), F.col("__number").alias("n"))
+    last = [F.max(F.when(F.col(level) == k, me)).over(before(w)) for k in range(1, depth + 1)]
+    e = e.withColumn("__last", F.array(*last))
+    below = F.transform("__last", lambda x, i: F.when(~is_head | (i + 1 < F.col(level)), x))
+    e = e.withColumn("__last", below)
+    open_ = F.filter("__last", lambda x, i: x.isNotNull() & F.forall(F.slice("__last", F.lit(1), i), lambda y: y.isNull() | (y["o"] < x["o"])))
+    e = e.withColumn("__open", F.when(is_head, F.concat(open_, F.array(me))).otherwise(open_))
+    e = e.withColumn("head", F.try_element_at("__open", F.lit(-1))["o"])
+    item = F.row_number().over(Window.partitionBy(doc, "head", is_head).orderBy(order))
+    e = e.withColumn("item", F.when(~is_head, item))
+    numbers = F.transform("__open", lambda x: x["n"])
+    e = e.withColumn("numbers", F.when(is_head, numbers).otherwise(F.concat(numbers, F.array("item")))).withColumn("titles", F.transform("__open", lambda x: x["t"]))
+    return e.drop("__parent", "__number", "__last", "__open")
 
 
 def number_path(numbers: Column) -> Column:

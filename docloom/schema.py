@@ -41,6 +41,27 @@ HEADERS = (
     ("SEC13", ("الخطوات", "المكلف بالتنفيذ")),
     ("SEC15", ("الفئة", "اسم الملف")),
 )
+#: Names of sections in file names; others are made of the English name.
+FILE_PREFIXES = {
+    "SEC02": "document_header",
+    "SEC03": "document_control",
+    "SEC04": "document_approval",
+    "SEC05": "version_control",
+    "SEC07": "purpose",
+    "SEC08": "scope",
+    "SEC09": "responsibilities",
+    "SEC10": "key_references",
+    "SEC11": "general_instruction",
+    "SEC12": "procedure",
+    "SEC13": "control_procedure",
+    "SEC14": "reports_statements",
+    "SEC15": "files_retention_periods",
+    "SEC16": "appendices",
+    "SEC17": "forms_used",
+    "SEC18": "definitions_terms_abbreviations",
+    "SEC19": "forms_templates",
+    "SEC99": "other",
+}
 #: Levels of the headings of a workflow.
 WORKFLOW_LEVELS = {"group_header": 1, "subgroup_header": 2, "sub_subgroup_header": 3, "subsubgroup_header": 3}
 #: Fills of a workflow's main headings.

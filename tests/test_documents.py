@@ -267,3 +267,35 @@ def test_inline_html(spark):
     assert render.inline(x) == want
     df = spark.createDataFrame([(x,)], "x string")
     assert df.select(render.inline_column(F.col("x"))).first()[0] == want
+
+
+def test_export_of_sections(spark):
+    import json
+
+    from docloom.operators import export
+
+    long = "\n\n".join("w " * 300 for _ in range(2))
+    sections = [
+        ("SEC02", "Document Header", "resolved", {"rows": [{"type": "data_row", "cells": ["Bank", "Policy 7"]}]}),
+        ("SEC07", "Purpose", "resolved", {"section_id": "SEC07", "content": "CL000001"}),
+        ("SEC08", "Scope", "resolved", {"status": "not_found"}),
+        ("SEC09", "Responsibilities", "resolved", {"columns": ["Who", "What"], "rows": [{"Who": "A", "What": "x"}, {"cells": ["B", ""]}]}),
+        ("SEC10", "Key References", "failed", {"content": "no"}),
+        ("SEC12", "Procedures", "resolved", {"columns": ["Step", "Owner"], "entries": [{"type": "group_header", "heading": "G"}, {"type": "step", "Step": "do", "Owner": "me"}, {"type": "step", "Step": " "}, {"type": "subgroup_header", "heading": "S"}, {"type": "step", "a": "one", "b": "two"}, {"type": "content", "value": "note"}]}),
+        ("SEC11", "General Instructions", "resolved", {"section_heading": "Rules", "entries": [{"type": "content", "value": "v", "values": ["u"]}, {"type": "subsection", "heading": "H", "values": [long]}, "bare"]}),
+    ]
+    df = spark.createDataFrame([("d", i, s, e, st_, json.dumps(j)) for i, (s, e, st_, j) in enumerate(sections)], "doc_id string, sec_no int, section_id string, section_english string, status string, section_json string")
+    nodes = spark.createDataFrame([("d", "CL000001", "aim <TB000001>"), ("d", "TB000001", "| t |")], "doc_id string, id string, text string")
+    names = spark.createDataFrame([("d", "x_20240101_101010")], "doc_id string, document_name string")
+    rows = export.export(df, names, nodes).orderBy("file_name").collect()
+    assert [r.file_name for r in rows] == [
+        "0001_purpose.txt", "0002_responsibilities.txt", "0003_procedure_01_01.txt", "0004_procedure_01_01_01.txt", "0005_procedure_01_01_02.txt",
+        "0006_general_instruction_01.txt", "0007_general_instruction_02.txt", "0008_general_instruction_01_01~p01.txt", "0009_general_instruction_01_01~p02.txt", "0010_general_instruction_01_02.txt",
+    ]
+    assert rows[0].text == "--- RAG METADATA ---\nDocument: Bank | Policy 7\nSection: Purpose\nHierarchy: Purpose\n--- END RAG METADATA ---\n\nContent:\naim\n| t |"
+    assert rows[1].text.endswith("Rows:\nRow 1:\nWho: A\nWhat: x\n\nRow 2:\nWho: B")
+    assert rows[2].text.endswith("Step:\ndo\n\nOwner:\nme") and rows[2].hierarchy_path == "Procedures > G"
+    assert rows[3].text.endswith("Step:\none\n\nOwner:\ntwo") and rows[3].hierarchy_path == "Procedures > G > S"
+    assert rows[7].hierarchy_path == "Rules > H" and rows[9].text.endswith("Instruction:\nbare")
+    assert all(r.content_character_count == len(r.text) for r in rows)
+    assert export.export(df, names, nodes, ("SEC07",)).count() == 1
