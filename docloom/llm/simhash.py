@@ -12,6 +12,7 @@ most 65 fingerprints can name it, so such groups are small whatever the bucket's
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    digest = xxhash.xxh64_digest
-    h = b"".join([digest(s, SEED) for s in shingles])
-    n = len(h) // 8
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 8192):
-        ones += np.unpackbits(np.frombuffer(h[8 * i : 8 * (i + 8192)], np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    digest, n, ones = xxhash.xxh64_digest, 0, np.zeros(BITS, np.int64)
+    for run in itertools.batched(shingles, 8192):  # hashes of a long text are never held all at once
+        h = np.frombuffer(b"".join([digest(s, SEED) for s in run]), np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(run)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
