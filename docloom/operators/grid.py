@@ -62,3 +62,17 @@ def widths(cells: DataFrame, table: str, col: str, text: str) -> DataFrame:
     """(table, col, width): the longest line of a column without spans, at least 1."""
     longest = F.array_max(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.length))
     return cells.groupBy(table, col).agg(F.greatest(F.max(longest), F.lit(1)).alias("width"))
+
+
+def render(cells: DataFrame, table: str, row: str, col: str, text: str) -> DataFrame:
+    """(table, rendered): a table without spans drawn with ASCII lines, every row of one line; missing cells are blank."""
+    w = widths(cells, table, col, text)
+    rows = cells.select(table, row).distinct()
+    grid = rows.join(w, table).join(cells.select(table, row, col, F.col(text).alias("__text")), [table, row, col], "left")
+    cell = F.concat(F.lit(" "), F.rpad(F.coalesce("__text", F.lit("")), F.col("width"), " "), F.lit(" |"))
+    ordered_ = lambda order, x: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), x.alias("x")))), lambda s: s["x"])
+    lines = grid.groupBy(table, row).agg(F.concat(F.lit("|"), F.array_join(ordered_(col, cell), "")).alias("line"))
+    border = w.groupBy(table).agg(F.concat(F.lit("+"), F.array_join(ordered_(col, F.concat(F.repeat(F.lit("-"), F.col("width") + 2), F.lit("+"))), "")).alias("border"))
+    body = lines.groupBy(table).agg(ordered_(row, F.col("line")).alias("lines"))
+    drawn = F.concat_ws("\n", "border", F.array_join(F.transform("lines", lambda x: F.concat_ws("\n", x, F.col("border"))), "\n"))
+    return body.join(border, table).select(table, drawn.alias("rendered"))

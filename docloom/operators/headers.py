@@ -114,3 +114,18 @@ def with_fallback(model: Column, heuristic: Column, error: Column) -> tuple[Colu
     """The resolution that holds, and who gave it."""
     use = model.isNotNull() & error.isNull()
     return F.when(use, model).otherwise(heuristic), F.when(use, "llm").otherwise("heuristic")
+
+
+def summary(inspections: DataFrame, doc: str) -> DataFrame:
+    """Per document: spans, those without a table (skipped), and how the others were resolved."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    skipped = F.col("status") == "skipped"
+    return inspections.groupBy(doc).agg(
+        F.count(F.lit(1)).alias("n_spans"), n(skipped).alias("n_skipped"), n(~skipped & (F.col("resolved_by") == "llm")).alias("n_llm"), n(~skipped & (F.col("resolved_by") != "llm")).alias("n_fallback"), n(~skipped & F.col("inspection_required")).alias("n_required"),
+    )
+
+
+def with_skipped(spans: DataFrame, resolved: DataFrame, key: list[str]) -> DataFrame:
+    """Resolved spans, and those without a table as skipped ones."""
+    none = spans.join(resolved.select(*key), key, "left_anti").select(*key).withColumn("status", F.lit("skipped"))
+    return resolved.unionByName(none, allowMissingColumns=True)

@@ -155,3 +155,19 @@ def col_widths(spark, sf_dir):
 def ffill(spark, sf_dir):
     c = lines(spark, sf_dir).select("l_orderkey", "pos", F.when(F.col("l_returnflag") != "R", F.col("l_partkey")).alias("v"))
     return c.select("l_orderkey", "pos", forward_fill(F.col("v"), ordered(["l_orderkey"], ["pos"])).alias("filled"))
+
+
+@query(
+    "grid_render",
+    r"""with c as (select r_name as t, n_nationkey as row, unnest([0, 1]) as col, unnest([n_name, n_nationkey::varchar]) as text from nation join region on n_regionkey = r_regionkey),
+    w as (select t, col, max(length(text)) as width from c group by all),
+    b as (select t, '+' || string_agg(repeat('-', (width + 2)::int) || '+', '' order by col) as border from w group by t),
+    l as (select t, row, '|' || string_agg(' ' || rpad(text, width::int, ' ') || ' |', '' order by col) as line from c join w using (t, col) group by all)
+    select t, any_value(border) || chr(10) || string_agg(line || chr(10) || border, chr(10) order by row) as rendered from l join b using (t) group by t""",
+)
+def render(spark, sf_dir):
+    """A drawn table of nations for each region."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    both = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
+    cells = both.select(F.col("r_name").alias("t"), F.col("n_nationkey").alias("row"), F.posexplode(F.array("n_name", F.col("n_nationkey").cast("string"))).alias("col", "text"))
+    return grid.render(cells, "t", "row", "col", "text")

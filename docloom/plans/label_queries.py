@@ -272,3 +272,16 @@ def validate(spark, sf_dir):
     answer = F.element_at(F.array(*map(F.lit, answers)), (F.col("event_id") % 5 + 1).cast("int"))
     ids = F.array(F.lit("CL000001"), F.lit("CL000002"))
     return table(spark, sf_dir, "events").select("event_id", headers.validate(answer, ids, F.create_map(F.lit(1), ids)).alias("error"))
+
+
+@query(
+    "hdr_summary",
+    """with s as (select distinct o_custkey, o_orderkey from orders), r as (select o_custkey, o_orderkey, case when o_orderkey % 3 = 0 then 'llm' else 'heuristic' end as who, o_orderkey % 5 = 0 as req from orders where o_orderstatus <> 'O')
+    select s.o_custkey, count(*) as n_spans, sum((r.who is null)::int)::bigint as n_skipped, sum((r.who = 'llm' and r.who is not null)::int)::bigint as n_llm, sum(coalesce(r.who = 'heuristic', false)::int)::bigint as n_fallback, sum(coalesce(req, false)::int)::bigint as n_required
+    from s left join r using (o_custkey, o_orderkey) group by s.o_custkey""",
+)
+def header_summary(spark, sf_dir):
+    """Orders stand for spans; open ones have no table."""
+    o = table(spark, sf_dir, "orders")
+    resolved = o.where("o_orderstatus <> 'O'").select("o_custkey", "o_orderkey", F.lit("resolved").alias("status"), F.when(F.col("o_orderkey") % 3 == 0, "llm").otherwise("heuristic").alias("resolved_by"), (F.col("o_orderkey") % 5 == 0).alias("inspection_required"))
+    return headers.summary(headers.with_skipped(o, resolved, ["o_custkey", "o_orderkey"]), "o_custkey")
