@@ -119,3 +119,21 @@ def fill_down(cells: DataFrame, table: list[str], row: str, col: str, value: str
     changed = ~F.col("filled").eqNullSafe(F.lag("filled").over(w)) | F.col("filled").isNull()
     c = c.withColumn("__new", F.when(changed, 1).otherwise(0))
     return c.withColumn("run", F.sum("__new").over(up)).drop("__l", "__new")
+
+
+def entries_json(found: DataFrame, key: list[str], workflow: Column) -> DataFrame:
+    """(key, section_json): the rows of table_entries() as one JSON text per table.
+
+    Fields are `column=value`; they become the keys of a step or a row.
+    """
+    pairs = F.transform("fields", lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=", "").alias("v")))
+    fields = F.when(F.col("fields").isNotNull(), F.map_from_arrays(F.transform(pairs, lambda p: p["k"]), F.transform(pairs, lambda p: p["v"])))
+    typed = lambda kind: F.map_concat(F.create_map(F.lit("type"), kind), F.coalesce(fields, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    heading = F.create_map(F.lit("type"), F.col("kind"), F.lit("heading"), F.col("heading"))
+    entry = F.when(workflow, F.when(F.col("heading").isNotNull(), heading).otherwise(typed(F.lit("step")))).otherwise(typed(F.lit("data_row")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("row", F.to_json(entry).alias("j")))), lambda x: x["j"])
+    g = found.groupBy(*key).agg(listed.alias("entries"), F.max(workflow).alias("workflow"), F.max("section_heading").alias("section_heading"))
+    items = F.concat(F.lit("["), F.array_join("entries", ","), F.lit("]"))
+    name = F.when(F.col("workflow"), "entries").otherwise("rows")
+    head = F.when(F.col("section_heading").isNotNull(), F.concat(F.lit('"section_heading":'), F.to_json(F.array("section_heading")).substr(F.lit(2), F.length(F.to_json(F.array("section_heading"))) - 2), F.lit(","))).otherwise("")
+    return g.select(*key, F.concat(F.lit("{"), head, F.lit('"'), name, F.lit('":'), items, F.lit("}")).alias("section_json"))

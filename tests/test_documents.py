@@ -299,3 +299,17 @@ def test_export_of_sections(spark):
     assert rows[7].hierarchy_path == "Rules > H" and rows[9].text.endswith("Instruction:\nbare")
     assert all(r.content_character_count == len(r.text) for r in rows)
     assert export.export(df, names, nodes, ("SEC07",)).count() == 1
+
+
+def test_files_to_retrieval_chunks(spark, tmp_path):
+    from docloom import pipeline
+
+    steps = "<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/></w:tblGrid>" + "".join(f"<w:tr>{a}</w:tr>" for a in (tc(p("Step")) + tc(p("Owner")), tc(p("Part A"), '<w:gridSpan w:val="2"/>'), tc(p("open file")) + tc(p("clerk")), tc(p("close file")) + tc(p("head")))) + "</w:tbl>"
+    body = p("The purpose is order.") + steps + p("...")
+    parsed = ooxml.parse(spark.createDataFrame([("Policy_20240101_101010", docx(body))], "doc_id string, content binary"))
+    parsed.write.parquet(str(tmp_path / "parsed"))
+    out = pipeline.run(spark.read.parquet(str(tmp_path / "parsed")), models.RuleModel((("SEC07", ("purpose",)), ("SEC12", ("step",)))))
+    assert [(r.labels, r.skipped) for r in out["labels"].orderBy("idx").collect()] == [(["SEC07"], False), (["SEC12"], False), ([], True)]
+    rows = out["chunks"].orderBy("file_name").collect()
+    assert [(r.file_name, r.hierarchy_path) for r in rows] == [("0001_purpose.txt", "Purpose"), ("0002_procedure_01_01.txt", "Procedures / Workflow Steps > Part A"), ("0003_procedure_01_02.txt", "Procedures / Workflow Steps > Part A")]
+    assert rows[1].text.endswith("Step:\nopen file\n\nOwner:\nclerk") and "Document: Policy\n" in rows[1].text

@@ -40,3 +40,23 @@ def test_entry_and_names(spark):
 @pytest.mark.parametrize("name", ["txt_mojibake_repair", "hdr_similarity_fuzzy", "vec_hash_embed"])
 def test_queries_without_sql_run(spark, data, name):
     assert entry.queries()[name](spark, data).count() > 0
+
+
+def test_entry_without_the_training_data_part():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['docloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(k.startswith('op') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_nothing_else_imports_the_training_data_part():
+    import pathlib
+    import re
+
+    root = pathlib.Path(__file__).resolve().parents[1]
+    for f in (root / "docloom").rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            assert not re.search(r"^\s*(?:from|import)\s+[\w.]*llm", f.read_text(), re.M), f
