@@ -83,9 +83,9 @@ def stitch(spark, sf_dir):
     return out.select("doc_id", "reranker_score", F.array_join("retrieved_files", ",").alias("files"), "part_count", F.md5("text").alias("text_md5"))
 
 
-@query("vec_hash_embed")
+@query("vec_hash_embed", "select doc_id, case when trim(text) = '' then 0.0 else 1.0 end::double as norm from documents")
 def hash_embed(spark, sf_dir):
-    """Hashed unit vectors of documents; checked by tests."""
+    """Norms of hashed unit vectors of documents."""
     v = vectors.embed(F.col("text"), 64)
     return table(spark, sf_dir, "documents").select("doc_id", F.round(vectors.norm(v), 4).alias("norm"))
 
