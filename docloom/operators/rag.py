@@ -112,7 +112,8 @@ def segments(text: Column, boundary: str = r"\n\n+", trigger: int = TRIGGER) ->
         return F.filter(F.split(F.array_join(marked, "\n"), "\n?\0"), lambda x: F.trim(x) != "")
 
     trimmed = F.filter(F.transform(F.split(text, boundary), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    return F.flatten(F.transform(trimmed, lambda x: F.when(~is_grid_line(F.substring_index(x, "\n", 1)) & (word_count(x) > trigger), items(x)).otherwise(F.array(x))))
+    # More words than the trigger need more than twice as many characters: most segments need no count.
+    return F.flatten(F.transform(trimmed, lambda x: F.when((F.length(x) > 2 * trigger) & ~is_grid_line(F.substring_index(x, "\n", 1)) & (word_count(x) > trigger), items(x)).otherwise(F.array(x))))
 
 
 def cuts(words: Column, target: int = TARGET, trigger: int = TRIGGER, least: int = LEAST) -> Column:
@@ -142,7 +143,8 @@ def cuts(words: Column, target: int = TARGET, trigger: int = TRIGGER, least: int
         empty = F.array().cast("array<int>")
         return F.when((total > trigger) & (parts > 1), F.aggregate(F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1))), empty, one)).otherwise(empty)
 
-    return F.element_at(F.transform(F.array(packed), body), 1)
+    long = F.aggregate(words, F.lit(0), lambda a, w: a + w) > trigger
+    return F.when(long, F.element_at(F.transform(F.array(packed), body), 1)).otherwise(F.array().cast("array<int>"))
 
 
 def split(docs: DataFrame, key: str, segs: str) -> DataFrame:
