@@ -39,9 +39,11 @@ SECTION = 1 << 20
 PACK = 7
 #: Bytes of contexts of a group that one task may index, and of a batch.
 GROUP_BYTES = 1 << 20
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 #: Offsets in a range, by level; the first is all there are.
 RANGES = (WIDTH, 46, 6, 1)
+#: Most classes of runs that are broadcast, and the fewest rows that make a class crowded.
+CROWDED, LEAST_CROWDED = 50_000, 1000
 #: Offsets in a range of the filter before the index.
 COARSE = 62
 _BASE = 0xD6E8FEB86659FD93
@@ -132,13 +134,14 @@ def repeats(contexts: list[bytes]) -> list[np.ndarray]:
         key[inside] += text[at[inside] + i]
     rank = _dense(key)[1]
     order, rank = _dense(rank * (len(contexts) + 1) + np.where(gap < PACK, own + 1, 0))
-    ranks, h = [rank], PACK
+    ranks, h = [rank.astype(np.int32)], PACK
     while int(rank[order[-1]]) < n - 1:
         key = rank * (n + 1)
         key[:-h] += rank[h:] + 1
         order, rank = _dense(key)
         h *= 2
-        ranks.append(rank)
+        ranks.append(rank.astype(np.int32))
+    del key, rank
     # Runs of the transform: a suffix at the start of a run is sampled, the others follow from the text before them.
     last = text[order - 1]
     sampled = np.ones(n, bool)
@@ -316,6 +319,18 @@ def settled(rows: DataFrame, level: int) -> DataFrame:
     return out
 
 
+def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The runs of the given classes (anchor, whole, c rows each).
+
+    Classes of more rows than one CROWDED-th of all (and LEAST_CROWDED) are CROWDED at most, a proven bound: they are broadcast, and their
+    runs are never shuffled by class.
+    """
+    key, limit = ["anchor", "whole"], max(LEAST_CROWDED, rows.count() // CROWDED)
+    crowded = F.broadcast(classes.where(F.col("c") > limit).select(*key))
+    rest = rows.join(crowded, key, "left_anti").join(classes.where(F.col("c") <= limit).select(*key), key)
+    return rows.join(crowded, key, "left_semi").unionByName(rest)
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """Runs of windows (doc_id, h, a, b) that are repeats, of documents (doc_id, h, text)."""
     rows = written(anchored(docs))
@@ -323,7 +338,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     classes = rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(rep).alias("rep"))
     anchors = classes.groupBy("anchor").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("n > 1")
     shared = written(classes.join(anchors, "anchor"))
-    equal = rows.join(shared.where("c > 1").select("anchor", "whole"), ["anchor", "whole"]).select("doc_id", "h", "a", "b")
+    equal = _of_classes(rows, shared.where("c > 1").select("anchor", "whole", "c")).select("doc_id", "h", "a", "b")
     mixed = shared.where("k > 1").select("anchor", (F.col("c") == 1).alias("single"), "rep")
     return equal.union(settled(written(paired(written(contexts(docs, mixed)))), 0))
 

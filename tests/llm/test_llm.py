@@ -406,9 +406,10 @@ def removal_by_hand(texts):
     return out
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 20, 2000])
-def test_repeats_are_removed(spark, tmp_path, monkeypatch, group_bytes):
+@pytest.mark.parametrize("group_bytes,crowded", [(1 << 20, 1000), (2000, 1)])
+def test_repeats_are_removed(spark, tmp_path, monkeypatch, group_bytes, crowded):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(suffix_dedup, "LEAST_CROWDED", crowded)
     rng = random.Random(6)
     passage = sentence(rng, 130)
     texts = [None, "", "short", passage, passage[:399], passage[1:401], "ab" * 900, "é" * 500]
