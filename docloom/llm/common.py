@@ -51,6 +51,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """At the end of a task, gives what a Python worker no longer uses back to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that does not clash (case-insensitively) with those given."""
     taken = {c.lower() for c in columns}

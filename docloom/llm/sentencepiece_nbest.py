@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, small_batches
+from .common import fresh, release_memory, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -407,6 +407,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
                 part = batch.slice(done, len(group))
                 done += len(group)
                 yield pa.RecordBatch.from_arrays([ids if i == k else c for i, c in enumerate(part.columns)], [at if i == k else n for i, n in enumerate(part.schema.names)])
+        m._forget()
+        m.searched.clear()
+        release_memory()
 
     return small_batches(docs).mapInArrow(run, kind)
 

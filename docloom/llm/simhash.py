@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, small_batches, utf8, written
+from .common import connected_components, release_memory, small_batches, utf8, written
 
 RADIUS = 2
 SEED = 42
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3):
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(x, width) for x in texts], np.uint64).astype(np.int64))
+        release_memory()
 
     small_batches(docs)
     return measure(F.col(text))
