@@ -1,7 +1,7 @@
 """Main text of web pages by a site style tree.
 
 The element trees of all pages of a host are merged: elements with the same path (tags with their class or id, from
-the root) are one node. For each node two entropies are measured over the pages that have it, both relative to the
+the root) are one node. For each node two entropies are measured over the distinct pages that have it, both relative to the
 most they could be: of its content (the text below it) and of its presentation (the sequence of its children). Where
 every page shows the same, the entropy is low and the node is site furniture. A node's importance weighs both and is
 shrunk to a prior, so that hosts of few pages decide little. Some elements need no statistics: navigation, scripts,
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_table, small_batches
+from .common import fresh, join_table, small_batches, written
 
 #: Weight of the content's entropy; the presentation's has the rest.
 GAMMA = 0.9
@@ -196,7 +196,7 @@ def host_of(url: str | None) -> str:
 def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, path, n_pages, importance, decided) of every node of every host's tree.
 
-    Pages go by (host, path, digests) through a count that is combined before the shuffle, and entropies are sums of
+    Copies of a page are one page: they say nothing about what pages of a host share. Pages go by (host, path, digests) through a count that is combined before the shuffle, and entropies are sums of
     c log c over those counts, combined likewise: a host with a third of all pages is no group of rows in one task.
     """
 
@@ -209,8 +209,9 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
                 out.append([{"host": host, "path": p, "content": c, "shape": s, "decided": bool(d)} for p, (c, s, d) in Page(t).nodes.items()])
             yield pd.Series(out)
 
-    rows = pages.select(F.explode(nodes(url, page)).alias("n")).select("n.*")
+    rows = pages.select(F.md5(F.encode(page, "UTF-8")).alias("copy"), F.explode(nodes(url, page)).alias("n")).select("copy", "n.*").distinct()
     each = rows.groupBy("host", "path", "content", "shape").agg(F.count(F.lit(1)).alias("c"), F.min("decided").alias("decided"))
+    each = written(each)  # pages are parsed once for both entropies
     key = ["host", "path"]
 
     def entropy(by: str) -> DataFrame:
