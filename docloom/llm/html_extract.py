@@ -4,10 +4,11 @@ The element trees of all pages of a host are merged: elements with the same path
 the root) are one node. For each node two entropies are measured over the distinct pages that have it, both relative to the
 most they could be: of its content (the text below it) and of its presentation (the sequence of its children). Where
 every page shows the same, the entropy is low and the node is site furniture. A node's importance weighs both and is
-shrunk to a prior, so that hosts of few pages decide little. Some elements need no statistics: navigation, scripts,
-forms and the like are never content, and what lies in an article is never furniture unless marked as such.
+shrunk to a prior, higher in an article, so that hosts of few pages decide little. Some elements need no statistics:
+navigation, scripts, forms and the like are never content.
 
-Branches of low importance are cut from every page of the host, and the text of the rest is laid out in blocks.
+Branches of low importance are cut from every page of the host, and the text of the rest is laid out in blocks: that of
+its articles alone, if they hold most of what is left.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import fresh, join_table, small_batches, written
 GAMMA = 0.9
 #: Importance without evidence, the number of pages that it is worth, and the importance below which a branch is cut.
 PRIOR, PRIOR_PAGES, CUT = 0.6, 8.0, 0.25
+#: The same in an article or main element.
+PRIOR_INSIDE = 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -84,7 +87,7 @@ class Page:
 
     def __init__(self, text: str | None):
         self.blocks: list[tuple[str, tuple[str, ...], bool, bool]] = []  # text, paths from the root, gone, inside
-        self.nodes: dict[str, list[int]] = {}  # path -> content digest, presentation digest, decided
+        self.nodes: dict[str, list[int]] = {}  # path -> content digest, presentation digest, decided, inside
         self._parts: list[str] = []
         self._mute: list[str] = []  # open marked inline elements, the outermost first
         self._stack: list[Node] = []
@@ -113,8 +116,8 @@ class Page:
         if top:
             n = self.nodes[top.path]
             n[1] = (n[1] * 1099511628211 + xxhash.xxh64_intdigest(own)) & 0x7FFFFFFFFFFFFFFF
-        decided = gone or inside or tag in ("html", "body")
-        self.nodes.setdefault(path, [0, 0, int(decided)])
+        decided = gone or tag in ("html", "body")
+        self.nodes.setdefault(path, [0, 0, int(decided), int(inside)])
         self._stack.append(Node(tag, path, gone, inside))
 
     def _close(self, tags: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
@@ -181,9 +184,13 @@ class Page:
         self._flush()
 
     def text(self, cut: frozenset[str] | set[str] = frozenset()) -> str:
-        """The main text, with the branches at the given paths cut off as well."""
-        kept = [(t, inside) for t, paths, gone, inside in self.blocks if not gone and (inside or not cut or cut.isdisjoint(paths))]
-        if any(inside for _, inside in kept):
+        """The main text, with the branches at the given paths cut off as well.
+
+        Text outside articles goes if those hold most of the text that is left, characters weighed by the priors.
+        """
+        kept = [(t, inside) for t, paths, gone, inside in self.blocks if not gone and (not cut or cut.isdisjoint(paths))]
+        within = sum(len(t) for t, inside in kept if inside)
+        if within and within * PRIOR_INSIDE >= sum(len(t) for t, inside in kept if not inside) * PRIOR:
             kept = [x for x in kept if x[1]]
         return "\n\n".join(t for t, _ in kept)
 
@@ -200,31 +207,32 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     c log c over those counts, combined likewise: a host with a third of all pages is no group of rows in one task.
     """
 
-    @F.pandas_udf("array<struct<host: string, path: string, content: long, shape: long, decided: boolean>>")
+    @F.pandas_udf("array<struct<host: string, path: string, content: long, shape: long, decided: boolean, inside: boolean>>")
     def nodes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for urls, texts in batches:
             out = []
             for u, t in zip(urls, texts):
                 host = host_of(u)
-                out.append([{"host": host, "path": p, "content": c, "shape": s, "decided": bool(d)} for p, (c, s, d) in Page(t).nodes.items()])
+                out.append([{"host": host, "path": p, "content": c, "shape": s, "decided": bool(d), "inside": bool(i)} for p, (c, s, d, i) in Page(t).nodes.items()])
             yield pd.Series(out)
 
     rows = pages.select(F.md5(F.encode(page, "UTF-8")).alias("copy"), F.explode(nodes(url, page)).alias("n")).select("copy", "n.*").distinct()
-    each = rows.groupBy("host", "path", "content", "shape").agg(F.count(F.lit(1)).alias("c"), F.min("decided").alias("decided"))
+    each = rows.groupBy("host", "path", "content", "shape").agg(F.count(F.lit(1)).alias("c"), F.min("decided").alias("decided"), F.max("inside").alias("inside"))
     each = written(each)  # pages are parsed once for both entropies
     key = ["host", "path"]
 
     def entropy(by: str) -> DataFrame:
         c = F.col("c").cast("double")
-        counts = each.groupBy(*key, by).agg(F.sum("c").alias("c"), F.min("decided").alias("decided"))
-        return counts.groupBy(*key).agg(F.sum("c").alias("n_pages"), F.min("decided").alias("decided"), F.sum(c * F.log(c)).alias("s"))
+        counts = each.groupBy(*key, by).agg(F.sum("c").alias("c"), F.min("decided").alias("decided"), F.max("inside").alias("inside"))
+        return counts.groupBy(*key).agg(F.sum("c").alias("n_pages"), F.min("decided").alias("decided"), F.max("inside").alias("inside"), F.sum(c * F.log(c)).alias("s"))
 
     relative = lambda n, s: F.when(n > 1, (F.log(n) - s / n) / F.log(n)).otherwise(1.0)
     a, b = entropy("content").alias("a"), entropy("shape").alias("b")
     n = F.col("a.n_pages").cast("double")
     evidence = GAMMA * relative(n, F.col("a.s")) + (1 - GAMMA) * relative(n, F.col("b.s"))
-    joined = a.join(b, key).select(*key, F.col("a.n_pages").alias("n_pages"), F.col("a.decided").alias("decided"), evidence.alias("e"))
-    return joined.select(*key, "n_pages", ((F.col("n_pages") * F.col("e") + PRIOR_PAGES * PRIOR) / (F.col("n_pages") + PRIOR_PAGES)).alias("importance"), "decided")
+    joined = a.join(b, key).select(*key, F.col("a.n_pages").alias("n_pages"), F.col("a.decided").alias("decided"), F.col("a.inside").alias("inside"), evidence.alias("e"))
+    prior = F.when(F.col("inside"), PRIOR_INSIDE).otherwise(PRIOR)
+    return joined.select(*key, "n_pages", ((F.col("n_pages") * F.col("e") + PRIOR_PAGES * prior) / (F.col("n_pages") + PRIOR_PAGES)).alias("importance"), "decided")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

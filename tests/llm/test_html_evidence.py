@@ -12,3 +12,15 @@ def test_copies_of_a_page_are_one_page(spark):
     copy, other = "<body><div class=post><p>the same words</p></div></body>", "<body><div class=post><p>other words</p></div></body>"
     got = texts(spark, [("http://copies.example/", copy)] * 50 + [(None, copy)] * 20 + [(None, other)])
     assert got == ["the same words"] * 70 + ["other words"]
+
+
+def test_furniture_inside_main_is_cut(spark):
+    page = "<body><main><div class=box><p>box of every page</p></div><div class=story><p>own words {}</p></div></main></body>"
+    got = texts(spark, [(f"http://site.example/{i}", page.format(f"no {i}")) for i in range(40)])
+    assert got == [f"own words no {i}" for i in range(40)]
+
+
+def test_a_small_article_is_not_the_whole_text(spark):
+    body = "the long story that stands beside the teaser " * 10
+    got = texts(spark, [("http://teaser.example/", f"<body><article><p>read more</p></article><div class=x2><p>{body}</p></div></body>")])
+    assert body.strip() in got[0]
