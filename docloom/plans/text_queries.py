@@ -72,6 +72,22 @@ def direction(spark, sf_dir):
     return d.select("doc_id", T.dominant_direction(F.col("t")).alias("direction"))
 
 
+@query(
+    "txt_direction_whole",
+    rf"""with m as (select doc_id, case when doc_id % 2 = 0 then text || a else a || text end as t
+        from (select doc_id, text, repeat('{_ARABIC}', (length(text) * (doc_id % 13) // 100)::int) as a from documents)),
+    c as (select doc_id, t, len(regexp_extract_all(t, '[\x{{0590}}-\x{{08ff}}]')) as r, len(regexp_extract_all(t, '[A-Za-z]')) as l from m)
+    select doc_id, case when r = 0 then 'ltr' when l = 0 then 'rtl' when r >= greatest(2, floor(l * 0.45::double)) then 'rtl'
+        when regexp_matches(regexp_extract(t, '[\x{{0590}}-\x{{08ff}}A-Za-z]'), '[A-Za-z]') then 'ltr' else 'rtl' end as direction
+    from c""",
+)
+def direction_whole(spark, sf_dir):
+    """Directions of whole texts with Arabic before or after them, up to 12 words for every 100 characters."""
+    more = f"repeat('{_ARABIC}', cast(length(text) * (doc_id % 13) div 100 as int))"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"case when doc_id % 2 = 0 then text || {more} else {more} || text end").alias("t"))
+    return d.select("doc_id", T.dominant_direction(F.col("t")).alias("direction"))
+
+
 @query(
     "txt_doc_id_codec",
     """select c_custkey, translate(rtrim(to_base64(encode(c_name)), '='), '+/', '-_') as encoded, c_name as decoded from customer""",
