@@ -9,6 +9,7 @@ and does not grow with the corpus.
 from __future__ import annotations
 
 import itertools
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ FUNCTION_WORDS = frozenset(
     b"el los las del y que es por una con para su al lo como se no".split()
 )
 SYMBOLS = "#*$%&|<>"
+_OTHER = re.compile(r"[^\x00-\x7f]+")
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_function", "n_upper", "n_letters", "n_loud", "n_bare")
 KIND = T.StructType([T.StructField(x, T.LongType()) for x in FEATURES])
 
@@ -47,13 +49,11 @@ def features(text: str | None) -> tuple[int, ...]:
                 hit[i] = hit[i + 1] = hit[i + 2] = 1
         repeated = sum(hit)
     lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
-    upper = sum(map(str.isupper, text)) if n < 40 else 0
-    letters = sum(map(str.isalpha, text)) if n < 40 else 0
-    if n >= 40:  # ASCII letters and other letters by length differences, without a step per character
-        data = np.frombuffer(utf8(text), np.uint8)
-        count = np.bincount(data, minlength=256)
-        upper, lower = int(count[65:91].sum()), int(count[97:123].sum())
-        letters = upper + lower + int(count[0xC3:0xDF].sum())
+    # Capitals and letters of any script; those of ASCII by counts of bytes, without a step per character.
+    count = np.bincount(np.frombuffer(utf8(text), np.uint8), minlength=256)
+    other = "".join(_OTHER.findall(text))
+    upper = int(count[65:91].sum()) + sum(map(str.isupper, other))
+    letters = int(count[65:91].sum() + count[97:123].sum()) + sum(map(str.isalpha, other))
     return (
         n, len(text) - sum(map(text.count, " \t\n\r\x0b\x0c")), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines),
         sum(map(FUNCTION_WORDS.__contains__, map(bytes.lower, words))), upper, letters, text.count("!!"), sum(1 for w in words if len(w) == 1 and not w.isalnum()),
