@@ -34,11 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
+    path = _scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by keys like the session's shuffles: joins on keys do not shuffle it."""
+    spark = df.sparkSession
+    path = _scratch(spark)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(file)
+    return path
+
+
 #: Rows of whole texts that a Python worker gets at a time, unless the session sets its own number.
 BATCH_ROWS = 1000
 

@@ -8,7 +8,6 @@ probabilities, and a document's are their mean.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,6 @@ STEPS = 260
 BATCH = 128
 RATE = 0.02
 BLOCK = 2048
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _cell(gx: np.ndarray, h: np.ndarray, u: np.ndarray, hidden: int):
@@ -163,7 +161,7 @@ def fit(docs: DataFrame) -> tuple[list[str], Net | None]:
 
 def predict(net: Net, langs: list[str], texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and probability of each whole text; `und` and 0 for null texts and texts without a letter."""
-    raw = [utf8(x) if x is not None and _LETTER.search(x) else b"" for x in texts]
+    raw = [utf8(x) if x is not None and any(map(str.isalpha, x)) else b"" for x in texts]
     total = np.zeros((len(raw), len(langs)))
     pieces, owner, lengths = [], [], []
 
@@ -191,9 +189,11 @@ def predict(net: Net, langs: list[str], texts: list[str | None]) -> tuple[list[s
 def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row; learns only from rows outside the held-out fold.
 
-    The fold is crc32 of the id as text, modulo folds; a null id counts as the empty text. Null texts and texts
-    without a letter are `und` with score 0, and so is everything if there is nothing to learn from. Extra columns
-    are dropped.
+    The fold is crc32 of the id as text, modulo folds; a null id counts as the empty text. Null and empty texts and
+    texts without a letter (a character of a Unicode category L; digits, fractions, circled numbers and marks are none)
+    are `und` with score 0, and so is everything if there is nothing to learn from. Very long texts are read whole,
+    in windows. Of equally likely languages the first in code-point order wins. Repeated rows stay and are judged
+    alike. Extra columns are dropped, whatever their names. An empty table gives an empty result.
     """
     d = small_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     fold = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % folds

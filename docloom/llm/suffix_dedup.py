@@ -7,16 +7,20 @@ position in the window with the smallest hash of GRAM bytes. Equal windows have
 all repeats of a window carry one anchor hash. Neighbouring windows share anchors; a run of windows with one anchor
 is one row (about one per 185 bytes), with a hash of all the bytes that the run spans.
 
-1. Runs with the same anchor and the same bytes: all their windows are repeats (copies, the inside of long matches).
-2. Anchors that remain in two or more different runs mark the ends of matches. One context of each such run is sent to
-   its anchor's group, unless the bytes that its windows share (by ranges of offsets) are found in no other. Groups are packed into batches; over a batch's text a suffix order is built by prefix doubling,
-   its Burrows-Wheeler transform is cut into runs, and the length of the match with the preceding suffix is taken
-   directly only at the starts of runs: elsewhere it is one less than that of the text position before. Streaming over
-   the text gives matching statistics, and a window is a repeat where they reach WIDTH.
-3. A group too large for one task is dealt out again by a finer range of offsets and the bytes that all windows of the
-   range share, down to single windows, where equal rows are counted.
-
-Hashes of 64 bits stand for bytes in steps 1 and 3, always within an anchor of 64 bits more.
+1. Equal texts are one text; a text that occurs more than once is a repeat as a whole.
+2. Runs of one anchor and the same bytes are one class. Of each class whose anchor occurs more than once, one context
+   goes to the anchor's group, or two if the class has several runs; contexts whose windows share their common bytes
+   (by ranges of offsets) with no other are left out, as they can match nothing.
+3. Groups are packed into batches. Over a batch's text a suffix order is built by prefix doubling, its
+   Burrows-Wheeler transform is cut into runs, and the length of the match with the preceding suffix is taken directly
+   only at the starts of runs: elsewhere it is one less than that of the text position before. Streaming over the text
+   gives matching statistics, and a window is a repeat where they reach WIDTH. What holds for the context of a class
+   holds for all its runs.
+4. A group too large for one task is dealt out again by finer ranges of offsets and the bytes that all windows of a
+   range share, down to single windows; each of these smaller groups is indexed in the same way.
+
+Hashes only bring together what may be equal; the index compares the bytes and decides. (That all members of a class
+have the same bytes rests on 128 bits of hashes, those of the anchor and of the run.)
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, text_of, utf8, written
+from .common import bucketed, mix64, small_batches, text_of, utf8, written
 
 WIDTH = 400
 GRAM = 32
@@ -42,8 +46,6 @@ GROUP_BYTES = 1 << 20
 BATCH_BYTES = 1 << 20
 #: Offsets in a range, by level; the first is all there are.
 RANGES = (WIDTH, 46, 6, 1)
-#: Most classes of runs that are broadcast, and the fewest rows that make a class crowded.
-CROWDED, LEAST_CROWDED = 50_000, 1000
 #: Offsets in a range of the filter before the index.
 COARSE = 62
 _BASE = 0xD6E8FEB86659FD93
@@ -181,23 +183,42 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-_ID = "doc_id long, h long"
+#: Columns that name a distinct text: two independent 64-bit hashes.
+ID = ("h", "g")
+#: Columns that name a context: its class, and which of the class's members it is (0, or 1 for a second).
+ROLE = ("one", "two", "copy")
+_ID = "h long, g long"
 
 
-def anchored(docs: DataFrame) -> DataFrame:
-    """One row per run of each (doc_id, h, text): anchor, whole, and its windows a to b and the anchor's place, in bytes."""
+def texts_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, g, text, copies): the distinct texts of docs (null: empty) in a table bucketed by (h, g).
+
+    Equal texts meet here once, so that all later work follows the amount of distinct text. The buckets spare the
+    later joins by (h, g) their shuffles of texts.
+    """
+    d = docs.select(*names(text), text_of(text).alias("text"))
+    return bucketed(d.groupBy(*ID).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), *ID)
+
+
+def names(text: str = "text") -> list:
+    """The columns h and g of a text."""
+    return [F.xxhash64(text_of(text)).alias("h"), F.xxhash64(F.lit("second"), text_of(text)).alias("g")]
+
+
+def anchored(texts: DataFrame) -> DataFrame:
+    """One row per run of each (h, g, text): anchor, whole, and its windows a to b and the anchor's place, in bytes."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for doc_id, h, text in zip(rows["doc_id"].tolist(), rows["h"].tolist(), rows["text"]):
+            for h, g, text in zip(rows["h"].tolist(), rows["g"].tolist(), rows["text"]):
                 data = np.frombuffer(utf8(text), np.uint8)
                 for first, a, b, place, anchor, whole in runs(data):
-                    out.append(pd.DataFrame({"doc_id": pd.Series([None if doc_id is None or doc_id != doc_id else int(doc_id)] * len(a), dtype="Int64"), "h": h, "anchor": anchor.astype(np.int64), "whole": whole.astype(np.int64), "a": first + a, "b": first + b, "place": first + place}))
+                    out.append(pd.DataFrame({"h": h, "g": g, "anchor": anchor.astype(np.int64), "whole": whole.astype(np.int64), "a": first + a, "b": first + b, "place": first + place}))
             if out:
                 yield pd.concat(out)
 
-    return docs.mapInPandas(cut, f"{_ID}, anchor long, whole long, a long, b long, place long")
+    return texts.select(*ID, "text").mapInPandas(cut, f"{_ID}, anchor long, whole long, a long, b long, place long")
 
 
 def cores(context: bytes, off: int) -> list[int]:
@@ -211,33 +232,36 @@ def cores(context: bytes, off: int) -> list[int]:
 
 def paired(rows: DataFrame) -> DataFrame:
     """The contexts that share the core of some range with another one: no window of the rest is a repeat."""
-    core = rows.select("key", F.explode("cores").alias("core"), "doc_id", "h", "start")
+    core = rows.select("key", F.explode("cores").alias("core"), *ROLE)
     twice = core.groupBy("key", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "core")
-    some = core.join(twice, ["key", "core"]).select("h", "start", "key", F.col("doc_id").alias("__id")).distinct()
-    return rows.join(some, ["h", "start", "key"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id", "cores")
+    some = core.join(twice, ["key", "core"]).select("key", *ROLE).distinct()
+    return rows.join(some, ["key", *ROLE]).drop("cores")
 
 
-def contexts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The bytes that the chosen run of each class spans: key, offset of the first window before the anchor, bytes."""
-    wanted = classes.groupBy("rep.doc_id", "rep.h").agg(F.collect_list(F.struct("anchor", "single", "rep.a", "rep.b", "rep.place")).alias("runs"))
-    joined = docs.join(wanted.withColumnRenamed("doc_id", "__id").withColumnRenamed("h", "__h"), (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+def contexts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The bytes that the chosen runs of each class span: ROLE, key, offset of the first window before the anchor, bytes.
+
+    The key is the anchor; a class of several runs sends two of them, as different texts or places hold its bytes.
+    """
+    runs = classes.select("anchor", "whole", F.posexplode(F.when(F.col("c") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("copy", "r"))
+    wanted = runs.groupBy("r.h", "r.g").agg(F.collect_list(F.struct("anchor", "whole", "copy", "r.a", "r.b", "r.place")).alias("runs"))
 
-    @F.pandas_udf("array<struct<key: long, single: boolean, off: long, start: long, context: binary, cores: array<long>>>")
+    @F.pandas_udf("array<struct<one: long, two: long, copy: int, key: long, off: long, context: binary, cores: array<long>>>")
     def slices(texts: pd.Series, rows: pd.Series) -> pd.Series:
         out = []
         for text, found in zip(texts, rows):
             data, mine = utf8(text), []
             for r in found:
                 c, off = data[r["a"] : r["b"] + WIDTH], r["place"] - r["a"]
-                mine.append({"key": r["anchor"], "single": r["single"], "off": off, "start": r["a"], "context": c, "cores": cores(c, off)})
+                mine.append({"one": r["anchor"], "two": r["whole"], "copy": r["copy"], "key": r["anchor"], "off": off, "context": c, "cores": cores(c, off)})
             out.append(mine)
         return pd.Series(out)
 
-    return joined.select("doc_id", "h", F.explode(slices("text", "runs")).alias("c")).select("doc_id", "h", "c.*")
+    return texts.join(wanted, [*ID]).select(F.explode(slices("text", "runs")).alias("c")).select("c.*")
 
 
 def indexed(rows: DataFrame) -> DataFrame:
-    """Repeated windows (doc_id, h, a, b) among contexts of the same key, by indexes over batches of whole groups."""
+    """Repeated windows (one, two, a, b) of the classes of the contexts, by indexes over batches of whole groups of one key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -245,36 +269,34 @@ def indexed(rows: DataFrame) -> DataFrame:
 
         def result() -> pd.DataFrame:
             out = []
-            for (doc_id, h, single, start, _), flags in zip(held, repeats([x[4] for x in held])):
-                if single:
-                    out.extend((doc_id, h, start + a, start + b) for a, b in _spans(flags))
-            ids = pd.Series([x[0] for x in out], dtype="Int64")
-            return pd.DataFrame({"doc_id": ids, "h": [x[1] for x in out], "a": [x[2] for x in out], "b": [x[3] for x in out]}).astype({"h": "int64", "a": "int64", "b": "int64"})
+            for (one, two, copy, _), flags in zip(held, repeats([x[3] for x in held])):
+                if copy == 0:
+                    out.extend((one, two, a, b) for a, b in _spans(flags))
+            return pd.DataFrame(out, columns=["one", "two", "a", "b"]).astype("int64")
 
         last = None
         for rows in batches:
-            ids = rows["doc_id"].astype("Int64")
-            for key, doc_id, h, single, start, c in zip(rows["key"].tolist(), ids, rows["h"].tolist(), rows["single"].tolist(), rows["start"].tolist(), rows["context"]):
+            for key, one, two, copy, c in zip(*(rows[x].tolist() for x in ("key", *ROLE, "context"))):
                 if key != last and size >= BATCH_BYTES:
                     yield result()
                     held, size = [], 0
                 last = key
-                held.append((None if doc_id is pd.NA else int(doc_id), h, single, start, bytes(c)))
+                held.append((one, two, copy, bytes(c)))
                 size += len(c) + 1
         if held:
             yield result()
 
-    placed = rows.repartition("key").sortWithinPartitions("key", "doc_id", "h", "start")
-    return placed.select("key", "doc_id", "h", "single", "start", "context").mapInPandas(run, f"{_ID}, a long, b long")
+    placed = rows.repartition("key").sortWithinPartitions("key", *ROLE)
+    return placed.select("key", *ROLE, "context").mapInPandas(run, "one long, two long, a long, b long")
 
 
 def finer(rows: DataFrame, width: int) -> DataFrame:
-    """The contexts dealt out by ranges of `width` offsets: the new key holds the bytes that all windows of a range share."""
+    """The contexts dealt out by ranges of `width` offsets: the new key holds the bytes that all windows of a range share, `part` all its bytes."""
 
-    @F.pandas_udf("array<struct<key: long, whole: long, off: long, start: long, context: binary>>")
-    def deal(keys: pd.Series, offs: pd.Series, starts: pd.Series, data: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<key: long, part: long, off: long, start: long, context: binary>>")
+    def deal(keys: pd.Series, offs: pd.Series, data: pd.Series) -> pd.Series:
         out = []
-        for key, off, start, c in zip(keys.tolist(), offs.tolist(), starts.tolist(), data):
+        for key, off, c in zip(keys.tolist(), offs.tolist(), data):
             c = bytes(c)
             h = Hashes(np.frombuffer(c, np.uint8))
             low = off - (len(c) - WIDTH)  # offset of the last window
@@ -284,80 +306,74 @@ def finer(rows: DataFrame, width: int) -> DataFrame:
                 core = off - q * width, off - (q * width + width - 1) + WIDTH
                 both = h(np.array([core[0], a]), np.array([core[1], b + WIDTH]))
                 with np.errstate(over="ignore"):
-                    new, whole = mix64(np.array([np.uint64(key & (2**64 - 1)) * _GOLD + both[0] + np.uint64(q), both[1] + np.uint64(off - a)])).astype(np.int64).tolist()
-                mine.append({"key": new, "whole": whole, "off": off - a, "start": start + a, "context": c[a : b + WIDTH]})
+                    new, part = mix64(np.array([np.uint64(key & (2**64 - 1)) * _GOLD + both[0] + np.uint64(q), both[1] + np.uint64(off - a)])).astype(np.int64).tolist()
+                mine.append({"key": new, "part": part, "off": off - a, "start": a, "context": c[a : b + WIDTH]})
             out.append(mine)
         return pd.Series(out)
 
-    return rows.select("doc_id", "h", "single", F.explode(deal("key", "off", "start", "context")).alias("c")).select("doc_id", "h", "single", "c.*")
+    return rows.select(*ROLE, F.explode(deal("key", "off", "context")).alias("c")).select(*ROLE, "c.*")
 
 
-def settled(rows: DataFrame, level: int) -> DataFrame:
-    """Repeated windows among contexts of the same key, whatever the size of a group.
+def settled(rows: DataFrame, level: int = 0) -> DataFrame:
+    """Repeated windows (one, two, a, b) of the classes of the contexts, whatever the size of a group.
 
-    Only groups over GROUP_BYTES go to the next level; the last level compares single windows and needs no index.
+    Groups over GROUP_BYTES are dealt out by ranges of offsets. Equal parts of contexts are classes again, of which two
+    members go on, so that groups shrink; in the last level a group is a single window, twice at most. What the index
+    says of a class of parts holds for all contexts that have it.
     """
+    if level + 1 == len(RANGES):
+        return indexed(rows)
     sizes = rows.groupBy("key").agg(F.sum(F.length("context")).alias("bytes"))
     large = written(sizes.where(F.col("bytes") > GROUP_BYTES).select("key"))
-    small = indexed(rows.join(large, "key", "left_anti") if (any_large := bool(large.take(1))) else rows)
-    if not any_large:
-        return small
+    if not large.take(1):
+        return indexed(rows)
+    small = indexed(rows.join(large, "key", "left_anti"))
     parts = written(finer(rows.join(large, "key", "left_semi"), RANGES[level + 1]))
-    rep = F.struct("doc_id", "h", "off", "start")
-    classes = parts.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(rep).alias("rep"))
-    again = written(classes.where("c > 1").select("key", "whole"))
-    equal = parts.where("single").join(again, ["key", "whole"]).select("doc_id", "h", F.col("start").alias("a"), (F.col("start") + F.length("context") - WIDTH).alias("b"))
-    out = small.union(equal)
-    if RANGES[level + 1] > 1:
-        several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-        chosen = classes.join(several, "key").select("key", "whole", (F.col("c") == 1).alias("alone"), "rep.*")
-        same = ["key", "whole", "off", "start"]
-        p = parts.select(*same, "single", "context", F.col("doc_id").alias("__id"), F.col("h").alias("__h")).dropDuplicates([*same, "__id", "__h"])
-        c = chosen.join(p, same).where(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
-        rest = written(c.select("doc_id", "h", (F.col("single") & F.col("alone")).alias("single"), "key", "off", "start", "context"))
-        out = out.union(settled(rest, level + 1))
-    return out
+    me = F.struct(*ROLE, "start", "off", "context")
+    classes = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.min(me).alias("first"), F.max(me).alias("last"))
+    both = F.posexplode(F.when(F.col("c") > 1, F.array("first", "last")).otherwise(F.array("first")))
+    chosen = classes.select("key", "part", both.alias("copy", "r")).select(F.col("key").alias("one"), F.col("part").alias("two"), "copy", "key", "r.off", "r.context")
+    found = written(settled(written(chosen), level + 1)).select(F.col("one").alias("key"), F.col("two").alias("part"), "a", "b")
+    again = parts.where("copy = 0").select("one", "two", "start", "key", "part").join(found, ["key", "part"])
+    return small.union(again.select("one", "two", F.col("start") + F.col("a"), F.col("start") + F.col("b")))
+
+
+def repeated(texts: DataFrame) -> DataFrame:
+    """Runs of windows (h, g, a, b) that are repeats, of distinct texts (h, g, text)."""
+    rows = written(anchored(texts))
+    run = F.struct(*ID, "a", "b", "place")
+    classes = rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(run).alias("first"), F.max(run).alias("last"))
+    anchors = classes.groupBy("anchor").agg(F.sum("c").alias("n")).where("n > 1").select("anchor")
+    shared = written(classes.join(anchors, "anchor"))
+    found = written(settled(written(paired(written(contexts(texts, shared))))))
+    found = found.select(F.col("one").alias("anchor"), F.col("two").alias("whole"), F.col("a").alias("from"), F.col("b").alias("to"))
+    return rows.join(found, ["anchor", "whole"]).select(*ID, (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
 
 
-def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The runs of the given classes (anchor, whole, c rows each).
+def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per distinct text of docs: h and g (see names()), text, copies, and spans, the bytes to remove as array<struct<start, end>> in order and apart, ends exclusive.
 
-    Classes of more rows than one CROWDED-th of all (and LEAST_CROWDED) are CROWDED at most, a proven bound: they are broadcast, and their
-    runs are never shuffled by class.
+    Null texts are empty; texts of fewer than WIDTH bytes hold no repeat. A text that docs holds more than once repeats
+    itself as a whole. Very long texts are anchored in sections of SECTION bytes that overlap by a window. Rows and
+    ids play no part, so null ids, ties, repeated rows and clashing column names are harmless. An empty table gives
+    an empty result.
     """
-    key, limit = ["anchor", "whole"], max(LEAST_CROWDED, rows.count() // CROWDED)
-    crowded = F.broadcast(classes.where(F.col("c") > limit).select(*key))
-    rest = rows.join(crowded, key, "left_anti").join(classes.where(F.col("c") <= limit).select(*key), key)
-    return rows.join(crowded, key, "left_semi").unionByName(rest)
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """Runs of windows (doc_id, h, a, b) that are repeats, of documents (doc_id, h, text)."""
-    rows = written(anchored(docs))
-    rep = F.struct("doc_id", "h", "a", "b", "place")
-    classes = rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(rep).alias("rep"))
-    anchors = classes.groupBy("anchor").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("n > 1")
-    shared = written(classes.join(anchors, "anchor"))
-    equal = _of_classes(rows, shared.where("c > 1").select("anchor", "whole", "c")).select("doc_id", "h", "a", "b")
-    mixed = shared.where("k > 1").select("anchor", (F.col("c") == 1).alias("single"), "rep")
-    return equal.union(settled(written(paired(written(contexts(docs, mixed)))), 0))
-
+    texts = texts_of(small_batches(docs), text)
+    lists = written(repeated(texts).groupBy(*ID).agg(F.collect_list(F.struct("a", "b")).alias("windows")))
 
-def dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> tuple[DataFrame, str, str]:
-    """doc_id and text of every row with the byte spans to remove, in order and apart; the names of the two last columns.
+    @F.pandas_udf("array<struct<start: long, end: long>>")
+    def spans(sizes: pd.Series, copies: pd.Series, windows: pd.Series) -> pd.Series:
+        out = []
+        for n, c, w in zip(sizes.tolist(), copies.tolist(), windows):
+            found = [(0, n)] if c > 1 and n >= WIDTH else removed(w) if w is not None else []
+            out.append([{"start": a, "end": b} for a, b in found])
+        return pd.Series(out)
 
-    Null texts are empty; texts of fewer than WIDTH bytes hold no repeat. A repeated row is a repeat of itself. Null
-    ids are allowed. Extra columns are dropped. An empty table gives an empty result.
-    """
-    d = small_batches(docs).select(F.col(id_column).alias("doc_id"), text_of(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    found = repeated(d).distinct()
-    lists = written(found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("windows")))
-    lists = lists.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "windows")
-    joined = d.join(lists, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.select("doc_id", "text", "windows"), "text", "windows"
+    size = F.octet_length(F.encode("text", "UTF-8"))
+    return texts.join(lists, [*ID], "left").withColumn("spans", spans(size, "copies", "windows")).drop("windows")
 
 
-def removed(windows, size: int) -> list[tuple[int, int]]:
+def removed(windows) -> list[tuple[int, int]]:
     """Maximal byte spans (end exclusive) covered by windows, given as (first, last) pairs."""
     out: list[tuple[int, int]] = []
     for a, b in sorted((w["a"], w["b"] + WIDTH) for w in windows):
@@ -368,28 +384,27 @@ def removed(windows, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def keep(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+def keep(data: bytes, spans) -> bytes:
     """data without the spans."""
     at, out = 0, []
-    for a, b in spans:
-        out.append(data[at:a])
-        at = b
+    for s in spans:
+        out.append(data[at : s["start"]])
+        at = s["end"]
     out.append(data[at:])
     return b"".join(out)
 
 
 def query(spark, sf_dir):
     """op7: whole `documents`."""
-    joined, text, windows = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def report(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, found in batches:
-            rows = []
-            for t, w in zip(texts, found):
-                data = utf8(t)
-                spans = removed(w, len(data)) if w is not None else []
-                rows.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(keep(data, spans)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return joined.withColumn("r", report(text, windows)).select("doc_id", "r.*")
+    def report(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, found in zip(texts, spans):
+            data = utf8(t)
+            rows.append((len(data), sum(s["end"] - s["start"] for s in found), len(found), hashlib.sha256(keep(data, found)).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    r = dedup(docs).select(*ID, report("text", "spans").alias("r"))
+    return docs.select("doc_id", *names()).join(r, [*ID]).select("doc_id", "r.*")
