@@ -88,17 +88,22 @@ def votes(at: str) -> list:
 N_RULES = 9
 
 
-def fit(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[dict[tuple[int, ...], float], dict]:
+#: Where the estimation starts: how often a rule that votes is right about good and about bad documents, and the share of good ones.
+START = (0.97, 0.35, 0.85)
+#: Documents that the start counts as; it keeps rates of rules that never vote, and the meaning of the two classes.
+WORTH = 20.0
+
+
+def fit(counts: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[dict[tuple[int, ...], float], dict]:
     """Posterior of "good" for every possible pattern of votes, and the fitted model.
 
-    Class-conditional vote rates, given that a rule votes; an abstention says nothing. The starting point takes a
-    bad vote as strong and a good vote as weak evidence, and Beta priors worth a twentieth of the corpus keep the
-    meaning of the two classes. Empty counts give the starting model.
+    Class-conditional vote rates, given that a rule votes; an abstention says nothing. The rates and the share of good
+    documents are learned, from a start that takes a bad vote as strong and a good vote as weak evidence and then counts as
+    WORTH documents. Empty counts, or no rounds, give the starting model.
     """
     seen = np.array(list(counts) or [(0,) * N_RULES])
     weight = np.array(list(counts.values()) or [0.0], float)
-    good, bad = np.full(N_RULES, 0.97), np.full(N_RULES, 0.35)
-    prior, strength = 0.85, max(20.0, 0.05 * weight.sum())
+    good, bad, prior = np.full(N_RULES, START[0]), np.full(N_RULES, START[1]), START[2]
 
     def posterior(v: np.ndarray) -> np.ndarray:
         g = np.where(v == 1, np.log(good), np.where(v == -1, np.log1p(-good), 0)).sum(1) + np.log(prior)
@@ -109,9 +114,9 @@ def fit(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[dict[tupl
         p = posterior(seen)
         plus, minus = (seen == 1).T, (seen == -1).T
         g1, g0, b1, b0 = plus @ (weight * p), minus @ (weight * p), minus @ (weight * (1 - p)), plus @ (weight * (1 - p))
-        good = np.clip((g1 + 0.97 * strength) / (g1 + g0 + strength), 0.9, 0.999)
-        bad = np.clip((b1 + 0.35 * strength) / (b1 + b0 + strength), 0.15, 0.95)
-        prior = float(np.clip((weight @ p + 0.85 * strength) / (weight.sum() + strength), 0.5, 0.98))
+        good = (g1 + START[0] * WORTH) / (g1 + g0 + WORTH)
+        bad = (b1 + START[1] * WORTH) / (b1 + b0 + WORTH)
+        prior = float((weight @ p + START[2] * WORTH) / (weight.sum() + WORTH))
     every = np.array(list(itertools.product((-1, 0, 1), repeat=N_RULES)))
     return dict(zip(map(tuple, every.tolist()), posterior(every).tolist())), {"good": good.tolist(), "bad": bad.tolist(), "prior": prior}
 
@@ -158,8 +163,9 @@ def judged(measured: DataFrame, at: str, code: str, threshold: float = 0.5) -> D
 def quality_rules(docs: DataFrame, text: str = "text", id_column: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """One row per document: its id, the measures, posterior, base_failed and kept.
 
-    Null texts count as empty: no words, base_failed. Null ids and repeated rows are kept as they are. Extra columns
-    are dropped. An empty table gives an empty result.
+    Null and empty texts have no words and are base_failed. Very long texts are measured whole. A posterior of just the
+    threshold is kept. Null ids and repeated rows are kept as they are and vote each. Extra columns are dropped,
+    whatever their names. An empty table gives an empty result.
     """
     measured, at, code = with_features(docs.select(id_column, text), text)
     measured = written(measured.select(id_column, at, code))
@@ -167,11 +173,16 @@ def quality_rules(docs: DataFrame, text: str = "text", id_column: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that the rules accept, with their own columns only (whatever they are called)."""
+    """The documents that the rules accept, with their own columns only (whatever they are called).
+
+    Rows are written with their measures once, so that texts are measured once. Documents with null or empty texts go,
+    as they have fewer than 50 words; null ids, repeated rows and very long texts are judged like all others. An empty
+    table gives an empty result.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     measured, at, code = with_features(plain, names[docs.columns.index(text)])
-    out = judged(measured, at, code, threshold).where("kept").select(*names)
+    out = judged(written(measured), at, code, threshold).where("kept").select(*names)
     return out.toDF(*docs.columns)
 
 
