@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_table, small_batches, written
+from .common import join_table, small_batches, written
 
 #: Weight of the content's entropy; the presentation's has the rest.
 GAMMA = 0.9
@@ -184,7 +184,7 @@ class Page:
         self._flush()
 
     def text(self, cut: frozenset[str] | set[str] = frozenset()) -> str:
-        """The main text, with the branches at the given paths cut off as well.
+        """The main text, with the branches at the given paths cut off as well: the rule of main_text() for one page.
 
         Text outside articles goes if those hold most of the text that is left, characters weighed by the priors.
         """
@@ -200,26 +200,44 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, path, n_pages, importance, decided) of every node of every host's tree.
+def _id(path: str) -> int:
+    return xxhash.xxh64_intdigest(path.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    Copies of a page are one page: they say nothing about what pages of a host share. Pages go by (host, path, digests) through a count that is combined before the shuffle, and entropies are sums of
-    c log c over those counts, combined likewise: a host with a third of all pages is no group of rows in one task.
+
+_NODE = "struct<path: string, id: long, content: long, shape: long, decided: boolean, inside: boolean>"
+_PAGE = f"host string, nodes array<{_NODE}>, blocks array<struct<text: string, at: array<long>, inside: boolean>>"
+
+
+def parsed(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """pages (their own columns but the page) with copy, host, nodes and blocks: every page is parsed once, here.
+
+    copy is a hash of the page; blocks are those that may be content, each with the ids of the nodes around it.
     """
 
-    @F.pandas_udf("array<struct<host: string, path: string, content: long, shape: long, decided: boolean, inside: boolean>>")
-    def nodes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_PAGE)
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for urls, texts in batches:
             out = []
             for u, t in zip(urls, texts):
-                host = host_of(u)
-                out.append([{"host": host, "path": p, "content": c, "shape": s, "decided": bool(d), "inside": bool(i)} for p, (c, s, d, i) in Page(t).nodes.items()])
-            yield pd.Series(out)
+                p = Page(t)
+                ids = {x: _id(x) for x in p.nodes}
+                nodes = [{"path": x, "id": ids[x], "content": c, "shape": s, "decided": bool(d), "inside": bool(i)} for x, (c, s, d, i) in p.nodes.items()]
+                out.append((host_of(u), nodes, [{"text": t, "at": [ids[x] for x in paths], "inside": i} for t, paths, gone, i in p.blocks if not gone]))
+            yield pd.DataFrame(out, columns=["host", "nodes", "blocks"])
+
+    rest = [x for x in pages.columns if x != page]
+    return pages.select(*rest, F.md5(F.encode(page, "UTF-8")).alias("copy"), read(url, page).alias("__p")).select(*rest, "copy", "__p.*")
+
 
-    rows = pages.select(F.md5(F.encode(page, "UTF-8")).alias("copy"), F.explode(nodes(url, page)).alias("n")).select("copy", "n.*").distinct()
-    each = rows.groupBy("host", "path", "content", "shape").agg(F.count(F.lit(1)).alias("c"), F.min("decided").alias("decided"), F.max("inside").alias("inside"))
-    each = written(each)  # pages are parsed once for both entropies
-    key = ["host", "path"]
+def style_tree(pages: DataFrame) -> DataFrame:
+    """(host, path, id, n_pages, importance, decided) of every node of every host's tree, from parsed() pages.
+
+    Copies of a page are one page: they say nothing about what pages of a host share. Pages go by (host, path, digests) through a count that is combined before the shuffle, and entropies are sums of
+    c log c over those counts, combined likewise: a host with a third of all pages is no group of rows in one task.
+    """
+    rows = pages.select("copy", "host", F.explode("nodes").alias("n")).select("copy", "host", "n.*").distinct()
+    key = ["host", "path", "id"]
+    each = written(rows.groupBy(*key, "content", "shape").agg(F.count(F.lit(1)).alias("c"), F.min("decided").alias("decided"), F.max("inside").alias("inside")))
 
     def entropy(by: str) -> DataFrame:
         c = F.col("c").cast("double")
@@ -235,27 +253,39 @@ def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     return joined.select(*key, "n_pages", ((F.col("n_pages") * F.col("e") + PRIOR_PAGES * prior) / (F.col("n_pages") + PRIOR_PAGES)).alias("importance"), "decided")
 
 
+def main_text(blocks, cuts):
+    """A page's text as a column: its blocks without the branches `cuts` (ids, or null), those of articles alone if they hold most.
+
+    The same rule as Page.text().
+    """
+    kept = F.filter(blocks, lambda b: cuts.isNull() | ~F.arrays_overlap(b["at"], cuts))
+
+    def size(blocks, inside: bool):
+        mine = F.filter(blocks, lambda b: b["inside"] == F.lit(inside))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+
+    def chosen(bs):
+        within = size(bs, True)
+        alone = (within > 0) & (within * PRIOR_INSIDE >= size(bs, False) * PRIOR)
+        return F.transform(F.filter(bs, lambda b: b["inside"] | ~alone), lambda b: b["text"])
+
+    return F.array_join(F.flatten(F.transform(F.array(kept), chosen)), "\n\n")
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text and n_chars for every row.
 
-    Null and empty pages have an empty text. Null ids and urls stay (the host is then empty). Repeated rows stay.
-    Extra columns are dropped. The table of branches to cut has a row
-    for each host that has any; it is broadcast if it is small, and else a host's pages are dealt out.
+    Null and empty pages have an empty text. Null ids and urls stay (the host is then empty). Repeated rows stay and
+    count as one page of their host. Very long pages are read whole. A branch whose importance is just CUT stays.
+    Extra columns are dropped, whatever their names. An empty table gives an empty result. The table of branches to
+    cut has a row for each host that has any; it is broadcast if it is small, and else a host's pages are dealt out.
     """
     p = small_batches(pages).select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
+    p = written(parsed(p))
     low = style_tree(p).where(~F.col("decided") & (F.col("importance") < CUT))
-    cuts = low.groupBy("host").agg(F.collect_set("path").alias("cuts"))
-    own = fresh(p.columns, "page_host")
-    # The host as host_of() has it.
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-
-    @F.pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, cut in batches:
-            yield pd.Series([Page(t).text(set(c) if c is not None else frozenset()) for t, c in zip(texts, cut)])
-
-    joined = join_table(p.withColumn(own, host), cuts, own, "host", "left", spread="url")
-    out = joined.select("page_id", "url", text("html", "cuts").alias("text"))
+    cuts = low.groupBy(F.col("host").alias("of")).agg(F.collect_set("id").alias("cuts"))
+    joined = join_table(p.select("page_id", "url", "host", "blocks"), cuts, "host", "of", "left", spread="url")
+    out = joined.select("page_id", "url", main_text(F.col("blocks"), F.col("cuts")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -529,7 +529,7 @@ def test_style_tree_cuts_what_every_page_of_a_host_has(spark):
     assert all("always" not in x.text and x.text for x in r if x.page_id < 60)
     assert [x.text for x in r if x.page_id == 100] == ["always the same words"] * 2
     assert next(x for x in r if x.page_id == 101).n_chars == 0
-    tree = {x.path: x for x in html_extract.style_tree(df).where("host = 'host.example'").collect()}
+    tree = {x.path: x for x in html_extract.style_tree(html_extract.parsed(df.select("url", "html"))).where("host = 'host.example'").collect()}
     assert tree["body/div.box"].importance < 0.25 < tree["body/div.text"].importance
     assert html_extract.extract(df.limit(0)).count() == 0
 
