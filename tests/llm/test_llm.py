@@ -230,8 +230,12 @@ def test_pii_adds_and_redacts(spark, clashing):
 
 
 def test_pii_leaves_clean_documents_alone(spark):
-    r = pii.pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    assert r.where("n_email + n_ip + n_card + n_phone = 0 and spans <> ''").count() == 0
+    """Without base spans only the planted keys are spans, and all of them are."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = F.col("text").rlike('token = "[0-9a-f]{40}"')
+    r = pii.pii(d).join(d.select("doc_id", planted.alias("planted")), "doc_id")
+    assert r.where("not planted and n_email + n_ip + n_card + n_phone = 0 and spans <> ''").count() == 0
+    assert r.where("planted and spans not like '%secret:%'").count() == 0 < r.where("planted").count()
 
 
 def test_pii_is_native(docs):
