@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, text_of, written
 
 #: Weights of the sources in code-point order, null last; they repeat.
 WEIGHTS = (5, 2, 1)
@@ -22,6 +22,8 @@ SHARE = 1.5
 PASSES = 2
 #: Slots of the prefix sums; more slots make smaller windows.
 SLOTS = 4096
+#: Entries around the cut that are sorted together; ranges of finish times are narrowed until they hold no more.
+FEW = 10_000
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -49,21 +51,25 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, source, size); size is the number of words of the whole text, 0 for null."""
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), words.alias("size"))
+    """(doc_id, source, size, place); size is the number of words of the whole text, 0 for null."""
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), place(id_column, text).alias("place"))
 
 
-def place():
-    """The place of a document in the shuffled order: 48 bits of a hash of its id."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 1, 12), 16, 10).cast("long")
+def words(text: str):
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def place(id_column: str, text: str):
+    """The place of a document in the shuffled order: 48 bits of a hash of its id, or of its text if it has no id."""
+    name = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("-"), text_of(text)))
+    return F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long")
 
 
 def mix(sizes: DataFrame) -> DataFrame:
-    """(doc_id, source, size) with source_size, target and taken.
+    """(doc_id, source, size, place), as sized() has them, with source_size, target and taken.
 
-    Null sources are one source, the last. Null ids are allowed: they share one place in the shuffled order, ties
-    going to the smaller size. Rows that are equal in all three columns are interchangeable. Documents without words
+    Null sources are one source, the last. Null ids are allowed: texts place them in the shuffled order. Ties of places
+    go by id, then size. Rows that are equal in all columns are interchangeable; null and empty texts have size 0. Documents without words
     take 0. An empty table gives an empty result. Both passes run through the same order, so a document never takes
     more than PASSES times its size.
     """
@@ -71,7 +77,7 @@ def mix(sizes: DataFrame) -> DataFrame:
     named = sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     s = named.select(F.col("source").alias("__source"), "source_no", "source_size", "target")
     queue = sizes.join(s, sizes["source"].eqNullSafe(s["__source"])).drop("__source")
-    queue = queue.withColumn("place", place()).withColumn("slot", F.shiftrightunsigned("place", 36).cast("int"))
+    queue = queue.withColumn("slot", F.shiftrightunsigned("place", 36).cast("int"))
 
     # Exact prefix sums by source: at most SLOTS sums per source, then a window within each slot.
     ahead = Window.partitionBy("source_no").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,11 +88,12 @@ def mix(sizes: DataFrame) -> DataFrame:
     queue = queue.withColumn("cum", F.col("own") + F.col("ahead")).drop("own", "ahead", "slot")
     queue = written(queue)
 
-    budget = sources.agg(F.round(F.sum("target")).cast("long")).first()[0]  # one row
+    found = sources.agg(F.round(F.sum("target")).cast("long"), F.max(F.when(F.col("target") > 0, PASSES * F.col("source_size") / F.col("target")))).first()  # one row
+    budget, end = found
     if budget is None:
-        return queue.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return queue.select(*KEPT, F.lit(0).cast("long").alias("taken"))
     entries = [_entry(i).alias(f"e{i}") for i in range(PASSES)]
-    cut = _cut(queue.where("size > 0").select(F.explode(F.array(*entries)).alias("e")), budget)
+    cut = _cut(queue.where("size > 0").select(F.explode(F.array(*entries)).alias("e")), budget, end or 0.0)
     taken = F.lit(0).cast("long")
     for i in range(PASSES):
         whole = F.col("size")
@@ -95,9 +102,10 @@ def mix(sizes: DataFrame) -> DataFrame:
             mine = F.struct(*(_entry(i)[x].alias(x) for x, _ in KEY))
             whole = F.when(mine < at, F.col("size")).when(mine == at, F.lit(cut["part"])).otherwise(F.lit(0))
         taken = taken + F.when(F.col("size") > 0, whole).otherwise(F.lit(0))
-    return queue.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return queue.select(*KEPT, taken.cast("long").alias("taken"))
 
 
+KEPT = ("doc_id", "source", "size", "place", "source_size", "target")
 #: Order of the entries of all queues.
 KEY = (("finish", "double"), ("source_no", "int"), ("pass", "int"), ("place", "long"), ("id", "long"), ("size", "long"))
 
@@ -110,21 +118,31 @@ def _entry(i: int):
     )
 
 
-def _cut(entries: DataFrame, budget: int) -> dict | None:
+def _cut(entries: DataFrame, budget: int, end: float) -> dict | None:
     """The entry at which the budget is full, and how much of it is taken; None if all entries fit.
 
-    Sums by range of finish time find the range in which the budget fills up; only that range is sorted.
+    Sums by range of finish time, from 0 to end, find the range in which the budget fills up; that range is cut into finer ones until
+    it holds FEW entries, or one finish time only, which a source has once a pass. Only that range is sorted.
     """
-    lane = F.least(F.floor(F.col("e.finish") * SLOTS), F.lit(4 * SLOTS)).cast("int")
-    sums = entries.groupBy(lane.alias("lane")).agg(F.sum("e.size").alias("amount"))
-    upto = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("amount").over(upto))  # at most 4 * SLOTS + 1 rows
-    full = sums.where(F.col("upto") >= budget).orderBy("lane").first()
-    if full is None:
-        return None
-    ahead = full["upto"] - full["amount"]
+    low, high, ahead = 0.0, float(end), 0
+    finish = F.col("e.finish")
+    while True:
+        inside = entries.where(finish.between(low, high))
+        width = (high - low) / SLOTS
+        lane = F.least(F.floor((finish - low) / width), F.lit(SLOTS - 1)).cast("int") if width > 0 else F.lit(0)
+        sums = inside.groupBy(lane.alias("lane")).agg(F.sum("e.size").alias("amount"), F.count(F.lit(1)).alias("n"), F.min(finish).alias("low"), F.max(finish).alias("high"))
+        upto = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("upto", F.sum("amount").over(upto) + F.lit(ahead))  # at most SLOTS rows
+        full = sums.where(F.col("upto") >= budget).orderBy("lane").first()
+        if full is None:
+            return None
+        ahead = full["upto"] - full["amount"]
+        narrower = (full["low"], full["high"]) != (low, high)
+        low, high = full["low"], full["high"]
+        if full["n"] <= FEW or low == high or not narrower:
+            break
     order = Window.orderBy(*(F.col(f"e.{x}") for x, _ in KEY)).rowsBetween(Window.unboundedPreceding, 0)
-    last = entries.where(lane == full["lane"]).withColumn("total", F.sum("e.size").over(order) + F.lit(ahead))
+    last = entries.where(finish.between(low, high)).withColumn("total", F.sum("e.size").over(order) + F.lit(ahead))
     row = last.where(F.col("total") >= budget).orderBy("total", "e").first()
     return {**row["e"].asDict(), "part": row["e"]["size"] - (row["total"] - budget)}
 
@@ -132,21 +150,24 @@ def _cut(entries: DataFrame, budget: int) -> dict | None:
 def take(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id") -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it whole, and the cut one as far as it is taken.
 
-    Returns docs' own columns. Repeats of a document are repeated rows; of the one document that the budget cuts,
-    its first words stand (with the white space between them).
+    Returns docs' own columns, whatever their names. Repeats of a document are repeated rows; of the one document that
+    the budget cuts, its first words stand (with the white space between them). Null and empty texts take part with no
+    words and go. Of repeated rows of one id, source and size all stay as often as the one that is taken most. Null ids
+    go by their texts. An empty table gives an empty result.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     key = {x: names[docs.columns.index(x)] for x in (text, source, id_column)}
     sizes = written(sized(plain, key[text], key[source], key[id_column]))
-    plan = mix(sizes).where("taken > 0").dropDuplicates(["doc_id", "source", "size"])
-    size = F.coalesce(F.regexp_count(F.col(key[text]), F.lit(WORD)), F.lit(0)).cast("long")
-    p = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "taken")
-    joined = plain.withColumn("__n", size).join(p, F.col(key[id_column]).eqNullSafe(F.col("__id")) & F.col(key[source]).eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
+    plan = mix(sizes).where("taken > 0").groupBy("doc_id", "source", "size", "place").agg(F.max("taken").alias("taken"))
+    p = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("place").alias("__at"), "taken")
+    own = plain.withColumn("__n", words(key[text])).withColumn("__place", place(key[id_column], key[text]))
+    same = F.col(key[id_column]).eqNullSafe(F.col("__id")) & F.col(key[source]).eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")) & (F.col("__place") == F.col("__at"))
+    joined = own.join(p, same)
     copies = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("__n"))), lambda i: F.least(F.col("__n"), F.col("taken") - i * F.col("__n"))))
     joined = joined.select(*names, "__n", copies.alias("__take"))
-    words = F.regexp_extract_all(F.col(key[text]), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), "")
+    parts = F.regexp_extract_all(F.col(key[text]), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col("__take").cast("int")), "")
     body = F.when(F.col("__take") < F.col("__n"), cut).otherwise(F.col(key[text])).alias(key[text])
     return joined.select(*(body if x == key[text] else F.col(x) for x in names)).toDF(*docs.columns)
 

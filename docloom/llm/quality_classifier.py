@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_terms, small_batches, utf8, word_spans, written
+from .common import hash_terms, join_table, small_batches, utf8, word_spans, written
 from .quality_rules import features
 
 SAMPLE = 4000
@@ -55,7 +55,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE)
     vectors = F.pandas_udf(lambda s: pd.Series([vector(t).tolist() for t in s]), "array<float>")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", vectors("text").alias("x")).collect()  # SAMPLE ids
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one row an id, however often it is repeated
+    rows = texts.select("doc_id", "quality", vectors("text").alias("x")).collect()  # SAMPLE rows
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
@@ -76,8 +77,11 @@ def _strength(groups: DataFrame, mean: str) -> float:
 def classify(docs: DataFrame, labels: DataFrame, host, path, text: str = "text", id_column: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """doc_id, doc_prob, host_posterior, path_posterior, score and kept for every row; host and path are columns of docs.
 
-    Null texts are empty. A null host or path is a group of its own. Without labels every probability is 0.5 and all
-    are kept. Repeated rows stay; extra columns are dropped. An empty table gives an empty result.
+    host_posterior is that of all documents of the host; path_posterior leaves the document itself out of its path's
+    mean. Null and empty texts are empty; very long texts are read whole. A null host or path is a group of its own.
+    Of several labels of a document the largest holds, of several texts of a labelled id the smallest is learned from.
+    Without labels every probability is 0.5 and all are kept; a score of just the threshold is kept. Repeated rows stay
+    and count each. Extra columns are dropped, whatever their names. An empty table gives an empty result.
     """
     d = small_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.coalesce(host, F.lit("\0")).alias("host"), F.coalesce(path, F.lit("\0")).alias("path"))
     weights = fit(d, labels)
@@ -103,7 +107,8 @@ def classify(docs: DataFrame, labels: DataFrame, host, path, text: str = "text",
     paths = written(paths.join(hosts, "host"))
     by_path = _strength(paths, "host_posterior")
 
-    own = p.join(paths.select("host", "path", "n", "s", "host_posterior"), ["host", "path"])
+    group = F.to_json(F.struct("host", "path"))
+    own = join_table(p.withColumn("group", group), paths.select(group.alias("of"), "n", "s", "host_posterior"), "group", "of", spread="doc_id")
     others = (F.lit(by_path) * F.col("host_posterior") + F.col("s") - F.col("p")) / (F.lit(by_path) + F.col("n") - 1)
     own = own.withColumn("path_posterior", F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6)))
     odds = lambda x: F.log(x / (1 - x))

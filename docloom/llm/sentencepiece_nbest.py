@@ -362,7 +362,8 @@ def digests(docs: DataFrame, text: str = "text", model: str = MODEL, n_best: int
 
     n_pieces, score and ids_sha256 (of little-endian 32-bit ids) of the best path, n_best_scores, n_best_sha256,
     decoded_sha256 of the text decoded from the best path, round_trip: whether that is the text.
-    Null texts are empty: no ids, score 0.
+    Null texts are empty: no ids, score 0. Very long texts are encoded whole. Columns and repeated rows of docs stay; an
+    empty table gives an empty result.
     """
     content = read_model(model)
     at = fresh(docs.columns, "encoded")
@@ -387,26 +388,36 @@ def digests(docs: DataFrame, text: str = "text", model: str = MODEL, n_best: int
     return small_batches(docs).withColumn(at, run(F.col(text))), at
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with piece_ids, the ids of each text's best segmentation (null: empty), in place of the text.
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
+    """docs with piece_ids, the ids of each text's best segmentation, in place of the text, and n_best_scores of its N best.
 
-    Rows leave in runs of about GROUP characters, so that a worker holds the ids of few texts at a time.
+    Null and empty texts have no ids and the one score 0. Of equally good segmentations the search decides, always alike.
+    Very long texts are encoded whole. Other columns and repeated rows stay; new names give way to columns that there are.
+    An empty table gives an empty result. Rows leave in runs of about GROUP characters, so that a worker holds the ids
+    of few texts at a time.
     """
     content = read_model(model)
-    at = fresh([c for c in docs.columns if c != text], "piece_ids")
-    kind = T.StructType([T.StructField(at, T.ArrayType(T.IntegerType())) if f.name == text else f for f in docs.schema.fields])
+    others = [c for c in docs.columns if c != text]
+    at = fresh(others, "piece_ids")
+    scores_at = fresh([*others, at], "n_best_scores")
+    kind = T.StructType([T.StructField(at, T.ArrayType(T.IntegerType())) if f.name == text else f for f in docs.schema.fields] + [T.StructField(scores_at, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = loaded(content, 1)
+        m = loaded(content, n_best)
         for batch in batches:
             k, done = batch.schema.names.index(text), 0
             for group in groups(batch.column(k).to_pylist()):
-                raw = [m.packed(units)[0][1] for units in m.prepare(group)]
+                raw, scores = [], []
+                for units in m.prepare(group):
+                    paths = m.packed(units)
+                    raw.append(paths[0][1])
+                    scores.append([x for x, _ in paths])
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 part = batch.slice(done, len(group))
                 done += len(group)
-                yield pa.RecordBatch.from_arrays([ids if i == k else c for i, c in enumerate(part.columns)], [at if i == k else n for i, n in enumerate(part.schema.names)])
+                columns = [ids if i == k else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.list_(pa.float64()))], [*(at if i == k else n for i, n in enumerate(part.schema.names)), scores_at])
         m._forget()
         m.searched.clear()
         release_memory()
@@ -415,7 +426,10 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
 
 
 def decode(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> tuple[DataFrame, str]:
-    """docs with the text of the ids in an array column (null: null), and the name of the text's column."""
+    """docs with the text of the ids in an array column (null: null), and the name of the text's column.
+
+    Empty arrays give empty texts. Columns and repeated rows of docs stay; an empty table gives an empty result.
+    """
     content = read_model(model)
     at = fresh(docs.columns, "decoded")
 
@@ -429,9 +443,12 @@ def decode(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> tuple
 
 
 def pieces(docs: DataFrame, text: str = "text", id_column: str = "doc_id", model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces and piece_ids of each document's best segmentation, to train on. Repeated rows stay."""
+    """doc_id, n_pieces and piece_ids of each document's best segmentation, to train on, and the scores of its N best.
+
+    Rows are handled as encode() does; extra columns are dropped, whatever their names. Null ids stay.
+    """
     plain = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    return encode(plain, model=model).select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
+    return encode(plain, model=model).select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "n_best_scores")
 
 
 def query(spark, sf_dir):
