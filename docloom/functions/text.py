@@ -84,14 +84,26 @@ def text_quality(x: Column) -> Column:
     return arabic * 4 - wrong * 3 - F.regexp_count(x, F.lit("�")) * 8
 
 
+#: What Windows-1252 has where Latin-1 has control characters; five of these have nothing.
+_WINDOWS = {c: chr(b) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
+def _read_again(x: Column, extra: str = "") -> Column:
+    """The text whose UTF-8 was read as Latin-1, or as Windows-1252 if extra has its own characters; null if it is none."""
+    bytes_ = F.encode(F.translate(x, extra, "".join(_WINDOWS[c] for c in extra)) if extra else x, "ISO-8859-1")
+    fits = x.rlike(rf"^[\x00-\x7F\xA0-\xFF{extra}]*$") & x.rlike(f"[{extra}]") if extra else x.rlike(r"^[\x00-\xFF]*$") & x.rlike(r"[\x80-\xFF]")
+    return F.when(fits, F.try_validate_utf8(bytes_.cast("string")))
+
+
 def repair(x: Column, bullets: tuple[str, str] = ("•", "▪")) -> Column:
-    """UTF-8 that was read as Latin-1 is read again if that makes the text better; private bullets and hard spaces go.
+    """UTF-8 that was read as Latin-1 or Windows-1252 is read again if that makes the text better; private bullets and hard spaces go.
 
-    Only texts whose characters all fit Latin-1 are tried, as encode() raises on others; bytes that are not UTF-8
+    Only texts whose characters all fit the encoding are tried, as encode() raises on others; bytes that are not UTF-8
     leave the text as it is.
     """
-    again = F.when(x.rlike(r"^[\x00-\xFF]*$") & x.rlike(r"[\x80-\xFF]"), F.try_validate_utf8(F.encode(x, "ISO-8859-1").cast("string")))
-    best = F.when(again.isNotNull() & (text_quality(again) > text_quality(x)), again).otherwise(x)
+    best = x
+    for again in (_read_again(x), _read_again(x, "".join(_WINDOWS))):
+        best = F.when(again.isNotNull() & (text_quality(again) > text_quality(best)), again).otherwise(best)
     return F.translate(best, "\uf0b7\uf0a7\u00a0", bullets[0] + bullets[1] + " ")
 
 

@@ -76,3 +76,49 @@ def render(cells: DataFrame, table: str, row: str, col: str, text: str) -> DataF
     body = lines.groupBy(table).agg(ordered_(row, F.col("line")).alias("lines"))
     drawn = F.concat_ws("\n", "border", F.array_join(F.transform("lines", lambda x: F.concat_ws("\n", x, F.col("border"))), "\n"))
     return body.join(border, table).select(table, drawn.alias("rendered"))
+
+
+def spanned_widths(cells: Column, n: Column) -> Column:
+    """Widths of n columns of a table: array<struct<row, col, colspan, text>> in order, col from 1.
+
+    Each cell with text in turn spreads what it lacks over its columns, the leftmost getting the rest.
+    """
+
+    def step(widths: Column, c: Column) -> Column:
+        first, span = c["col"] - 1, F.greatest(c["colspan"], F.lit(1))
+        have = F.aggregate(F.slice(widths, c["col"], span), F.lit(0), lambda a, b: a + b) + 3 * (span - 1)
+        need = F.array_max(F.transform(F.split(c["text"], "\n"), lambda x: F.length(x)))
+        lack = F.when(c["text"] == "", 0).otherwise(F.greatest(need - have, F.lit(0)))
+        extra = lambda j: F.when((j >= first) & (j < first + span), F.floor(lack / span) + F.when(j - first < lack % span, 1).otherwise(0)).otherwise(0)
+        return F.transform(widths, lambda w, j: (w + extra(j)).cast("int"))
+
+    return F.aggregate(cells, F.array_repeat(F.lit(1), n.cast("int")), step)
+
+
+def virtual(cells: DataFrame, table: list[str], row: str, col: str, colspan: str, text: str, columns: str) -> DataFrame:
+    """(table, rendered): rows of several tables drawn as one, with the same line between all rows; cells may span columns and have several lines.
+
+    A table is one group, as its widths depend on all its cells.
+    """
+    c = F.struct(F.col(row).cast("int").alias("row"), F.col(col).cast("int").alias("col"), F.col(colspan).cast("int").alias("colspan"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = cells.groupBy(*table).agg(F.array_sort(F.collect_list(c)).alias("cells"), F.max(columns).alias("n"))
+    t = t.withColumn("widths", spanned_widths(F.col("cells"), F.col("n")))
+    border = F.concat(F.lit("+"), F.array_join(F.transform("widths", lambda w: F.repeat(F.lit("-"), w + 2)), "+"), F.lit("+"))
+
+    def line(row_cells: Column, k: Column) -> Column:
+        def segment(x: Column) -> Column:
+            span = F.greatest(x["colspan"], F.lit(1))
+            inner = F.aggregate(F.slice("widths", x["col"], span), F.lit(0), lambda a, b: a + b) + 3 * (span - 1)
+            own = F.coalesce(F.get(F.split(x["text"], "\n"), k), F.lit(""))
+            return F.concat(F.lit(" "), own, F.repeat(F.lit(" "), F.greatest(inner - F.length(own), F.lit(0))), F.lit(" |"))
+
+        return F.concat(F.lit("|"), F.array_join(F.transform(row_cells, segment), ""))
+
+    def drawn(r: Column) -> Column:
+        mine = F.filter("cells", lambda x: x["row"] == r)
+        height = F.array_max(F.transform(mine, lambda x: F.size(F.split(x["text"], "\n"))))
+        return F.array_join(F.transform(F.sequence(F.lit(0), height - 1), lambda k: line(mine, k)), "\n")
+
+    rows = F.array_distinct(F.transform("cells", lambda x: x["row"]))
+    t = t.withColumn("border", border).withColumn("lines", F.transform(rows, drawn))
+    return t.select(*table, F.concat(F.col("border"), F.array_join(F.transform("lines", lambda x: F.concat(F.lit("\n"), x, F.lit("\n"), F.col("border"))), "")).alias("rendered"))

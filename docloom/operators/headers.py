@@ -129,3 +129,9 @@ def with_skipped(spans: DataFrame, resolved: DataFrame, key: list[str]) -> DataF
     """Resolved spans, and those without a table as skipped ones."""
     none = spans.join(resolved.select(*key), key, "left_anti").select(*key).withColumn("status", F.lit("skipped"))
     return resolved.unionByName(none, allowMissingColumns=True)
+
+
+def row_excerpt(rows: DataFrame, table: list[str], n: int = SCAN_ROWS) -> DataFrame:
+    """(table, excerpt): the first n rows of each table with their cells, as JSON for a prompt."""
+    row = F.struct(F.col("row").alias("row_index"), F.col("is_title").alias("is_full_width_title"), "cells")
+    return rows.groupBy(*table).agg(F.to_json(F.slice(F.array_sort(F.collect_list(row)), 1, n)).alias("excerpt"))

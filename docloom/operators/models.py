@@ -7,6 +7,10 @@ so they are dealt out to workers and each is worked through in one of them. Retr
 from __future__ import annotations
 
 import json
+import os
+import pathlib
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -50,6 +54,70 @@ class ReplayModel:
         return self.answers[min(len(self.asked), len(self.answers)) - 1]
 
 
+def base_urls(url: str) -> list[str]:
+    """Where a chat endpoint may be: the address given, then the same with or without /v1."""
+    url = url.strip().rstrip("/")
+    if not url:
+        raise ValueError("the base URL is empty")
+    return [url, url.removesuffix("/v1").rstrip("/") if url.endswith("/v1") else f"{url}/v1"]
+
+
+@dataclass
+class HttpModel:
+    """A chat-completions endpoint over HTTP; it is pickled with its settings and opens a connection per call."""
+
+    base_url: str
+    model: str
+    api_key: str = ""
+    timeout: float = 120.0
+
+    def _post(self, messages: list[Message], **more) -> dict:
+        body = json.dumps({"model": self.model, "temperature": 0, "messages": messages, **more}).encode()
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
+        with urllib.request.urlopen(urllib.request.Request(f"{self.base_url}/chat/completions", body, head), timeout=self.timeout) as answer:
+            return json.load(answer)
+
+    def complete(self, messages: list[Message]) -> str:
+        return self._post(messages)["choices"][0]["message"]["content"] or ""
+
+
+def connect(base_url: str, model: str, api_key: str = "", timeout: float = 120.0) -> HttpModel:
+    """A client for the first address that answers a short question; only a 404 moves on to the next one."""
+    tried = base_urls(base_url)
+    for url in tried:
+        client = HttpModel(url, model, api_key, timeout)
+        try:
+            client._post([{"role": "user", "content": "ping"}], max_tokens=1)
+            return client
+        except urllib.error.HTTPError as e:
+            if e.code != 404:
+                raise RuntimeError(f"{url} refused a first question: {e}") from e
+        except OSError as e:
+            raise RuntimeError(f"{url} cannot be reached: {e}") from e
+    raise RuntimeError(f"nothing answers at {' or '.join(tried)}")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How models are called; from_env() reads DOCLOOM_* variables."""
+
+    base_url: str = ""
+    model: str = ""
+    api_key: str = ""
+    attempts: int = 6
+    interactive: bool = False
+
+    @classmethod
+    def from_env(cls, env=os.environ) -> Settings:
+        get = lambda k, d: env.get(f"DOCLOOM_{k}", d)
+        return cls(get("BASE_URL", ""), get("MODEL", ""), get("API_KEY", ""), int(get("ATTEMPTS", "6")), get("INTERACTIVE", "") == "1")
+
+
+def section_prompts(folder: str) -> dict[str, str]:
+    """System prompts by section, from files SECnn.txt or SECnn.md of a folder; one row per section, small enough to broadcast."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(pathlib.Path(folder).iterdir()) if p.suffix in (".txt", ".md") and p.stem in SECTION_IDS}
+
+
 def check_labels(answer: str) -> list[str]:
     """Labels of an answer, repeats gone, in the model's order; ValueError says what is wrong."""
     value = json.loads(answer)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REFERENCE, is_grid_line, word_count
+from .storage import checkpointed
 from .windows import before, ordered, previous_smaller
 
 TARGET, TRIGGER, LEAST = 400, 500, 100
@@ -24,52 +25,79 @@ def pieces(text: Column) -> Column:
     return F.filter(F.flatten(pairs), lambda x: F.coalesce(x["text"], F.lit("")) != "")
 
 
-def resolve(spark: SparkSession, nodes: DataFrame, depth: int = 16) -> DataFrame:
+def walk(nodes: DataFrame) -> DataFrame:
+    """(doc_id, root, node, path, place, text, state): the leaves below each root node, of nodes (doc_id, id, text, is_root).
+
+    References are followed level by level within a document, each level a join on the node's id. A node that is on its own
+    path is a cycle and gives no text; state is text, asset, unresolved (no such node) or cycle, node the one that the
+    leaf is written in. Paths only grow and hold a node once, so that the levels end; each is checkpointed, and there is no bound on depth or rows.
+    """
+    n = nodes.select("doc_id", "id", F.posexplode(pieces(F.col("text"))).alias("pos", "p")).select("doc_id", "id", "pos", "p.text", "p.is_ref")
+    target = F.when(F.col("is_ref") & ~F.col("text").startswith("<EM"), F.regexp_replace("text", "[<>]", ""))
+    known = nodes.select(F.col("doc_id").alias("__doc"), F.col("id").alias("__known")).distinct()
+    n = n.withColumn("target", target)
+    n = n.join(known, (F.col("doc_id") == F.col("__doc")) & (F.col("target") == F.col("__known")), "left")
+    n = checkpointed(n.select(F.col("doc_id").alias("__doc"), F.col("id").alias("__id"), "pos", "text", "target", F.col("__known").isNotNull().alias("there")))
+    on_path = F.array_contains("path", F.col("target"))
+    state = (
+        F.when(F.col("target").isNull(), F.when(F.col("text").startswith("<EM"), "asset").otherwise("text"))
+        .when(~F.col("there"), "unresolved").when(on_path, "cycle").otherwise("open")
+    )
+    front = nodes.where("is_root").select("doc_id", F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("path"), F.expr("cast(array() as array<int>)").alias("place"))
+    leaves = None
+    while True:
+        step = front.join(n, (F.col("doc_id") == F.col("__doc")) & (F.col("node") == F.col("__id"))).withColumn("state", state)
+        step = checkpointed(step.select("doc_id", "root", "node", "path", F.concat("place", F.array("pos")).alias("place"), F.coalesce("target", "text").alias("text"), "state"))
+        done = step.where("state <> 'open'")
+        leaves = done if leaves is None else leaves.union(done)
+        front = step.where("state = 'open'").select("doc_id", "root", F.col("text").alias("node"), F.concat("path", F.array("text")).alias("path"), "place")
+        if not front.take(1):
+            return leaves
+
+
+def in_place(value: Column) -> Column:
+    """Aggregates the values of leaves into an array in the order of their places, which compare like the digits of a number."""
+    order = F.array_join(F.transform("place", lambda x: F.lpad(x.cast("string"), 8, "0")), ".")
+    return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
+
+
+def resolve(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """resolve_by_document() for nodes of one document: (root, text, used, unresolved)."""
-    return resolve_by_document(spark, nodes.withColumn("doc_id", F.lit(0)), depth).drop("doc_id")
+    return resolve_by_document(spark, nodes.withColumn("doc_id", F.lit(0))).drop("doc_id")
 
 
-def resolve_by_document(spark: SparkSession, nodes: DataFrame, depth: int = 16) -> DataFrame:
+def resolve_by_document(spark: SparkSession, nodes: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """(doc_id, root, text, used, unresolved): the text of each root node with its references expanded.
 
-    nodes has doc_id, id, text and is_root. References expand depth first in the order of the text, within a document,
-    by a recursive query that carries the path: a node that is on its own path gives no text, an unknown cell or table
-    stays as it is written and is unresolved, assets always stay. Leaves are put together in the order of their
-    positions along the path. References nested deeper than `depth` are dropped.
+    nodes has doc_id, id, text and is_root. References expand depth first in the order of the text, to any depth: a node
+    that is on its own path gives no text, an unknown cell or table stays as it is written and is unresolved, assets
+    always stay; with a table of assets (doc_id, asset_id) those it lacks are unresolved too.
     """
-    n = nodes.select("doc_id", "id", F.posexplode(pieces(F.col("text"))).alias("pos", "p")).select("doc_id", "id", "pos", "p.text", "p.is_ref")
-    target = F.regexp_replace("text", "[<>]", "")
-    n = n.withColumn("target", F.when(F.col("is_ref") & ~F.col("text").startswith("<EM"), target))
-    n.createOrReplaceTempView("docloom_pieces")
-    nodes.select("doc_id", "id", "is_root").createOrReplaceTempView("docloom_nodes")
-    walked = spark.sql(f"""
-        with recursive walk(doc_id, root, node, path, place, text, state) as (
-            select doc_id, id, id, array(id), cast(array() as array<int>), cast(null as string), 'open' from docloom_nodes where is_root
-            union all
-            select w.doc_id, w.root, case when k.id is not null and not array_contains(w.path, p.target) then p.target end,
-                   case when p.target is not null then concat(w.path, array(p.target)) else w.path end, concat(w.place, array(p.pos)),
-                   case when p.target is null then p.text when k.id is null then p.target end,
-                   case when p.target is null then case when p.text like '<EM%' then 'asset' else 'text' end when k.id is null then 'unresolved'
-                        when array_contains(w.path, p.target) then 'cycle' else 'open' end
-            from walk w join docloom_pieces p on p.doc_id = w.doc_id and p.id = w.node left join docloom_nodes k on k.doc_id = p.doc_id and k.id = p.target
-            where w.state = 'open' and size(w.path) <= {depth}
-        ) select * from walk""")
-    # Places along a path compare like the digits of a number.
-    order = F.array_join(F.transform("place", lambda x: F.lpad(x.cast("string"), 8, "0")), ".")
-    parts = F.filter(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.trim("text").alias("t")))), lambda x: F.coalesce(x["t"], F.lit("")) != "")
-    ids = lambda c, v: F.array_sort(F.collect_set(F.when(c, v)))
-    return walked.groupBy("doc_id", "root").agg(
-        F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("path")))).alias("used"), ids(F.col("state") == "unresolved", F.col("text")).alias("unresolved")
+    found = walk(nodes)
+    bare = F.regexp_replace("text", "[<>]", "")
+    lost = F.when(F.col("state") == "unresolved", F.col("text"))
+    if assets is not None:
+        known = assets.select(F.col("doc_id").alias("__doc"), F.col("asset_id").alias("__asset")).distinct()
+        found = found.join(known, (F.col("doc_id") == F.col("__doc")) & (bare == F.col("__asset")), "left")
+        lost = F.when((F.col("state") == "unresolved") | ((F.col("state") == "asset") & F.col("__asset").isNull()), bare)
+    text = F.when(F.col("state") != "cycle", F.trim("text"))
+    parts = F.filter(in_place(text), lambda t: F.coalesce(t, F.lit("")) != "")
+    return found.groupBy("doc_id", "root").agg(
+        F.array_join(parts, "\n").alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("path")))).alias("used"), F.array_sort(F.collect_set(lost)).alias("unresolved")
     )
 
 
-def hierarchy(entries: DataFrame, doc: str, order: str, level: str, title: str, depth: int = 9) -> DataFrame:
-    """Entries with their header (head), number path (numbers) and title path (titles); level is null for items, 1 to depth for headers.
+def hierarchy(entries: DataFrame, doc: str, order: str, level: str, title: str, depth: int | None = None) -> DataFrame:
+    """Entries with their header (head), number path (numbers) and title path (titles); level is null for items, 1 or more for headers.
+
+    depth is the deepest level; without one it is looked up.
 
     The stack of open headers at an entry: for each smaller level the last header before it, if that is later than
     those of all smaller levels. A header's parent is the last of its stack. Headers are numbered under their parent,
     items under their header. Only windows: one running maximum per level, no recursion and no join.
     """
+    if depth is None:
+        depth = max(1, int(entries.agg(F.max(level)).first()[0] or 1))
     w = ordered([doc], [order])
     is_head = F.col(level).isNotNull()
     e = entries.withColumn("__parent", F.when(is_head, previous_smaller(F.col(level), F.col(order), w, depth + 1)))

@@ -137,3 +137,30 @@ def entries_json(found: DataFrame, key: list[str], workflow: Column) -> DataFram
     name = F.when(F.col("workflow"), "entries").otherwise("rows")
     head = F.when(F.col("section_heading").isNotNull(), F.concat(F.lit('"section_heading":'), F.to_json(F.array("section_heading")).substr(F.lit(2), F.length(F.to_json(F.array("section_heading"))) - 2), F.lit(","))).otherwise("")
     return g.select(*key, F.concat(F.lit("{"), head, F.lit('"'), name, F.lit('":'), items, F.lit("}")).alias("section_json"))
+
+
+def canonical_heading(section_id: Column, kind: Column, heading: Column) -> Column:
+    """The heading of a section: that of SEC18 in the form of sections is always the catalog's, Arabic and English."""
+    arabic, english = next((a, e) for s, a, e in SECTIONS if s == "SEC18")
+    return F.when((section_id == "SEC18") & (kind == "sections"), F.lit(f"{arabic} ({english})")).otherwise(heading)
+
+
+def column_context(resolution: Column) -> Column:
+    """What a prompt says about a table's columns, of a header resolution; empty without one."""
+    keys = ("valid_column_order", "actual_header_row_exists", "actual_header_cell_ids", "header_state")
+    shown = F.to_json(F.struct(*(resolution[k].alias(k) for k in keys)))
+    return F.when(resolution.isNotNull(), F.concat(F.lit("The columns were checked before. Use just these labels:\n"), shown)).otherwise("")
+
+
+def extraction_prompt(document: Column, section_id: Column, files: Column, content: Column, columns: Column, co_sections: Column) -> Column:
+    """The text that asks a model for one section's JSON: document, section, files, what was found out about columns, content.
+
+    A chunk of both SEC01 and SEC02 says so for SEC02, as the first's department name and banner do not belong to its table.
+    """
+    name = F.create_map(*(x for s, a, e in SECTIONS for x in (F.lit(s), F.lit(f"{s}: {a} ({e})"))))[section_id]
+    both = F.when((section_id == "SEC02") & F.array_contains(co_sections, "SEC01"), F.lit("The content also holds SEC01, the department's name and banner. Leave these and their images out, and return the rows of the document header table only."))
+    lines = [
+        F.lit("Return the section below as JSON."), F.concat(F.lit("Document: "), document), F.concat(F.lit("Section: "), name), F.concat(F.lit("Files: "), F.array_join(files, ", ")),
+        both, F.nullif(columns, F.lit("")), F.concat(F.lit("Content:\n"), content),
+    ]
+    return F.concat_ws("\n\n", *lines)

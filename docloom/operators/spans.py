@@ -96,3 +96,22 @@ def co_sections(members: DataFrame, rows: DataFrame, doc: str, order: str, label
     j = members.join(rows.select(doc, order, labels), [doc, order])
     g = j.groupBy(doc, "section", "span_index").agg(F.array_distinct(F.flatten(F.collect_set(labels))).alias("all"))
     return g.select(doc, "section", "span_index", F.array_sort(F.array_except("all", F.array("section"))).alias("others"))
+
+
+def inspection_order(spans: DataFrame, doc: str) -> DataFrame:
+    """Adds inspection_order: spans of a document by their first row, section and number."""
+    return spans.withColumn("inspection_order", F.row_number().over(ordered([doc], ["first_row", "section", "span_index"])))
+
+
+def component_summary(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, component, component_kind) with the files of each, and the tables, rows and columns of table groups or the characters of texts.
+
+    rows has component, component_kind, file_name, chunk_index, table_id, n_rows, logical_columns and content.
+    """
+    is_table = F.col("component_kind") == "table_group"
+    listed = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", x))), lambda s: s[x])
+    s = rows.groupBy(*group, "component", "component_kind").agg(
+        listed("file_name").alias("files"), F.array_compact(listed("table_id")).alias("table_ids"), F.sum("n_rows").alias("n_rows"), F.max("logical_columns").alias("logical_columns"), F.sum(F.length("content")).alias("n_chars"),
+    )
+    only = lambda c, x: F.when(c, F.col(x)).alias(x)
+    return s.select(*group, "component", "component_kind", "files", "table_ids", *(only(is_table, x) for x in ("n_rows", "logical_columns")), only(~is_table, "n_chars"), (is_table & (F.size("table_ids") > 1)).alias("merged"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,61 @@ def search(rows: DataFrame, vector: list[float], k: int = TOP_K, key: str = "vec
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), key)))  # k rows
 
 
+#: Query vectors that are compared with all rows at a time.
+BLOCK = 2048
+
+
+def search_all(rows: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query, key, score, rank): the k nearest rows to every query vector by exact cosine; ties by key.
+
+    Queries (query, embedding) go in blocks of BLOCK, the bound of what is sent to the workers at once. A worker multiplies its batches with the block and
+    keeps the k best of each query, and only those are shuffled. Zero and null vectors have similarity 0. No queries
+    give no rows.
+    """
+    n = queries.count()
+    bucket = F.pmod(F.xxhash64("query"), F.lit(-(-2 * n // BLOCK) or 1))  # about half of BLOCK each
+    out = None
+    kinds = f"query {queries.schema['query'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double"
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
+    for b in range(-(-2 * n // BLOCK)):
+        found = queries.where(bucket == b).select("query", "embedding").collect()
+        for first in range(0, len(found), BLOCK):
+            ids, matrix = [r[0] for r in found[first : first + BLOCK]], unit(np.array([r[1] for r in found[first : first + BLOCK]], float))
+
+            def best(frames: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    keys = f[key].to_numpy()
+                    scores = matrix @ unit(np.array([np.zeros(matrix.shape[1]) if e is None else e for e in f[embedding]], float).reshape(len(f), -1)).T
+                    order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(keys)), scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
+                    at = np.repeat(np.arange(len(ids)), order.shape[1])
+                    yield pd.DataFrame({"query": [ids[i] for i in at], key: keys[order.ravel()], "score": np.round(np.take_along_axis(scores, order, 1).ravel(), 12)})
+
+            mine = rows.select(key, embedding).mapInPandas(best, kinds)
+            out = mine if out is None else out.union(mine)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"{kinds}, rank int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def source_names(ids: list[str]) -> list[str]:
+    """Names behind URL-safe base64 ids, for tables that are filtered by source; what is no such id stands for itself. Repeats go."""
+    out = []
+    for x in filter_ids(ids):
+        try:
+            name = base64.b64decode(x + "=" * (-len(x) % 4), altchars=b"-_", validate=True).decode()
+        except ValueError:
+            name = x
+        out.append(name or x)
+    return list(dict.fromkeys(out))
+
+
+def document_counts(documents: DataFrame, chunks: DataFrame, doc: str = "document_id") -> DataFrame:
+    """documents with chunk_count, 0 for those without chunks: what an ingest is about to write."""
+    n = chunks.groupBy(F.col(doc).alias("__doc")).agg(F.count(F.lit(1)).alias("chunk_count"))
+    return documents.join(n, F.col(doc) == F.col("__doc"), "left").drop("__doc").fillna(0, ["chunk_count"])
+
+
 def overlap_score(query: str, text: Column) -> Column:
     """A reranker without a model: the share of the query's distinct words that a text has."""
     words = sorted(set(query.lower().split()))
@@ -116,12 +172,18 @@ def hash_vector(text: str | None, dim: int) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def embed(text: Column, dim: int = 64) -> Column:
-    """An embedder without a model, over Arrow batches."""
+#: Texts that an embedder gets in one call.
+MICRO_BATCH = 24
+
+
+def embed(text: Column, dim: int = 64, embedder: Callable[[list[str | None]], list[list[float]]] | None = None, batch: int = MICRO_BATCH) -> Column:
+    """Vectors of texts over Arrow batches; an embedder is called with `batch` texts at a time, and without one words are hashed."""
+    model = embedder or (lambda texts: [hash_vector(x, dim) for x in texts])
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([hash_vector(x, dim) for x in texts])
+            every = texts.tolist()
+            yield pd.Series([v for at in range(0, len(every), batch) for v in model(every[at : at + batch])])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<float>")(text)

@@ -163,3 +163,21 @@ def mojibake_repair(spark, sf_dir):
     r = table(spark, sf_dir, "region").withColumn("arabic", F.repeat(F.lit(_ARABIC), F.col("r_regionkey") + 1))
     broken = F.decode(F.encode("arabic", "UTF-8"), "ISO-8859-1")
     return r.select("r_regionkey", T.repair(broken).alias("repaired"), "arabic", (T.repair(broken) == F.col("arabic")).alias("same"), T.text_quality(broken).cast("long").alias("quality"))
+
+
+_CURLY = "replace(replace(translate(text, 'ÁÍÏÐÝ\u00a0', 'AIIDY '), ' a', ' \u2018a'), 'e.', 'e\u2019 \u2013 \u2026')"
+
+
+@query(
+    "txt_mojibake_whole",
+    f"""with t as (select doc_id, case when doc_id % 2 = 0 then translate(text, chr(160), ' ') else {_CURLY} end as text from documents)
+    select doc_id, text as repaired, length(text)::bigint as n_chars from t""",
+)
+def mojibake_whole(spark, sf_dir):
+    """Whole documents read wrongly, even ids as Latin-1, odd ones (with curly quotes, dashes and dots) as Windows-1252, and repaired: they are what they were."""
+    curly = F.replace(F.replace(F.translate("text", "ÁÍÏÐÝ\u00a0", "AIIDY "), F.lit(" a"), F.lit(" \u2018a")), F.lit("e."), F.lit("e\u2019 \u2013 \u2026"))
+    d = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.translate("text", "\u00a0", " ")).otherwise(curly))
+    latin = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    windows = F.translate(latin, "".join(T._WINDOWS.values()), "".join(T._WINDOWS))
+    fixed = T.repair(F.when(F.col("doc_id") % 2 == 0, latin).otherwise(windows))
+    return d.select("doc_id", fixed.alias("repaired"), F.length(fixed).cast("long").alias("n_chars"))

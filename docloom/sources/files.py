@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import posixpath
 import re
 import zipfile
@@ -117,3 +118,19 @@ def write_assets(assets: DataFrame, root: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": f["doc_id"], "stored_name": f["stored_name"], "path": paths})
 
     return assets.select("doc_id", "stored_name", "content").mapInPandas(run, "doc_id string, stored_name string, path string")
+
+
+def inside(root: str, path: str) -> str:
+    """The real path of `path` below root; ValueError if it leads out of it."""
+    top, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if os.path.commonpath((top, full)) != top:
+        raise ValueError(f"{path} is not below {root}")
+    return full
+
+
+def inside(root: str, path: str) -> str:
+    """The real path of `path` below root; ValueError if it leads out of it."""
+    top, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if os.path.commonpath((top, full)) != top:
+        raise ValueError(f"{path} is not below {root}")
+    return full
