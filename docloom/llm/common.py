@@ -62,7 +62,10 @@ BATCH_ROWS = 1000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after bounding Arrow batches of texts: Spark's own 10,000 rows of long texts would be held several times over."""
+    """df, after bounding Arrow batches of texts: Spark's own 10,000 rows of long texts would be held several times over.
+
+    The setting stays in the session, as it is read when an action runs; a session's own number is left alone.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name) == "10000":
         conf.set(name, str(BATCH_ROWS))
@@ -147,23 +150,28 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-#: Most bytes of a table that is broadcast, counted as JSON, and parts that rows of one key are dealt into beyond that.
-BROADCAST_BYTES, SALT = 8_000_000, 16
+#: Most bytes of a table that is broadcast, counted as JSON, and rows of one key that go to one task beyond that.
+BROADCAST_BYTES, DEAL_ROWS = 8_000_000, 200_000
 
 
 def join_table(big: DataFrame, small: DataFrame, on: str, by: str, how: str = "inner", spread: str | None = None) -> DataFrame:
     """big joined with small, which has one row per key (big.on = small.by), without one task for the rows of one key.
 
-    small is written and measured: within BROADCAST_BYTES it is broadcast. Beyond that it is repeated SALT times and
-    the rows of a key are dealt out by a hash of big's column `spread`.
+    small is written and measured: within BROADCAST_BYTES it is broadcast. Beyond that the rows of keys with over
+    DEAL_ROWS rows are dealt out by a hash of big's column `spread`, and the key's row of small is repeated. Such keys
+    are one in DEAL_ROWS rows at most, so that their table is small.
     """
     small = written(small)
     size = small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), F.col(on) == F.col(by), how)
-    salt, other = fresh([*big.columns, *small.columns], "salt"), fresh([*big.columns, *small.columns], "salt_of_key")
-    dealt = big.withColumn(salt, F.pmod(F.xxhash64(spread or on), F.lit(SALT)).cast("int"))
-    every = small.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    names = [*big.columns, *small.columns]
+    salt, other, key, parts = (fresh(names, x) for x in ("salt", "salt_of_key", "hot_key", "parts"))
+    hot = big.groupBy(F.col(on).alias(key)).agg(F.ceil(F.count(F.lit(1)) / DEAL_ROWS).cast("int").alias(parts)).where(F.col(parts) > 1)
+    hot = F.broadcast(written(hot))
+    deal = F.coalesce(F.col(parts), F.lit(1))
+    dealt = big.join(hot, F.col(on) == F.col(key), "left").withColumn(salt, F.pmod(F.xxhash64(spread or on), deal).cast("int")).drop(key, parts)
+    every = small.join(hot, F.col(by) == F.col(key), "left").withColumn(other, F.explode(F.sequence(F.lit(0), deal - 1))).drop(key, parts)
     return dealt.join(every, (F.col(on) == F.col(by)) & (F.col(salt) == F.col(other)), how).drop(salt, other)
 
 

@@ -116,30 +116,39 @@ def _compare(a: pd.Series, b: pd.Series) -> pd.Series:
 def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Fingerprints of all texts and of their edited texts, in one shuffle of the texts and one of the fingerprints.
 
-    The next document is that of the next smaller id; rows of one id go by text, null ids come last, and the last
-    row's next is the first. Ids are cut into slices at some of the ids; the document that heads a slice is also sent
-    to the slice before, so that a window within each slice sees every next text. Null texts are empty. An empty table
-    gives an empty result; a single row is its own next. Extra columns are dropped.
+    The next document is that of the next smaller id; rows of one id go by text, null ids come last, by a hash of their
+    texts, and the last row's next is the first. Ids, and hashes for null ids, are cut into slices at some of their
+    values; the document that heads a slice is also sent to the slice before, so that a window within each slice sees
+    every next text. Null and empty texts are empty and have the fingerprint of no words; very long texts are read
+    whole. An empty table gives an empty result; a single row is its own next. Repeated rows stay. Extra columns are dropped, whatever their names.
     """
     spark = small_batches(docs).sparkSession
-    d = docs.select(F.col(id_column).alias("doc_id"), text_of(text).alias("text"))
+    d = docs.select(F.col(id_column).alias("doc_id"), text_of(text).alias("text")).withColumn("mark", F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 16)))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = d.agg(F.percentile_approx("doc_id", F.array(*(F.lit((i + 1) / n) for i in range(n))), F.lit(10 * n)), F.max("doc_id")).first()
-    heads = np.array(sorted({*(cuts[0] or ()), *(() if cuts[1] is None else (cuts[1],))}), np.int64)  # at most n + 1 ids
+    shares = F.array(*(F.lit((i + 1) / n) for i in range(n)))
+    cuts = d.agg(*(f for x in ("doc_id", "mark") for f in (F.percentile_approx(x, shares, F.lit(10 * n)), F.max(x))), F.min("doc_id")).first()
+    heads = [np.array(sorted({*(some or ()), *(() if top is None else (top,))}), np.int64) for some, top in ((cuts[0], cuts[1]), (cuts[2], cuts[3]))]
+    if len(heads[0]) and max(cuts[1], -cuts[4]) >= 1 << 53:  # such percentiles are no exact ids: the largest id up to each is
+        place = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(heads[0], ids.to_numpy())), "int")
+        tops = d.where("doc_id is not null").groupBy(place("doc_id").alias("k")).agg(F.max("doc_id")).collect()  # one row a slice
+        heads[0] = np.array(sorted(r[1] for r in tops), np.int64)
+    last, first = len(heads[1]), len(heads[0]) + len(heads[1]) - 1  # slices of null ids come before those of ids, and so last in the order
 
     @F.pandas_udf("array<int>")
-    def slices(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        value = ids.fillna(0).astype("int64").to_numpy()
-        own = np.where(known, np.searchsorted(heads, value), 0)
-        is_head = known & (heads[np.minimum(own, len(heads) - 1)] == value) if len(heads) else ~known
-        guest = np.where(own == max(len(heads) - 1, 0), 0, own + 1)
-        return pd.Series([[o, -1 - g] if h else [o] for o, g, h in zip(own.tolist(), guest.tolist(), is_head.tolist())])
+    def slices(known: pd.Series, values: pd.Series) -> pd.Series:
+        v, is_id = values.to_numpy(), known.to_numpy()
+        out, is_head = np.zeros(len(v), np.int64), np.zeros(len(v), bool)
+        for mine, at, base in ((is_id, heads[0], last), (~is_id, heads[1], 0)):
+            if mine.any():
+                k = np.searchsorted(at, v[mine])
+                out[mine], is_head[mine] = base + k, at[k] == v[mine]
+        guest = np.where(out == first, 0, out + 1)
+        return pd.Series([[o, -1 - g] if h else [o] for o, g, h in zip(out.tolist(), guest.tolist(), is_head.tolist())])
 
     sign, compare = F.pandas_udf(_sign, "fingerprint string, edited_fingerprint string, near_edited double"), F.pandas_udf(_compare, "double")
-    placed = d.withColumn("at", F.explode(slices("doc_id")))
-    placed = placed.select("doc_id", "text", (F.col("at") < 0).alias("guest"), F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("slice"))
-    order = Window.partitionBy("slice").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    placed = d.withColumn("at", F.explode(slices(F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("long"), "mark"))))
+    placed = placed.select("doc_id", "mark", "text", (F.col("at") < 0).alias("guest"), F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("slice"))
+    order = Window.partitionBy("slice").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("mark").desc(), "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     out = placed.withColumn("next", F.lead("text").over(order)).withColumn("row", F.row_number().over(order)).withColumn("n_chars", F.length("text").cast("long"))
     out = out.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.coalesce(F.substring(F.col("next"), F.lit(1), half), F.lit(""))))

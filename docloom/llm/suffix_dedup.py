@@ -11,7 +11,7 @@ is one row (about one per 185 bytes), with a hash of all the bytes that the run
 2. Runs of one anchor and the same bytes are one class. Of each class whose anchor occurs more than once, one context
    goes to the anchor's group, or two if the class has several runs; contexts whose windows share their common bytes
    (by ranges of offsets) with no other are left out, as they can match nothing.
-3. Groups are packed into batches. Over a batch's text a suffix order is built by prefix doubling, its
+3. Groups are packed into batches. Over a batch's text a suffix order is built by ranks of ever longer prefixes, its
    Burrows-Wheeler transform is cut into runs, and the length of the match with the preceding suffix is taken directly
    only at the starts of runs: elsewhere it is one less than that of the text position before. Streaming over the text
    gives matching statistics, and a window is a repeat where they reach WIDTH. What holds for the context of a class
@@ -126,7 +126,7 @@ def repeats(contexts: list[bytes]) -> list[np.ndarray]:
     text[ends] = 0
     n = len(text)
     own = np.repeat(np.arange(len(contexts)), sizes + 1)
-    # Suffix order by prefix doubling, from PACK bytes on; the ranks of each length stay, to compare suffixes with.
+    # Suffix order by prefixes of PACK bytes, then three (or two) times as long, and so on; the ranks of each length stay, to compare suffixes with.
     at = np.arange(n)
     gap = ends[own] - at  # bytes before the separator
     key = np.zeros(n, np.int64)
@@ -136,12 +136,15 @@ def repeats(contexts: list[bytes]) -> list[np.ndarray]:
         key[inside] += text[at[inside] + i]
     rank = _dense(key)[1]
     order, rank = _dense(rank * (len(contexts) + 1) + np.where(gap < PACK, own + 1, 0))
+    grow = 3 if (n + 1) ** 3 < 1 << 63 else 2  # a key holds that many ranks
     ranks, h = [rank.astype(np.int32)], PACK
     while int(rank[order[-1]]) < n - 1:
-        key = rank * (n + 1)
-        key[:-h] += rank[h:] + 1
+        key = rank * (n + 1) ** (grow - 1)
+        for i in range(1, grow):
+            if i * h < n:
+                key[: -i * h] += (rank[i * h :] + 1) * (n + 1) ** (grow - 1 - i)
         order, rank = _dense(key)
-        h *= 2
+        h *= grow
         ranks.append(rank.astype(np.int32))
     del key, rank
     # Runs of the transform: a suffix at the start of a run is sampled, the others follow from the text before them.
@@ -152,11 +155,10 @@ def repeats(contexts: list[bytes]) -> list[np.ndarray]:
     heads = heads[heads > 0]
     x, y = order[heads], order[heads - 1]
     match = np.zeros(len(heads), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        size = PACK << level
+    for level in [x for x in range(len(ranks) - 1, -1, -1) for _ in range(grow - 1)]:
         inside = np.flatnonzero((x + match < n) & (y + match < n))
         same = inside[ranks[level][(x + match)[inside]] == ranks[level][(y + match)[inside]]]
-        match[same] += size
+        match[same] += PACK * grow**level
     for _ in range(PACK - 1):  # what is left is shorter than PACK
         inside = np.flatnonzero((x + match < n) & (y + match < n))
         same = inside[(text[(x + match)[inside]] == text[(y + match)[inside]]) & (text[(x + match)[inside]] > 0)]

@@ -65,6 +65,8 @@ def test_tables_are_broadcast_only_within_a_bound(spark, monkeypatch):
     salted = common.join_table(big, small, "k", "of", "left", "id")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(map(str, salted.collect())) == want and salted.columns == ["id", "k", "of", "v"]
+    monkeypatch.setattr(common, "DEAL_ROWS", 4)  # each key's 16 or 17 rows in five parts
+    assert sorted(map(str, common.join_table(big, small, "k", "of", "left", "id").collect())) == want
 
 
 # ---------------------------------------------------------------- quality rules
@@ -375,6 +377,7 @@ def test_collision_rate_is_the_similarity():
 
 def test_edited_texts(docs, corpus):
     order = sorted(corpus, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    likeness, signature = fingerprints.likeness, fingerprints.signature
     rows = sorted(fingerprints.fingerprints(docs).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
     assert len(rows) == len(corpus)
     for i, (d, t, *_) in enumerate(order):
@@ -382,8 +385,10 @@ def test_edited_texts(docs, corpus):
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         r = rows[i]
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (d, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == fingerprints.signature(t).astype(">u2").tobytes().hex()
-        assert r.near_next == pytest.approx(fingerprints.likeness(fingerprints.signature(t), fingerprints.signature(nxt)))
+        assert r.fingerprint == signature(t).astype(">u2").tobytes().hex()
+        assert r.edited_fingerprint == signature(edited).astype(">u2").tobytes().hex()
+        assert r.near_edited == pytest.approx(likeness(signature(t), signature(edited)))
+        assert r.near_next == pytest.approx(likeness(signature(t), signature(nxt)))
 
 
 def test_fingerprint_edges(spark):
@@ -394,6 +399,20 @@ def test_fingerprint_edges(spark):
     assert nulls.count() == 2
 
 
+@pytest.mark.parametrize("n_ids,base", [(0, 0), (1, 0), (400, 0), (400, (1 << 62) + 1)])
+def test_fingerprints_of_many_null_ids(spark, n_ids, base):
+    """Null ids follow the ids in the order of their texts' hashes, over all slices, with repeated rows and clashing names."""
+    rows = [(None, f"null {i} " * (i % 7 + 1)) for i in range(300)] + [(None, "again")] * 3 + [(base + i, f"text {i} of some words") for i in range(n_ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns({x: F.lit("x") for x in ("mark", "slice", "guest", "row", "fingerprint", "n_chars")})
+    keyed = df.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 16)).alias("m")).collect()
+    order = [r.text for r in sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -(r.m or 0), r.text))]
+    want = Counter()
+    for i, t in enumerate(order):
+        nxt = order[(i + 1) % len(order)]
+        want[hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter(r.edited_sha256 for r in fingerprints.fingerprints(df).collect()) == want
+
+
 # ---------------------------------------------------------------- repeats
 
 
