@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import REFERENCE, strip_markup
 from .windows import ordered, running, upto
 
 
@@ -56,3 +57,28 @@ def row_labels(cells: DataFrame, table: list[str], row: str, col: str, text: str
     b = cells.where(F.col(text) != "").select(*table, F.col(row).alias("r"), F.col(col).alias("c2"), F.col(text).alias("label"))
     joined = a.join(b, [*table, "r"]).where("c <> c2")
     return joined.groupBy(*table, "asset").agg(F.min_by("label", F.struct("r", "c", "c2")).alias("label"))
+
+
+def text_labels(cells: DataFrame, table: list[str], row: str, col: str, text: str) -> DataFrame:
+    """(table, asset, label): the last line with text before an asset's mark in its cell, else the first one after it; the first mark with a label wins.
+
+    Other references and markup are no text.
+    """
+    mark = r"<EM[0-9]{6}>"
+    lines = lambda x: F.filter(F.transform(F.split(x, "\n"), lambda line: strip_markup(F.regexp_replace(line, REFERENCE, " "))), lambda line: line != "")
+    c = cells.select(*table, row, col, F.split(text, mark, -1).alias("__parts"), F.regexp_extract_all(text, F.lit(mark), F.lit(0)).alias("__marks"))
+    c = c.select(*table, row, col, "__parts", F.posexplode("__marks").alias("__i", "__mark"))
+    before, after = (lines(F.array_join(F.slice("__parts", *at), " ")) for at in ((F.lit(1), F.col("__i") + 1), (F.col("__i") + 2, F.size("__parts"))))
+    label = F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at(after, F.lit(1)))
+    found = c.select(*table, row, col, "__i", F.substring("__mark", 2, 8).alias("asset"), label.alias("label")).where("label is not null")
+    return found.groupBy(*table, "asset").agg(F.min_by("label", F.struct(row, col, "__i")).alias("label"))
+
+
+def asset_labels(cells: DataFrame, table: list[str], row: str, col: str, text: str) -> DataFrame:
+    """(table, asset, label): by the text around the mark, and for assets without any by the first other cell with text in their row."""
+    around = text_labels(cells, table, row, col, text)
+    marks = cells.select(*table, row, col, text, F.explode(F.regexp_extract_all(text, F.lit(r"<(EM[0-9]{6})>"), F.lit(1))).alias("__asset"))
+    bare = strip_markup(F.regexp_replace(text, REFERENCE, " "))
+    plain = cells.select(*table, row, col, bare.alias("__text"), F.lit(None).cast("string").alias("__asset"))
+    beside = row_labels(plain.union(marks.select(*table, row, col, F.lit(""), "__asset")), table, row, col, "__text", "__asset")
+    return around.union(beside.join(around.select(*table, "asset"), [*table, "asset"], "left_anti"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import text_udf
-from ..operators import catalog, classify, spans
+from ..operators import catalog, chunks, classify, spans
 from ..schema import SECTION_IDS
 from ..sources import files, ooxml
 from .base import LINES, Registry, lines, table
@@ -208,3 +208,17 @@ def merged_cells(spark, sf_dir):
     """A merged first column, filled cells, and a blank third column that goes: through the parser of real files."""
     c = ooxml.part(ooxml.parse(rich_files(spark, sf_dir)), "cells").where("col = 1 or color is not null")
     return c.select("doc_id", "row", "col", "rowspan", "text", "color", "display_text")
+
+
+@query(
+    "asset_labels",
+    f"""select l_orderkey, 'EM' || lpad(pos::varchar, 6, '0') as asset, case pos % 3 when 0 then l_returnflag || 'a' when 1 then l_returnflag || 'c' else l_returnflag || 'beside' end as label from {LINES}""",
+)
+def asset_labels(spark, sf_dir):
+    """Each line is a row of two cells: text before the mark, text after it, or text in the other cell alone."""
+    name = F.concat(F.lit("<EM"), F.lpad(F.col("pos").cast("string"), 6, "0"), F.lit(">"))
+    k, flag = F.col("pos") % 3, F.col("l_returnflag")
+    first = F.when(k == 0, F.concat(F.lit("x\n<strong>"), flag, F.lit("a</strong>\n"), name, F.lit("\nb"))).when(k == 1, F.concat(name, F.lit(" <TB000001>\n\n"), flag, F.lit("c\nd"))).otherwise(F.concat(name, F.lit(" CL000001 ")))
+    both = F.posexplode(F.array(first, F.concat(flag, F.lit("beside")))).alias("col", "text")
+    cells = lines(spark, sf_dir).select("l_orderkey", "pos", both)
+    return chunks.asset_labels(cells, ["l_orderkey"], "pos", "col", "text")
