@@ -8,6 +8,7 @@ probabilities, and a document's are their mean.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +148,10 @@ def sample(docs: DataFrame) -> DataFrame:
     return ranked.select("lang", "n", "snippets")
 
 
+#: The last network, by its sample: the same sample always gives the same one.
+_TRAINED: dict[str, Net] = {}
+
+
 def fit(docs: DataFrame) -> tuple[list[str], Net | None]:
     """Languages in code-point order and the trained network (None if there is nothing to learn from)."""
     rows = sorted((r["lang"], r["n"], list(r["snippets"])) for r in sample(docs).collect())  # bounded by SAMPLE per language
@@ -155,8 +160,12 @@ def fit(docs: DataFrame) -> tuple[list[str], Net | None]:
     langs = sorted({lang for lang, _ in data})
     if len(langs) < 1:
         return [], None
-    windows = np.frombuffer(b"".join(b for _, b in data), np.uint8).reshape(-1, SNIPPET)
-    return langs, train(windows, np.array([langs.index(lang) for lang, _ in data]), len(langs))
+    key = hashlib.sha256(repr(data).encode()).hexdigest()
+    if key not in _TRAINED:
+        windows = np.frombuffer(b"".join(b for _, b in data), np.uint8).reshape(-1, SNIPPET)
+        _TRAINED.clear()
+        _TRAINED[key] = train(windows, np.array([langs.index(lang) for lang, _ in data]), len(langs))
+    return langs, _TRAINED[key]
 
 
 def predict(net: Net, langs: list[str], texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -605,10 +605,23 @@ def test_pipeline_stages(spark, data):
 
 
 @pytest.mark.parametrize("k", range(5))
-def test_pipeline_stages_at_the_edges(spark, clashing, data, k):
+def test_pipeline_stages_at_the_edges(spark, clashing, corpus, data, k):
     name, stage = corpus_pipeline.STAGES[k]
     out = stage(spark, clashing, data)
-    out.collect()
+    rows = out.collect()
     assert stage(spark, clashing.limit(0), data).count() == 0
     if k < 4:
         assert out.columns == clashing.columns
+        assert all(r.measures == 0 and r.kept == 9 for r in rows)  # the columns that look like the operators' own
+    texts, before = [r.text for r in rows] if k < 4 else [], Counter((r[0], r[1]) for r in corpus)
+    if name == "quality_rules":
+        assert all(t and len(t.split()) >= 50 for t in texts) and not Counter((r.doc_id, r.text) for r in rows) - before
+    if name == "simhash_dedup":
+        assert sum(not (t or "").strip() for t in texts) == 1 and Counter(r.doc_id for r in rows)[None] == 1
+        assert max(n for i, n in Counter(r.doc_id for r in rows).items() if i is not None) == 1
+    if name == "pii_redaction":
+        assert len(rows) == len(corpus) and sum(t is None for t in texts) == 1 and sum(t == "" for t in texts) == 1
+    if name == "source_mixing":
+        assert all(t and t.strip() for t in texts) and {r.source for r in rows} <= {"s1", "s2", None}
+    if name == "sentencepiece":
+        assert len(rows) == len(corpus) and all((r.n_pieces == 0) == (r.piece_ids == []) and r.n_best_scores == sorted(r.n_best_scores, reverse=True) for r in rows)
