@@ -1,11 +1,13 @@
 """Removal of long repeated byte strings with run-length-compressed Burrows-Wheeler indexes.
 
-A byte goes if a string of WIDTH bytes that covers it also starts anywhere else, in the same or another document.
+A byte goes if a string of WIDTH bytes that covers it also starts anywhere else, in the same or another document. Shorter
+passages that repeat, from SHARED bytes on, stay and are told of.
 
-An index over all text in one place does not scale, so windows of WIDTH bytes are first dealt out by an anchor: the
+An index over all text in one place does not scale, so windows of SHARED bytes are first dealt out by an anchor: the
 position in the window with the smallest hash of GRAM bytes. Equal windows have equal anchors at equal offsets, so
 all repeats of a window carry one anchor hash. Neighbouring windows share anchors; a run of windows with one anchor
-is one row (about one per 185 bytes), with a hash of all the bytes that the run spans.
+is one row (about one per 110 bytes), with a hash of all the bytes from its first window to WIDTH bytes from its last.
+Two equal strings of WIDTH bytes have equal windows at their starts, so they meet in a group as well.
 
 1. Equal texts are one text; a text that occurs more than once is a repeat as a whole.
 2. Runs of one anchor and the same bytes are one class. Of each class whose anchor occurs more than once, one context
@@ -14,7 +16,7 @@ is one row (about one per 185 bytes), with a hash of all the bytes that the run
 3. Groups are packed into batches. Over a batch's text a suffix order is built by ranks of ever longer prefixes, its
    Burrows-Wheeler transform is cut into runs, and the length of the match with the preceding suffix is taken directly
    only at the starts of runs: elsewhere it is one less than that of the text position before. Streaming over the text
-   gives matching statistics, and a window is a repeat where they reach WIDTH. What holds for the context of a class
+   gives matching statistics, and a string is a repeat where they reach its width. What holds for the context of a class
    holds for all its runs.
 4. A group too large for one task is dealt out again by finer ranges of offsets and the bytes that all windows of a
    range share, down to single windows; each of these smaller groups is indexed in the same way.
@@ -36,7 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, mix64, small_batches, text_of, utf8, written
 
+#: Bytes of a string whose repeats are removed, and of the shortest match that is told of.
 WIDTH = 400
+SHARED = 250
 GRAM = 32
 SECTION = 1 << 20
 #: Bytes of the first key of a suffix.
@@ -45,7 +49,7 @@ PACK = 7
 GROUP_BYTES = 1 << 20
 BATCH_BYTES = 1 << 20
 #: Offsets in a range, by level; the first is all there are.
-RANGES = (WIDTH, 46, 6, 1)
+RANGES = (SHARED, 46, 6, 1)
 #: Offsets in a range of the filter before the index.
 COARSE = 62
 _BASE = 0xD6E8FEB86659FD93
@@ -57,7 +61,7 @@ _TABLES: list[np.ndarray] = []
 def _tables() -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64."""
     if not _TABLES:
-        n = SECTION + WIDTH + 2
+        n = SECTION + WIDTH + SHARED + 2
         with np.errstate(over="ignore"):
             for b in (_BASE, pow(_BASE, -1, 1 << 64)):
                 x = np.full(n, b, np.uint64)
@@ -81,11 +85,12 @@ class Hashes:
 
 def runs(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By section: its first byte, and of each run the first and last window, the anchor's place, its hash, the bytes' hash."""
-    grams = WIDTH - GRAM + 1
-    for first in range(0, len(data) - WIDTH + 1, SECTION):
+    grams = SHARED - GRAM + 1
+    for first in range(0, len(data) - SHARED + 1, SECTION):
         part = data[first : first + SECTION + WIDTH - 1]
         h = Hashes(part)
-        n = len(part) - GRAM + 1
+        windows = min(SECTION, len(data) - first - SHARED + 1)
+        n = windows + grams - 1
         at = np.arange(n)
         gram = h(at, at + GRAM)
         low = np.uint64((1 << 21) - 1)
@@ -94,13 +99,12 @@ def runs(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         block = key.reshape(-1, grams)
         ahead = np.minimum.accumulate(block, axis=1).ravel()
         behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = len(part) - WIDTH + 1
         m = (np.minimum(behind[:windows], ahead[grams - 1 : grams - 1 + windows]) & low).astype(np.int64)
         edge = np.flatnonzero(np.diff(m)) + 1
         a, b = np.concatenate([[0], edge]), np.concatenate([edge, [windows]]) - 1
         place = m[a]
         with np.errstate(over="ignore"):
-            whole = mix64(h(a, b + WIDTH) + (place - a).astype(np.uint64) * _GOLD)
+            whole = mix64(h(a, np.minimum(b + WIDTH, len(part))) + (place - a).astype(np.uint64) * _GOLD)
         yield first, a, b, place, gram[place], whole
 
 
@@ -116,7 +120,12 @@ def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each context, for each of its windows, whether the window's bytes start elsewhere in any of the contexts.
+    """For each context, for each of its windows of WIDTH, whether the window's bytes start elsewhere in any of the contexts."""
+    return [m[: max(len(m) - WIDTH + 1, 0)] >= WIDTH for m in matches(contexts)]
+
+
+def matches(contexts: list[bytes]) -> list[np.ndarray]:
+    """For each context, for each of its bytes, the length of the longest match of what starts there elsewhere in the contexts.
 
     The run-length index: see the module's text. Separators sort by context and are all different.
     """
@@ -176,7 +185,7 @@ def repeats(contexts: list[bytes]) -> list[np.ndarray]:
     follows[order[:-1]] = before[order[1:]]
     np.maximum(both, follows, out=both)
     start = ends - sizes
-    return [both[s : s + max(size - WIDTH + 1, 0)] >= WIDTH for s, size in zip(start, sizes)]
+    return [both[s : s + size] for s, size in zip(start, sizes)]
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -223,11 +232,11 @@ def anchored(texts: DataFrame) -> DataFrame:
     return texts.select(*ID, "text").mapInPandas(cut, f"{_ID}, anchor long, whole long, a long, b long, place long")
 
 
-def cores(context: bytes, off: int) -> list[int]:
-    """For each range of COARSE offsets that has windows in the context, a hash of the bytes that all its windows share."""
+def cores(context: bytes, off: int, n: int) -> list[int]:
+    """For each range of COARSE offsets that has some of the context's n windows, a hash of the bytes that all its windows share."""
     out = []
-    for q in range((off - (len(context) - WIDTH)) // COARSE, off // COARSE + 1):
-        core = context[off - q * COARSE : off - q * COARSE - COARSE + 1 + WIDTH]
+    for q in range((off - (n - 1)) // COARSE, off // COARSE + 1):
+        core = context[off - q * COARSE : off - q * COARSE - COARSE + 1 + SHARED]
         out.append(xxhash.xxh64_intdigest(core, q) - (1 << 63))
     return out
 
@@ -248,14 +257,14 @@ def contexts(texts: DataFrame, classes: DataFrame) -> DataFrame:
     runs = classes.select("anchor", "whole", F.posexplode(F.when(F.col("c") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("copy", "r"))
     wanted = runs.groupBy("r.h", "r.g").agg(F.collect_list(F.struct("anchor", "whole", "copy", "r.a", "r.b", "r.place")).alias("runs"))
 
-    @F.pandas_udf("array<struct<one: long, two: long, copy: int, key: long, off: long, context: binary, cores: array<long>>>")
+    @F.pandas_udf("array<struct<one: long, two: long, copy: int, key: long, off: long, n: long, context: binary, cores: array<long>>>")
     def slices(texts: pd.Series, rows: pd.Series) -> pd.Series:
         out = []
         for text, found in zip(texts, rows):
             data, mine = utf8(text), []
             for r in found:
-                c, off = data[r["a"] : r["b"] + WIDTH], r["place"] - r["a"]
-                mine.append({"one": r["anchor"], "two": r["whole"], "copy": r["copy"], "key": r["anchor"], "off": off, "context": c, "cores": cores(c, off)})
+                c, off, n = data[r["a"] : r["b"] + WIDTH], r["place"] - r["a"], r["b"] - r["a"] + 1
+                mine.append({"one": r["anchor"], "two": r["whole"], "copy": r["copy"], "key": r["anchor"], "off": off, "n": n, "context": c, "cores": cores(c, off, n)})
             out.append(mine)
         return pd.Series(out)
 
@@ -263,122 +272,139 @@ def contexts(texts: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def indexed(rows: DataFrame) -> DataFrame:
-    """Repeated windows (one, two, a, b) of the classes of the contexts, by indexes over batches of whole groups of one key."""
+    """Matching windows (one, two, width, a, b) of the classes of the contexts, by indexes over batches of whole groups of one key.
+
+    width is SHARED or WIDTH; only a context's first n windows are its own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size = 0
 
         def result() -> pd.DataFrame:
-            out = []
-            for (one, two, copy, _), flags in zip(held, repeats([x[3] for x in held])):
-                if copy == 0:
-                    out.extend((one, two, a, b) for a, b in _spans(flags))
-            return pd.DataFrame(out, columns=["one", "two", "a", "b"]).astype("int64")
+            # Contexts of one text overlap, so that for SHARED they end with their last window; what matches there is compared at full length.
+            short = [(x, m[: x[3]] >= SHARED) for x, m in zip(held, matches([x[4][: x[3] + SHARED - 1] for x in held]))]
+            out = [(x[0], x[1], SHARED, a, b) for x, flags in short if x[2] == 0 for a, b in _spans(flags)]
+            some = [x for x, flags in short if flags.any()]
+            full = zip(some, matches([x[4] for x in some])) if some else ()
+            out += [(x[0], x[1], WIDTH, a, b) for x, m in full if x[2] == 0 for a, b in _spans(m[: x[3]] >= WIDTH)]
+            return pd.DataFrame(out, columns=["one", "two", "width", "a", "b"]).astype("int64")
 
         last = None
         for rows in batches:
-            for key, one, two, copy, c in zip(*(rows[x].tolist() for x in ("key", *ROLE, "context"))):
+            for key, one, two, copy, n, c in zip(*(rows[x].tolist() for x in ("key", *ROLE, "n", "context"))):
                 if key != last and size >= BATCH_BYTES:
                     yield result()
                     held, size = [], 0
                 last = key
-                held.append((one, two, copy, bytes(c)))
+                held.append((one, two, copy, n, bytes(c)))
                 size += len(c) + 1
         if held:
             yield result()
 
     placed = rows.repartition("key").sortWithinPartitions("key", *ROLE)
-    return placed.select("key", *ROLE, "context").mapInPandas(run, "one long, two long, a long, b long")
+    return placed.select("key", *ROLE, "n", "context").mapInPandas(run, "one long, two long, width long, a long, b long")
 
 
 def finer(rows: DataFrame, width: int) -> DataFrame:
     """The contexts dealt out by ranges of `width` offsets: the new key holds the bytes that all windows of a range share, `part` all its bytes."""
 
-    @F.pandas_udf("array<struct<key: long, part: long, off: long, start: long, context: binary>>")
-    def deal(keys: pd.Series, offs: pd.Series, data: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<key: long, part: long, off: long, n: long, start: long, context: binary>>")
+    def deal(keys: pd.Series, offs: pd.Series, sizes: pd.Series, data: pd.Series) -> pd.Series:
         out = []
-        for key, off, c in zip(keys.tolist(), offs.tolist(), data):
+        for key, off, n, c in zip(keys.tolist(), offs.tolist(), sizes.tolist(), data):
             c = bytes(c)
             h = Hashes(np.frombuffer(c, np.uint8))
-            low = off - (len(c) - WIDTH)  # offset of the last window
+            low = off - (n - 1)  # offset of the last window
             mine = []
             for q in range(low // width, off // width + 1):
                 a, b = off - min(off, q * width + width - 1), off - max(low, q * width)  # windows of the range
-                core = off - q * width, off - (q * width + width - 1) + WIDTH
-                both = h(np.array([core[0], a]), np.array([core[1], b + WIDTH]))
+                core = off - q * width, off - (q * width + width - 1) + SHARED
+                both = h(np.array([core[0], a]), np.array([core[1], min(b + WIDTH, len(c))]))
                 with np.errstate(over="ignore"):
                     new, part = mix64(np.array([np.uint64(key & (2**64 - 1)) * _GOLD + both[0] + np.uint64(q), both[1] + np.uint64(off - a)])).astype(np.int64).tolist()
-                mine.append({"key": new, "part": part, "off": off - a, "start": a, "context": c[a : b + WIDTH]})
+                mine.append({"key": new, "part": part, "off": off - a, "n": b - a + 1, "start": a, "context": c[a : b + WIDTH]})
             out.append(mine)
         return pd.Series(out)
 
-    return rows.select(*ROLE, F.explode(deal("key", "off", "context")).alias("c")).select(*ROLE, "c.*")
+    return rows.select(*ROLE, F.explode(deal("key", "off", "n", "context")).alias("c")).select(*ROLE, "c.*")
 
 
 def settled(rows: DataFrame, level: int = 0) -> DataFrame:
-    """Repeated windows (one, two, a, b) of the classes of the contexts, whatever the size of a group.
+    """Matching windows (one, two, width, a, b) of the classes of the contexts, whatever the size of a group.
 
     Groups over GROUP_BYTES are dealt out by ranges of offsets. Equal parts of contexts are classes again, of which two
-    members go on, so that groups shrink; in the last level a group is a single window, twice at most. What the index
-    says of a class of parts holds for all contexts that have it.
+    members go on, so that groups shrink. What the index says of a class of parts holds for all contexts that have it. In the
+    last range, of one window, a group has its first SHARED bytes in common: two of its members are indexed for that
+    width, and two of each class of parts, which share all their bytes, for WIDTH.
     """
-    if level + 1 == len(RANGES):
-        return indexed(rows)
     sizes = rows.groupBy("key").agg(F.sum(F.length("context")).alias("bytes"))
     large = written(sizes.where(F.col("bytes") > GROUP_BYTES).select("key"))
-    if not large.take(1):
+    if level + 1 == len(RANGES) or not large.take(1):
         return indexed(rows)
     small = indexed(rows.join(large, "key", "left_anti"))
     parts = written(finer(rows.join(large, "key", "left_semi"), RANGES[level + 1]))
-    me = F.struct(*ROLE, "start", "off", "context")
-    classes = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.min(me).alias("first"), F.max(me).alias("last"))
-    both = F.posexplode(F.when(F.col("c") > 1, F.array("first", "last")).otherwise(F.array("first")))
-    chosen = classes.select("key", "part", both.alias("copy", "r")).select(F.col("key").alias("one"), F.col("part").alias("two"), "copy", "key", "r.off", "r.context")
-    found = written(settled(written(chosen), level + 1)).select(F.col("one").alias("key"), F.col("two").alias("part"), "a", "b")
-    again = parts.where("copy = 0").select("one", "two", "start", "key", "part").join(found, ["key", "part"])
-    return small.union(again.select("one", "two", F.col("start") + F.col("a"), F.col("start") + F.col("b")))
+    me = F.struct(*ROLE, "start", "off", "n", "context")
+
+    def chosen(classes: DataFrame, key, part) -> DataFrame:
+        both = F.posexplode(F.when(F.col("c") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("copy", "r")
+        return classes.select(F.col("key").alias("one"), part.alias("two"), key.alias("key"), both).select("one", "two", "copy", "key", "r.off", "r.n", "r.context")
+
+    ends = (F.count(F.lit(1)).alias("c"), F.min(me).alias("first"), F.max(me).alias("last"))
+    classes = parts.groupBy("key", "part").agg(*ends)
+    own = parts.where("copy = 0").select("one", "two", "start", "key", "part")
+    if RANGES[level + 1] > 1:
+        found = written(settled(written(chosen(classes, F.col("key"), F.col("part"))), level + 1))
+    else:
+        alike = parts.groupBy("key").agg(*ends).where("c > 1")
+        same = written(indexed(chosen(alike, F.col("key"), F.lit(0).cast("long")))).where(F.col("width") == SHARED).select(F.col("one").alias("key"), "width", "a", "b")
+        found = written(indexed(chosen(classes.where("c > 1"), F.xxhash64("key", "part"), F.col("part")))).where(F.col("width") == WIDTH)
+        shared = own.join(same, "key").select("one", "two", "width", F.col("start") + F.col("a"), F.col("start") + F.col("b"))
+        small = small.union(shared)
+    found = found.select(F.col("one").alias("key"), F.col("two").alias("part"), "width", "a", "b")
+    return small.union(own.join(found, ["key", "part"]).select("one", "two", "width", F.col("start") + F.col("a"), F.col("start") + F.col("b")))
 
 
 def repeated(texts: DataFrame) -> DataFrame:
-    """Runs of windows (h, g, a, b) that are repeats, of distinct texts (h, g, text)."""
+    """Runs of windows (h, g, width, a, b) whose first `width` bytes are a repeat, of distinct texts (h, g, text)."""
     rows = written(anchored(texts))
     run = F.struct(*ID, "a", "b", "place")
     classes = rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(run).alias("first"), F.max(run).alias("last"))
     anchors = classes.groupBy("anchor").agg(F.sum("c").alias("n")).where("n > 1").select("anchor")
     shared = written(classes.join(anchors, "anchor"))
     found = written(settled(written(paired(written(contexts(texts, shared))))))
-    found = found.select(F.col("one").alias("anchor"), F.col("two").alias("whole"), F.col("a").alias("from"), F.col("b").alias("to"))
-    return rows.join(found, ["anchor", "whole"]).select(*ID, (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
+    found = found.select(F.col("one").alias("anchor"), F.col("two").alias("whole"), "width", F.col("a").alias("from"), F.col("b").alias("to"))
+    return rows.join(found, ["anchor", "whole"]).select(*ID, "width", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per distinct text of docs: h and g (see names()), text, copies, and spans, the bytes to remove as array<struct<start, end>> in order and apart, ends exclusive.
+    """One row per distinct text of docs: h and g (see names()), text, copies, and two lists of bytes as array<struct<start, end>> in order and apart, ends exclusive.
 
-    Null texts are empty; texts of fewer than WIDTH bytes hold no repeat. A text that docs holds more than once repeats
+    spans are the bytes to remove, in repeated strings of WIDTH bytes; shared are those in repeated strings of SHARED bytes,
+    which are only told of. Null texts are empty; texts of fewer bytes hold no repeat. A text that docs holds more than once repeats
     itself as a whole. Very long texts are anchored in sections of SECTION bytes that overlap by a window. Rows and
     ids play no part, so null ids, ties, repeated rows and clashing column names are harmless. An empty table gives
     an empty result.
     """
     texts = texts_of(small_batches(docs), text)
-    lists = written(repeated(texts).groupBy(*ID).agg(F.collect_list(F.struct("a", "b")).alias("windows")))
+    lists = written(repeated(texts).groupBy(*ID).agg(F.collect_list(F.struct("width", "a", "b")).alias("windows")))
 
-    @F.pandas_udf("array<struct<start: long, end: long>>")
-    def spans(sizes: pd.Series, copies: pd.Series, windows: pd.Series) -> pd.Series:
+    @F.pandas_udf("spans array<struct<start: long, end: long>>, shared array<struct<start: long, end: long>>")
+    def both(sizes: pd.Series, copies: pd.Series, windows: pd.Series) -> pd.DataFrame:
         out = []
         for n, c, w in zip(sizes.tolist(), copies.tolist(), windows):
-            found = [(0, n)] if c > 1 and n >= WIDTH else removed(w) if w is not None else []
-            out.append([{"start": a, "end": b} for a, b in found])
-        return pd.Series(out)
+            found = [[(0, n)] if c > 1 and n >= width else covered(w, width) if w is not None else [] for width in (WIDTH, SHARED)]
+            out.append([[{"start": a, "end": b} for a, b in x] for x in found])
+        return pd.DataFrame(out, columns=["spans", "shared"])
 
     size = F.octet_length(F.encode("text", "UTF-8"))
-    return texts.join(lists, [*ID], "left").withColumn("spans", spans(size, "copies", "windows")).drop("windows")
+    return texts.join(lists, [*ID], "left").withColumn("r", both(size, "copies", "windows")).drop("windows").select("*", "r.*").drop("r")
 
 
-def removed(windows) -> list[tuple[int, int]]:
-    """Maximal byte spans (end exclusive) covered by windows, given as (first, last) pairs."""
+def covered(windows, width: int) -> list[tuple[int, int]]:
+    """Maximal byte spans (end exclusive) covered by the windows of a width, given as first and last ones."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((w["a"], w["b"] + WIDTH) for w in windows):
+    for a, b in sorted((w["a"], w["b"] + width) for w in windows if w["width"] == width):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -400,13 +426,14 @@ def query(spark, sf_dir):
     """op7: whole `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def report(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
+    def report(texts: pd.Series, spans: pd.Series, shared: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, found in zip(texts, spans):
+        total = lambda found: sum(s["end"] - s["start"] for s in found)
+        for t, found, told in zip(texts, spans, shared):
             data = utf8(t)
-            rows.append((len(data), sum(s["end"] - s["start"] for s in found), len(found), hashlib.sha256(keep(data, found)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((len(data), total(found), len(found), hashlib.sha256(keep(data, found)).hexdigest(), total(told)))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
 
-    r = dedup(docs).select(*ID, report("text", "spans").alias("r"))
+    r = dedup(docs).select(*ID, report("text", "spans", "shared").alias("r"))
     return docs.select("doc_id", *names()).join(r, [*ID]).select("doc_id", "r.*")

@@ -11,7 +11,7 @@ from docloom.llm import suffix_dedup
 W = suffix_dedup.WIDTH
 
 
-def by_hand(texts):
+def by_hand(texts, W=W):
     """(n_bytes, n_removed, n_spans, kept_sha256) of each text, windows by a table of their hashes."""
     raw = [(t or "").encode() for t in texts]
     count = {}
@@ -35,6 +35,7 @@ def run(spark, folder, texts):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     rows = suffix_dedup.query(spark, str(folder)).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert {r.doc_id: r.n_shared for r in rows} == {i: x[1] for i, x in enumerate(by_hand(texts, suffix_dedup.SHARED))}
     return [got[i] for i in range(len(texts))]
 
 
@@ -57,10 +58,10 @@ def test_the_index_decides(spark, tmp_path, monkeypatch):
     """With an index that finds nothing no byte of different texts goes."""
     rng = random.Random(2)
     passage = noise(rng, 2000)
-    texts = [noise(rng, 200) + passage + noise(rng, 200) for _ in range(4)] + [noise(rng, 800)] * 2
+    texts = [noise(rng, 200) + passage + noise(rng, 200) for _ in range(4)] + [noise(rng, 800)] * 2 + [noise(rng, 99) + passage[:320] + noise(rng, 99), passage[:249]]
     assert run(spark, tmp_path / "on", texts) == by_hand(texts)
     rows = suffix_dedup.texts_of(spark.createDataFrame([(t,) for t in texts], "text string"))
-    monkeypatch.setattr(suffix_dedup, "indexed", lambda rows: spark.createDataFrame([], "one long, two long, a long, b long"))
+    monkeypatch.setattr(suffix_dedup, "indexed", lambda rows: spark.createDataFrame([], "one long, two long, width long, a long, b long"))
     assert suffix_dedup.repeated(rows).count() == 0
 
 
@@ -77,7 +78,7 @@ def test_frames(spark):
     """Nulls, empty texts, repeated rows and columns named as the operator names its own."""
     t = noise(random.Random(4), 500)
     rows = [(None, 1), ("", 2), (t, 3), (t, 3), ("short", 4), ("short", 5), (t + "more", 6)]
-    df = spark.createDataFrame(rows, "text string, h long").withColumns({x: F.lit(1) for x in ("g", "copies", "spans", "windows", "a", "b", "key", "one")})
+    df = spark.createDataFrame(rows, "text string, h long").withColumns({x: F.lit(1) for x in ("g", "copies", "spans", "shared", "windows", "a", "b", "key", "one")})
     got = {r.text: (r.copies, [tuple(s) for s in r.spans]) for r in suffix_dedup.dedup(df).collect()}
     assert got == {"": (2, []), t: (2, [(0, 500)]), "short": (2, []), t + "more": (1, [(0, 500)])}
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
