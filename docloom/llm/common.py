@@ -35,7 +35,7 @@ def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = _scratch(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,7 +45,7 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     path = _scratch(spark)
     name = path.rsplit("/", 1)[1].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    df.write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

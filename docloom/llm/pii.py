@@ -393,7 +393,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str
 
 
 def pii(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256 and spans.
+    """doc_id, counts of base spans by kind, base_sha256, spans and their number, those that the method adds included.
 
     Null and empty texts have no spans; very long texts and any number of matches are searched whole. Null and repeated
     ids stay, and repeated rows are alike. Spans of one start go by kind, then end. Extra columns are dropped, whatever
@@ -403,7 +403,7 @@ def pii(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataF
     out, base, every = with_spans(plain, "text")
     of_kind = lambda i: lambda s: s["no"] == i
     counts = [F.size(F.filter(F.col(base), of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(F.encode(_join(F.col(base)), "UTF-8"), 256).alias("base_sha256"), _join(F.col(every)).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(F.encode(_join(F.col(base)), "UTF-8"), 256).alias("base_sha256"), _join(F.col(every)).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:

@@ -99,7 +99,12 @@ def components(prints: DataFrame) -> DataFrame:
 
 
 def simhash(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id. Extra columns are dropped."""
+    """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id.
+
+    Null and empty texts, and texts of white space, have the fingerprint zero and link like any other. A bit that is set
+    in just half of the hashes is 0. Very long texts are hashed whole, in runs of shingles. Null ids and repeated rows
+    are handled as in components(). Extra columns are dropped, whatever their names. An empty table gives an empty result.
+    """
     prints = written(docs.select(F.col(id_column).alias("doc_id"), fingerprints(docs, text, width).alias("fp")))
     return components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
