@@ -1,6 +1,6 @@
 """The queries of this subpackage, by the name under which they are registered, and their SQL where there is one."""
 
-from . import fingerprints, html_extract, language_id, mixing, pii, quality_classifier, quality_rules, sentencepiece_nbest, simhash, suffix_dedup
+from . import conversation_repair, fingerprints, html_extract, importance, language_id, license_scan, mixing, pii, quality_classifier, quality_rules, sentencepiece_nbest, simhash, suffix_dedup
 
 QUERIES = {
     "op7_suffix_dedup": suffix_dedup.query,
@@ -13,8 +13,11 @@ QUERIES = {
     "op5_mixing": mixing.query,
     "op8_simhash": simhash.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_conversation_repair": conversation_repair.query,
+    "op12_importance_resampling": importance.query,
+    "op13_license_scan": license_scan.query,
 }
-ORACLES = {"op5_mixing": mixing.ORACLE}
+ORACLES = {"op5_mixing": mixing.ORACLE, "op12_importance_resampling": importance.ORACLE, "op13_license_scan": license_scan.ORACLE}
 
 
 def edited_texts(spark, sf_dir):
