@@ -6,7 +6,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import files, ooxml
+from ..sources import files, ole, ooxml
 from .base import Registry, table
 
 query = Registry()
@@ -76,3 +76,68 @@ def types(spark, sf_dir):
     own = p.where("p_partkey % 10 = 0").select(F.concat(F.lit("/"), name).alias("part"), F.lit("own/type").alias("content_type"))
     defaults = spark.createDataFrame([("png", "image/png")], "extension string, content_type string")
     return files.content_types(p.select(name.alias("part")), own, defaults)
+
+
+#: A container for each part, by its number: a native stream of a few bytes, one of many, and a PDF in CONTENTS inside a storage.
+def _container(key: int, text: str) -> bytes:
+    body = (text * (1 if key % 3 == 0 else 400 if key % 3 == 1 else 20)).encode()
+    if key % 3 == 2:
+        return ole.compound({("ObjectPool", "CONTENTS"): b"%PDF-" + body, ("other",): b"x" * 5000})
+    return ole.compound({(ole.NATIVE,): ole.native_stream(f"part {key}.txt", body), ("\x03ObjInfo",): b"\0" * 6})
+
+
+def part_containers(spark, sf_dir):
+    """(path, content): a container for each part with its name, so often that short and long streams occur."""
+    build = F.pandas_udf(lambda keys, names: pd.Series([_container(k, n) for k, n in zip(keys, names)]), "binary")
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("/objects/oleObject"), F.col("p_partkey").cast("string"), F.lit(".bin")).alias("path"), build("p_partkey", "p_name").alias("content"))
+
+
+@query(
+    "ole_payloads",
+    """with b as (select p_partkey as k, case p_partkey % 3 when 0 then p_name when 1 then repeat(p_name, 400) else '%PDF-' || repeat(p_name, 20) end as body from part)
+    select '/objects/oleObject' || k || '.bin' as path, case when k % 3 = 2 then 'oleObject' || k || '.pdf' else 'part ' || k || '.txt' end as payload_name,
+        case when k % 3 = 2 then 'application/pdf' else 'text/plain' end as payload_type, length(body)::int as size, sha256(body) as sha256 from b""",
+)
+def ole_payloads(spark, sf_dir):
+    """What the containers of all parts carry."""
+    out = ole.payloads(part_containers(spark, sf_dir))
+    return out.select("path", "payload_name", "payload_type", F.length("payload").alias("size"), F.sha2("payload", 256).alias("sha256"))
+
+
+def _file_with_objects(region: str, objects) -> bytes:
+    """A Word file with a table: in each row a name and an embedded container, in the last row a picture under the name of the region."""
+    ns = f'{_NS} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:o="urn:schemas-microsoft-com:office:office" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    base = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows, links, parts = [], [], {}
+    for k, x in enumerate(objects):
+        rows.append(f'<w:tr><w:tc>{_paragraph(x["n_name"])}</w:tc><w:tc><w:p><w:r><w:object><o:OLEObject r:id="o{k}"/></w:object></w:r></w:p></w:tc></w:tr>')
+        links.append(f'<Relationship Id="o{k}" Type="{base}/oleObject" Target="embeddings/oleObject{k}.bin"/>')
+        parts[f"word/embeddings/oleObject{k}.bin"] = ole.compound({(ole.NATIVE,): ole.native_stream("comment.txt", f"about {x['n_name']}".encode())})
+    rows.append(f'<w:tr><w:tc>{_paragraph(region)}</w:tc><w:tc><w:p><w:r><w:drawing><a:blip r:embed="p"/></w:drawing></w:r></w:p></w:tc></w:tr>')
+    links.append(f'<Relationship Id="p" Type="{base}/image" Target="media/image1.png"/>')
+    parts["word/media/image1.png"] = b"\x89PNG\r\n\x1a\n" + region.encode()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:tbl>{''.join(rows)}</w:tbl></w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", f"<Relationships>{''.join(links)}</Relationships>")
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+@query(
+    "docx_assets",
+    """with n as (select r_name, n_name, 'about ' || n_name as about, row_number() over (partition by r_name order by n_nationkey) as k from nation join region on n_regionkey = r_regionkey),
+    a as (select r_name as doc_id, k, 'embedded' as kind, n_name as display_name, 'comment.txt' as original_name, case when k = 1 then 'comment.txt' else 'comment_' || k || '.txt' end as stored_name, 'text/plain' as content_type, sha256(about) as sha256 from n
+        union all select r_name, max(k) + 1, 'image', r_name, 'image1.png', 'image1.png', 'image/png', sha256(from_hex('89504E470D0A1A0A' || hex(encode(r_name)))) from n group by r_name)
+    select doc_id, 'EM' || lpad(k::varchar, 6, '0') as asset_id, kind, display_name, original_name, stored_name, content_type, sha256 from a""",
+)
+def docx_assets(spark, sf_dir):
+    """Embedded files and pictures of Word files, out of their containers, named and labelled."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    row = F.struct("n_nationkey", "n_name")
+    g = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    build = F.pandas_udf(lambda names, rows: pd.Series([_file_with_objects(a, b) for a, b in zip(names, rows)]), "binary")
+    assets = ooxml.part(ooxml.parse(g.select(F.col("r_name").alias("doc_id"), build("r_name", "rows").alias("content"))), "assets")
+    return assets.select("doc_id", "asset_id", "kind", "display_name", "original_name", "stored_name", "content_type", F.sha2("content", 256).alias("sha256"))
