@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import canvas
 from ..functions.text import INVISIBLE, MARKUP
 from .windows import before, ordered, upto
 
@@ -122,3 +124,34 @@ def virtual(cells: DataFrame, table: list[str], row: str, col: str, colspan: str
     rows = F.array_distinct(F.transform("cells", lambda x: x["row"]))
     t = t.withColumn("border", border).withColumn("lines", F.transform(rows, drawn))
     return t.select(*table, F.concat(F.col("border"), F.array_join(F.transform("lines", lambda x: F.concat(F.lit("\n"), x, F.lit("\n"), F.col("border"))), "")).alias("rendered"))
+
+
+def spanned(
+    cells: DataFrame, table: list[str], row: str, col: str, rowspan: str, colspan: str, text: str, order: str, n_rows: str | None = None, n_cols: str | None = None, through: bool = False
+) -> DataFrame:
+    """(table, rendered): tables whose cells span rows and columns, drawn with ASCII lines.
+
+    Rows and columns count from 1. A table is as wide and high as n_cols and n_rows say (the same in all its cells), or
+    without a number above 0 as its cells need. Places and spans under 1 or missing count as 1; a column beyond the width
+    counts as the last, spans end with the table, and rows outside it are left out. Of overlapping cells the later one in order of row, column and
+    `order` is in front. Positions without a cell are blank boxes. With `through`, lines between rows run through cells
+    of several rows. A table is one group, as its widths depend on all its cells.
+    """
+    number = lambda name: F.col(name).cast("int")
+    whole = lambda name: F.lit(None).cast("int") if name is None else F.when(number(name) > 0, number(name))
+    least = lambda name: F.greatest(F.coalesce(number(name), F.lit(1)), F.lit(1))
+    cell = F.struct(F.coalesce(number(row), F.lit(0)).alias("row"), least(col).alias("col"), F.col(order).alias("order"), least(rowspan).alias("down"), least(colspan).alias("across"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = cells.groupBy(*table).agg(
+        F.array_sort(F.collect_list(cell)).alias("cells"), F.coalesce(F.max(whole(n_rows)), F.greatest(F.max(number(row)), F.lit(0))).alias("rows"),
+        F.coalesce(F.max(whole(n_cols)), F.max(least(col) + least(colspan) - 1)).alias("cols"),
+    )
+
+    def drawn(many: pa.Array, heights: pa.Array, widths: pa.Array) -> pa.Array:
+        out = []
+        for found, rows, cols in zip(many.to_pylist(), heights.to_pylist(), widths.to_pylist()):
+            inside = [c for c in found if 1 <= c["row"] <= rows]
+            own = canvas.owners([(c["row"] - 1, min(c["col"], cols) - 1, c["down"], c["across"]) for c in inside], rows, cols)
+            out.append(canvas.draw(own, {k: c["text"].split("\n") for k, c in enumerate(inside)}, through) if inside else "")
+        return pa.array(out, pa.string())
+
+    return t.select(*table, F.arrow_udf(drawn, "string")("cells", "rows", "cols").alias("rendered"))
