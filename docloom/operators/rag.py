@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REFERENCE, is_grid_line, word_count
-from .storage import checkpointed
+from .storage import stored
 from .windows import before, ordered, previous_smaller
 
 TARGET, TRIGGER, LEAST = 400, 500, 100
@@ -30,14 +30,14 @@ def walk(nodes: DataFrame) -> DataFrame:
 
     References are followed level by level within a document, each level a join on the node's id. A node that is on its own
     path is a cycle and gives no text; state is text, asset, unresolved (no such node) or cycle, node the one that the
-    leaf is written in. Paths only grow and hold a node once, so that the levels end; each is checkpointed, and there is no bound on depth or rows.
+    leaf is written in. Paths only grow and hold a node once, so that the levels end; each is a written table, and there is no bound on depth or rows.
     """
     n = nodes.select("doc_id", "id", F.posexplode(pieces(F.col("text"))).alias("pos", "p")).select("doc_id", "id", "pos", "p.text", "p.is_ref")
     target = F.when(F.col("is_ref") & ~F.col("text").startswith("<EM"), F.regexp_replace("text", "[<>]", ""))
     known = nodes.select(F.col("doc_id").alias("__doc"), F.col("id").alias("__known")).distinct()
     n = n.withColumn("target", target)
     n = n.join(known, (F.col("doc_id") == F.col("__doc")) & (F.col("target") == F.col("__known")), "left")
-    n = checkpointed(n.select(F.col("doc_id").alias("__doc"), F.col("id").alias("__id"), "pos", "text", "target", F.col("__known").isNotNull().alias("there")))
+    n = stored(n.select(F.col("doc_id").alias("__doc"), F.col("id").alias("__id"), "pos", "text", "target", F.col("__known").isNotNull().alias("there")))
     on_path = F.array_contains("path", F.col("target"))
     state = (
         F.when(F.col("target").isNull(), F.when(F.col("text").startswith("<EM"), "asset").otherwise("text"))
@@ -47,7 +47,7 @@ def walk(nodes: DataFrame) -> DataFrame:
     leaves = None
     while True:
         step = front.join(n, (F.col("doc_id") == F.col("__doc")) & (F.col("node") == F.col("__id"))).withColumn("state", state)
-        step = checkpointed(step.select("doc_id", "root", "node", "path", F.concat("place", F.array("pos")).alias("place"), F.coalesce("target", "text").alias("text"), "state"))
+        step = stored(step.select("doc_id", "root", "node", "path", F.concat("place", F.array("pos")).alias("place"), F.coalesce("target", "text").alias("text"), "state"))
         done = step.where("state <> 'open'")
         leaves = done if leaves is None else leaves.union(done)
         front = step.where("state = 'open'").select("doc_id", "root", F.col("text").alias("node"), F.concat("path", F.array("text")).alias("path"), "place")

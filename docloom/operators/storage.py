@@ -1,19 +1,29 @@
-"""Cutting lineage between steps of an iteration."""
+"""Cutting lineage: tables written between the steps of an iteration, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster names in spark.checkpoint.dir; a local master without one gets a folder of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, else the folder set on the context; a local master without either gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if not folder and not context.master.startswith("local"):
+    if not named and context.getCheckpointDir() is None:
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docloom-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lost executors repeat one step. The files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    target = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cells
+from .windows import numbered
+
 #: Limits in characters; a text is limited in bytes too.
 LIMITS = {"document_id": 256, "document_name": 1024, "chunk_id": 256, "file_name": 512, "section_id": 32, "chunk_type": 64, "hierarchy_path": 4096, "text": 60000}
 TOP_K, TOP_N = 12, 5
@@ -64,48 +67,24 @@ def search(rows: DataFrame, vector: list[float], k: int = TOP_K, key: str = "vec
     if only:
         rows = rows.where(F.col(only[0]).isin(only[1]))
         if len(only[1]) == 1:
-            scored = rows.withColumn("score", F.lit(None).cast("double"))
-            return scored.withColumn("rank", F.row_number().over(Window.partitionBy(only[0]).orderBy(key)))
+            return numbered(rows.withColumn("score", F.lit(None).cast("double")), [key], "rank")
     q = F.array(*(F.lit(float(x)) for x in vector))
     scored = rows.withColumn("score", cosine(F.col(embedding), q)).orderBy(F.col("score").desc(), key).limit(k)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), key)))  # k rows
 
 
-#: Query vectors that are compared with all rows at a time.
-BLOCK = 2048
-
-
 def search_all(rows: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query, key, score, rank): the k nearest rows to every query vector by exact cosine; ties by key.
+    """(query, key, score, rank): the k nearest rows to every query vector by exact cosine, all rows compared; ties by key.
 
-    Queries (query, embedding) go in blocks of BLOCK, the bound of what is sent to the workers at once. A worker multiplies its batches with the block and
-    keeps the k best of each query, and only those are shuffled. Zero and null vectors have similarity 0. No queries
-    give no rows.
+    Rows and queries (query, embedding) are dealt into blocks by their hashes, a task multiplies one block of each, and
+    only the k best of a query and block are shuffled. Zero and null vectors have similarity 0. No queries give no rows.
+    cells.search gives the same from an index, mostly without comparing all rows.
     """
-    n = queries.count()
-    bucket = F.pmod(F.xxhash64("query"), F.lit(-(-2 * n // BLOCK) or 1))  # about half of BLOCK each
-    out = None
-    kinds = f"query {queries.schema['query'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double"
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
-    for b in range(-(-2 * n // BLOCK)):
-        found = queries.where(bucket == b).select("query", "embedding").collect()
-        for first in range(0, len(found), BLOCK):
-            ids, matrix = [r[0] for r in found[first : first + BLOCK]], unit(np.array([r[1] for r in found[first : first + BLOCK]], float))
-
-            def best(frames: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-                for f in frames:
-                    keys = f[key].to_numpy()
-                    scores = matrix @ unit(np.array([np.zeros(matrix.shape[1]) if e is None else e for e in f[embedding]], float).reshape(len(f), -1)).T
-                    order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(keys)), scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-                    at = np.repeat(np.arange(len(ids)), order.shape[1])
-                    yield pd.DataFrame({"query": [ids[i] for i in at], key: keys[order.ravel()], "score": np.round(np.take_along_axis(scores, order, 1).ravel(), 12)})
-
-            mine = rows.select(key, embedding).mapInPandas(best, kinds)
-            out = mine if out is None else out.union(mine)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], f"{kinds}, rank int")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks, parts = (max(1, -(-frame.count() // size)) for frame, size in ((rows, cells.BLOCK_ROWS), (queries, cells.BLOCK_QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select(key, embedding).withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    asked = queries.select("query", "embedding").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    return cells.ranked(cells.nearest(dealt, asked, ["block", "part"], k, key, embedding), k, key)
 
 
 def source_names(ids: list[str]) -> list[str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def ordered(partition: list, order: list) -> WindowSpec:
     return Window.partitionBy(*partition).orderBy(*order)
@@ -61,3 +63,20 @@ def prior(value: Column, w: WindowSpec, n: int) -> Column:
 def seen_before(values: Column, w: WindowSpec) -> Column:
     """The distinct elements of an array column in all rows before the current one, in first-seen order."""
     return F.array_distinct(F.flatten(F.collect_list(values).over(before(w))))
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place from 1 in an order of all rows, without one task that sees them all.
+
+    Rows are dealt by ranges of the order (equal ones by where they lie in the input), sorted and numbered in each range, and
+    moved on by the counts of the ranges before, of which the driver sees one number each.
+    """
+    placed = stored(rows.withColumn("__lies", F.monotonically_increasing_id()))
+    by = [*order, F.col("__lies")]
+    dealt = stored(placed.repartitionByRange(*by).sortWithinPartitions(*by).drop("__lies").withColumn("__at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = sorted(map(tuple, dealt.groupBy(part.alias("part")).count().collect()))
+    starts = [(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)]
+    before = rows.sparkSession.createDataFrame(starts, "__part long, __before long")
+    out = dealt.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return out.withColumn(name, F.col("__before") + inside + 1).select(*rows.columns, name)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grid, headers, rag, render, sections, spans, vectors
+from ..operators import cells, cues, grid, headers, rag, render, sections, spans, vectors
 from ..schema import SECTIONS
 from .base import LINES, Registry, lines, table
 
@@ -40,6 +40,20 @@ def search_all(spark, sf_dir):
     return vectors.search_all(e, queries).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "vec_cells_exact",
+    """with e as (select vec_id, label, embedding::double[] as v from embeddings),
+    s as (select q.vec_id as query, e.vec_id, round(list_cosine_similarity(q.v, e.v), 12) as score from e q, e where q.vec_id % 20 = 0)
+    select query, vec_id, round(score, 6) as score, row_number() over (partition by query order by score desc, vec_id)::int as rank from s
+    qualify rank <= 12""",
+)
+def search_cells(spark, sf_dir):
+    """Every twentieth vector as a query to the index of all, with the second look that makes the answer exact."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return cells.search(cells.build(e), queries, 12, exact=True).withColumn("score", F.round("score", 6))
+
+
 @query("vec_document_counts", "select n_nationkey as document_id, n_name, count(c_custkey)::bigint as chunk_count from nation left join (select * from customer where c_acctbal > 9000) on c_nationkey = n_nationkey group by all")
 def document_counts(spark, sf_dir):
     """Nations stand for documents, their wealthy customers for chunks; some may have none."""
@@ -152,3 +166,63 @@ def document(spark, sf_dir):
     )
     s = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), render.payload(F.lit("SEC11"), json, F.lit("SEC11")).alias("part"))
     return render.document(s, "o_custkey", "name", "o_orderkey", "part")
+
+
+_BLOCKS = f"""c as (select l_orderkey, pos, (pos - 1) // 4 as g, (pos - 1) % 4 as k,
+        case (pos - 1) % 4 when 0 then 'k' || l_partkey when 1 then p_name when 2 then l_linestatus || l_suppkey else l_quantity::int::varchar end as t from {LINES} join part on l_partkey = p_partkey)"""
+
+
+@query(
+    "grid_spanned",
+    f"""with recursive {_BLOCKS},
+    f(o, m, w1, w2, w3) as (
+        select distinct l_orderkey, 0, 1, 1, 1 from c union all
+        select o, m + 1, case k when 0 then greatest(w1, length(t)) else w1 end, case k when 1 then w2 + (greatest(length(t) - w2 - w3 - 3, 0) + 1) // 2 when 2 then greatest(w2, length(t)) else w2 end,
+            case k when 1 then w3 + greatest(length(t) - w2 - w3 - 3, 0) // 2 when 3 then greatest(w3, length(t)) else w3 end from f join c on c.l_orderkey = o and c.pos = m + 1),
+    w as (select o, max_by(w1, m)::int as w1, max_by(w2, m)::int as w2, max_by(w3, m)::int as w3 from f group by o),
+    g as (select l_orderkey as o, g, max(t) filter (k = 0) as a, max(t) filter (k = 1) as b, max(t) filter (k = 2) as c, max(t) filter (k = 3) as d, max(g) over (partition by l_orderkey) as last from c group by l_orderkey, g),
+    x as (select g.*, w1, w2, w3, '+' || repeat('-', w1 + 2) || '+' || repeat('-', w2 + 2) as line, '+' || repeat('-', w3 + 2) || '+' as tail, case when b is null then '+' else '-' end || repeat('-', w3 + 2) || '+' as joined from g join w using (o)),
+    y as (select o, g, last, line || case when g > 0 then tail else joined end || chr(10) || '| ' || rpad(a, w1, ' ') || ' | ' || case when b is null then repeat(' ', w2) || ' | ' || repeat(' ', w3) else rpad(b, w2 + w3 + 3, ' ') end || ' |' || chr(10)
+        || case when c is null then '' else '+' || repeat(' ', w1 + 2) || '+' || repeat('-', w2 + 2) || tail || chr(10) || '| ' || repeat(' ', w1) || ' | ' || rpad(c, w2, ' ') || ' | ' || rpad(coalesce(d, ''), w3, ' ') || ' |' || chr(10) end as rows,
+        case when g < last then '' when c is null then line || joined else line || tail end as foot from x)
+    select o as l_orderkey, string_agg(rows || foot, '' order by g) as rendered from y group by o""",
+)
+def spanned(spark, sf_dir):
+    """An order's lines by fours: one over two rows, one over two columns, two of one position; the last four may be incomplete."""
+    l, p = lines(spark, sf_dir), table(spark, sf_dir, "part")
+    k, g = (F.col("pos") - 1) % 4, F.floor((F.col("pos") - 1) / 4)
+    pick = lambda *xs: F.element_at(F.array(*xs), (k + 1).cast("int"))
+    text = pick(F.concat(F.lit("k"), F.col("l_partkey").cast("string")), F.col("p_name"), F.concat("l_linestatus", F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("int").cast("string"))
+    cells_ = l.join(p, l["l_partkey"] == p["p_partkey"]).select(
+        "l_orderkey", "pos", (2 * g + F.when(k < 2, 1).otherwise(2)).alias("row"), pick(*map(F.lit, (1, 2, 2, 3))).alias("col"), F.when(k == 0, 2).otherwise(1).alias("down"), F.when(k == 1, 2).otherwise(1).alias("across"), text.alias("text"), F.lit(3).alias("n"),
+    )
+    return grid.spanned(cells_, ["l_orderkey"], "row", "col", "down", "across", "text", "pos", n_cols="n")
+
+
+#: Cues over common words: phrases inside others, headings made of several, and words of the body.
+_HEADS = (("SEC07", "the"), ("SEC08", "of the"), ("SEC09", "and the"), ("SEC10", "de la"), ("SEC11", "en la"), ("SEC12", "la"), ("SEC13", "und die"), ("SEC06", "it"), ("SEC06", "des"), ("SEC16", "le"), ("SEC17", "die"))
+_WORDS = (("SEC14", "que"), ("SEC14", "los"), ("SEC15", "dem"), ("SEC15", "von"), ("SEC18", "which"), ("SEC18", "there"), ("SEC16", "une"), ("SEC16", "aux"))
+
+
+@query(
+    "cls_cue_rules",
+    rf"""with cues(kind, section, phrase) as (values {", ".join(f"('heading', '{s}', '{x}')" for s, x in _HEADS)}, {", ".join(f"('body', '{s}', '{x}')" for s, x in _WORDS)}),
+    t as (select doc_id, regexp_replace(translate(replace(lower(text), '- ', chr(10)), ',.|', repeat(chr(10), 3)), '<[^>\n]+>', ' ', 'g') as text from documents),
+    l as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as line from t),
+    w as (select doc_id, line, list_filter(regexp_extract_all(raw, '[\p{{L}}\p{{N}}]+'), lambda x: not regexp_full_match(x, '\p{{N}}+')) as words, regexp_full_match(coalesce(regexp_extract_all(raw, '[\p{{L}}\p{{N}}]+')[-1], ''), '\p{{N}}+') as listed from l),
+    u as (select doc_id, line, listed, len(words) as n_words, words, unnest(range(len(words))) as i from w),
+    h as (select u.doc_id, line, listed, n_words, i, n, kind, section, phrase from u, (values (1), (2)) v(n), cues where i + n <= n_words and array_to_string(words[i + 1 : i + n], ' ') = phrase),
+    f as (select * from h where not exists (select 1 from h b where b.doc_id = h.doc_id and b.line = h.line and b.kind = h.kind and b.n > h.n and b.i <= h.i and b.i + b.n >= h.i + h.n)),
+    filled as (select doc_id, line from (select distinct doc_id, line, n_words, i + unnest(range(n)) as at from f where kind = 'heading') group by doc_id, line having count(*) = any_value(n_words)),
+    e as (select distinct doc_id, section, listed from f join filled using (doc_id, line) where kind = 'heading'),
+    b as (select doc_id, section, count(distinct phrase) as n from f where kind = 'body' group by all having n >= 2),
+    b1 as (select doc_id, max_by(section, n) as section from (select *, max(n) over (partition by doc_id) as most from b) where n = most group by doc_id having count(*) = 1),
+    s as (select doc_id, bool_or(section = 'SEC06' and not listed) or count(*) filter (listed) >= 3 as contents, string_agg(section, ',' order by section) filter (section <> 'SEC06' and not listed) as heads from e group by doc_id)
+    select doc_id, case when contents then 'SEC06' else coalesce(heads, b1.section, 'SEC99') end as labels, case when contents then 'contents' when heads is not null then 'heading' when b1.section is not null then 'body' else 'none' end as evidence
+    from documents left join s using (doc_id) left join b1 using (doc_id)""",
+)
+def cue_rules(spark, sf_dir):
+    """Whole documents, a line for each part of a sentence; cues contradict each other in most of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r",|\.|- ", "\n").alias("text"))
+    found = cues.label_by_cues(d, ["doc_id"], "text", cues.cue_table(spark, _HEADS, (), _WORDS))
+    return found.select("doc_id", F.array_join("labels", ",").alias("labels"), "evidence")

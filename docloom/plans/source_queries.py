@@ -141,3 +141,36 @@ def docx_assets(spark, sf_dir):
     build = F.pandas_udf(lambda names, rows: pd.Series([_file_with_objects(a, b) for a, b in zip(names, rows)]), "binary")
     assets = ooxml.part(ooxml.parse(g.select(F.col("r_name").alias("doc_id"), build("r_name", "rows").alias("content"))), "assets")
     return assets.select("doc_id", "asset_id", "kind", "display_name", "original_name", "stored_name", "content_type", F.sha2("content", 256).alias("sha256"))
+
+
+def _file_of_themes(rows) -> bytes:
+    """A Word file with a table of two columns: a name filled by a theme colour, and a table of one cell with a number."""
+    ns = _NS + ' xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    shade = '<w:tcPr><w:shd w:fill="auto" w:themeFill="background2"/></w:tcPr>'
+    inner = lambda x: f'<w:tbl><w:tr><w:tc>{_paragraph(x)}</w:tc></w:tr></w:tbl>'
+    body = "".join(f'<w:tr><w:tc>{shade}{_paragraph(x["n_name"])}</w:tc><w:tc>{inner(str(x["n_nationkey"]))}<w:p/></w:tc></w:tr>' for x in rows)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:tbl>{body}</w:tbl></w:body></w:document>")
+        z.writestr("word/theme/theme1.xml", '<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:themeElements><a:clrScheme><a:lt2><a:srgbClr val="44546a"/></a:lt2></a:clrScheme></a:themeElements></a:theme>')
+    return out.getvalue()
+
+
+@query(
+    "docx_nested_themes",
+    """with n as (select n_regionkey as r, n_name, n_nationkey as v, row_number() over (partition by n_regionkey order by n_nationkey)::int as k from nation),
+    w as (select r, greatest(max(length(n_name)) + 10, 1) as a from n group by r),
+    t as (select r, 'TB000001' as table_id, 'body block 1 (table 1)' as location, '0000_table.txt' as chunk_file_name, null as parent_cell_id,
+            string_agg('+' || repeat('-', (a + 2)::int) || '+----------+' || chr(10) || '| ' || rpad(n_name || ' [#44546A]', a::int, ' ') || ' | CL' || lpad((2 * k)::varchar, 6, '0') || ' |', chr(10) order by k) || chr(10) || '+' || repeat('-', (any_value(a) + 2)::int) || '+----------+' as rendered
+        from n join w using (r) group by r
+        union all select r, 'TB' || lpad((k + 1)::varchar, 6, '0'), 'body block 1 (table 1) > row ' || k || ', col 2 (table ' || (k + 1) || ')', '0000_table_nested_' || lpad(k::varchar, 4, '0') || '.txt', 'CL' || lpad((2 * k)::varchar, 6, '0'),
+            '+' || repeat('-', length(v::varchar) + 2) || '+' || chr(10) || '| ' || v || ' |' || chr(10) || '+' || repeat('-', length(v::varchar) + 2) || '+' from n)
+    select r::varchar as doc_id, table_id, location, chunk_file_name, parent_cell_id, rendered from t""",
+)
+def docx_nested(spark, sf_dir):
+    """Tables in tables and fills of a theme, through the parser of real files: places, names and drawings."""
+    row = F.struct("n_nationkey", "n_name")
+    g = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    build = F.pandas_udf(lambda rows: pd.Series([_file_of_themes(x) for x in rows]), "binary")
+    t = ooxml.part(ooxml.parse(g.select(F.col("n_regionkey").cast("string").alias("doc_id"), build("rows").alias("content"))), "tables")
+    return t.select("doc_id", "table_id", "location", "chunk_file_name", "parent_cell_id", F.col("rendered_table").alias("rendered"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog, vectors
-from ..operators.storage import checkpointed
+from ..operators.storage import stored
 from ..streaming import progress
 from .base import Registry, table
 from .rag_queries import _SQL_SPLIT, parts
@@ -77,7 +77,7 @@ def rerank(spark, sf_dir):
 )
 def stitch(spark, sf_dir):
     """Hits among the parts of documents, put together with their siblings."""
-    p = checkpointed(parts(spark, sf_dir)).withColumn("file", F.col("part_num").cast("string"))  # read twice
+    p = stored(parts(spark, sf_dir)).withColumn("file", F.col("part_num").cast("string"))  # read twice
     w = Window.partitionBy("doc_id").orderBy(F.col("part_num").desc())
     h = p.where("(doc_id + part_num) % 3 = 0").withColumn("reranker_score", (F.col("doc_id") * 7 + F.col("part_num")) % 11 / 10).withColumn("vector_score", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(w))
     out = vectors.stitch(h, p, "doc_id", [], "file", "part_num", "text")

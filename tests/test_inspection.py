@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import grid, models, rag, render, vectors
+from docloom.operators import cells, grid, models, rag, render, vectors
 from docloom.sources import files
 
 
@@ -105,7 +105,8 @@ def test_search_of_all_queries_in_blocks(spark, monkeypatch):
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = e.where("vec_id % 3 = 0 and embedding is not null").select(F.col("vec_id").alias("query"), "embedding")
     want = sorted(map(tuple, vectors.search_all(e, q, 5).collect()))
-    monkeypatch.setattr(vectors, "BLOCK", 4)
+    monkeypatch.setattr(cells, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 7)
     assert sorted(map(tuple, vectors.search_all(e, q, 5).collect())) == want and len(want) == 5 * q.count()
     one = vectors.search(e.where("embedding is not null"), rows[30][1], 5).collect()
     assert [r.vec_id for r in one] == [w[1] for w in sorted((w for w in want if w[0] == 30), key=lambda w: w[3])]
