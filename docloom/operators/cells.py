@@ -44,6 +44,7 @@ def nearest(rows: DataFrame, queries: DataFrame, on: list[str], k: int, key: str
         out = {"query": [], key: [], "score": []}
         if len(mine) and len(asked):
             m, keys = unit(mine[embedding]), mine[key].to_numpy()
+            m = m if m.shape[1] else np.zeros((len(m), max((len(v) for v in asked["embedding"] if v is not None), default=0)))  # nulls alone
             place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
             for first in range(0, len(asked), BLOCK_QUERIES):
                 some = asked.iloc[first : first + BLOCK_QUERIES]
