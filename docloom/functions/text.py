@@ -207,6 +207,10 @@ def departments(x: Column) -> Column:
     return F.filter(clean, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
 
 
+#: Characters of a file name that stay as they are besides letters, digits, space and -._*
+CLIENT_SAFE = {"~": "%7E", "!": "%21", "(": "%28", ")": "%29", "'": "%27"}
+
+
 def content_disposition(name: Column, fallback: str = "asset") -> Column:
     """An attachment header with an ASCII name and the full one percent-encoded."""
     suffix = F.regexp_extract(name, r"(\.[^./]+)$", 1)
@@ -214,6 +218,8 @@ def content_disposition(name: Column, fallback: str = "asset") -> Column:
     stem = F.regexp_replace(F.regexp_replace(ascii_, r"\.[^.]+$", ""), r"^[ ._]+|[ ._]+$", "")
     shown = F.when(stem == "", F.concat(F.lit(fallback), suffix)).otherwise(ascii_)
     full = F.replace(F.url_encode(name), F.lit("+"), F.lit(" "))
+    for plain, code in CLIENT_SAFE.items():
+        full = F.replace(full, F.lit(code), F.lit(plain))
     return F.concat(F.lit('attachment; filename="'), shown, F.lit("\"; filename*=UTF-8''"), full)
 
 

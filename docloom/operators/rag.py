@@ -56,9 +56,8 @@ def walk(nodes: DataFrame) -> DataFrame:
 
 
 def in_place(value: Column) -> Column:
-    """Aggregates the values of leaves into an array in the order of their places, which compare like the digits of a number."""
-    order = F.array_join(F.transform("place", lambda x: F.lpad(x.cast("string"), 8, "0")), ".")
-    return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
+    """Aggregates the values of leaves into an array in the order of their places, arrays of numbers, of any size and depth."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col("place").alias("o"), value.alias("v")))), lambda x: x["v"])
 
 
 def resolve(spark: SparkSession, nodes: DataFrame) -> DataFrame:
@@ -90,17 +89,21 @@ def resolve_by_document(spark: SparkSession, nodes: DataFrame, assets: DataFrame
 def hierarchy(entries: DataFrame, doc: str, order: str, level: str, title: str, depth: int | None = None) -> DataFrame:
     """Entries with their header (head), number path (numbers) and title path (titles); level is null for items, 1 or more for headers.
 
-    depth is the deepest level; without one it is looked up.
+    Levels may be any numbers: in each document they count by their order among its own, so that the plan has as many
+    steps as a document has different levels. depth is the most of these; without one it is looked up.
 
     The stack of open headers at an entry: for each smaller level the last header before it, if that is later than
     those of all smaller levels. A header's parent is the last of its stack. Headers are numbered under their parent,
     items under their header. Only windows: one running maximum per level, no recursion and no join.
     """
     if depth is None:
-        depth = max(1, int(entries.agg(F.max(level)).first()[0] or 1))
+        depth = max(1, int(entries.groupBy(doc).agg(F.count_distinct(level).alias("n")).agg(F.max("n")).first()[0] or 1))
     w = ordered([doc], [order])
     is_head = F.col(level).isNotNull()
-    e = entries.withColumn("__parent", F.when(is_head, previous_smaller(F.col(level), F.col(order), w, depth + 1)))
+    given, level = level, "__level"
+    e = entries.withColumn(level, F.when(is_head, F.dense_rank().over(Window.partitionBy(doc, is_head).orderBy(given))))
+    is_head = F.col(level).isNotNull()
+    e = e.withColumn("__parent", F.when(is_head, previous_smaller(F.col(level), F.col(order), w, depth + 1)))
     e = e.withColumn("__number", F.when(is_head, F.row_number().over(Window.partitionBy(doc, is_head, "__parent").orderBy(order))))
     me = F.struct(F.col(order).alias("o"), F.col(title).alias("t"), F.col("__number").alias("n"))
     last = [F.max(F.when(F.col(level) == k, me)).over(before(w)) for k in range(1, depth + 1)]
@@ -114,7 +117,7 @@ def hierarchy(entries: DataFrame, doc: str, order: str, level: str, title: str,
     e = e.withColumn("item", F.when(~is_head, item))
     numbers = F.transform("__open", lambda x: x["n"])
     e = e.withColumn("numbers", F.when(is_head, numbers).otherwise(F.concat(numbers, F.array("item")))).withColumn("titles", F.transform("__open", lambda x: x["t"]))
-    return e.drop("__parent", "__number", "__last", "__open")
+    return e.drop("__level", "__parent", "__number", "__last", "__open")
 
 
 def number_path(numbers: Column) -> Column:

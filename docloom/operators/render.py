@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import COLOR_TOKEN, contrast_color, display_color, dominant_direction, without_color
 from . import rag
+from .storage import stored
 
 _ALLOWED = re.compile(r"&lt;(/?)(strong|em|u)&gt;")
 _LINK = re.compile(r"&lt;HL:(https?://[^&\s]*(?:&amp;[^&\s]*)*)&gt;(.*?)&lt;/HL&gt;", re.S)
@@ -137,17 +138,49 @@ def with_html(hits: DataFrame, sections: DataFrame, doc: str, section: str, orde
     return hits.join(first, (F.col(doc) == F.col("__doc")) & (F.col(section) == F.col("__section")), "left").drop("__doc", "__section")
 
 
-def nodes(cells: DataFrame, tables: DataFrame) -> DataFrame:
+def direction_sources(cells: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(doc_id, id, source): the text of each cell with its references replaced by what they say, two levels deep.
+
+    A reference gives the text of its cell, or of all cells of its table, in which references give texts once more, as
+    those are written; assets give their name (doc_id, asset_id, display_name). A cell does not say itself again, what is unknown
+    is said as it is written. Two joins on the ids of a document, whatever the depth of the references.
+    """
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "cell_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    tables = cells.groupBy("doc_id", F.col("table_id").alias("id")).agg(F.array_join(in_order, " ").alias("text"))
+    said = cells.select("doc_id", F.col("cell_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).union(tables)
+    p = said.select("doc_id", "id", F.posexplode(rag.pieces(F.col("text"))).alias("pos", "p"))
+    bare = F.when(F.col("p.is_ref"), F.regexp_replace("p.text", "[<>]", ""))
+    p = p.select("doc_id", "id", "pos", F.col("p.text").alias("text"), F.when(~bare.startswith("EM"), bare).alias("target"), F.when(bare.startswith("EM"), bare).alias("asset"))
+    if assets is not None:
+        names = assets.select(F.col("doc_id").alias("__doc"), F.col("asset_id").alias("__asset"), "display_name")
+        p = p.join(names, (F.col("doc_id") == F.col("__doc")) & (F.col("asset") == F.col("__asset")), "left").withColumn("text", F.coalesce("display_name", "text"))
+    raw = said.select(F.col("doc_id").alias("__doc"), F.col("id").alias("__id"), F.col("text").alias("raw"))
+    p = p.join(raw, (F.col("doc_id") == F.col("__doc")) & (F.col("target") == F.col("__id")), "left")
+    p = stored(p.select("doc_id", "id", "pos", "text", "target", "raw"))
+    known = F.col("target").isNotNull() & F.col("raw").isNotNull()
+    own = p.where(~known).select("doc_id", "id", "pos", F.lit(0).alias("then"), F.col("text").alias("said"))
+    deep = p.select(F.col("doc_id").alias("__doc"), F.col("id").alias("__id"), F.col("pos").alias("then"), F.col("text").alias("__text"), F.col("target").alias("__target"), F.col("raw").alias("__raw"))
+    there = p.where(known & (F.col("target") != F.col("id"))).select("doc_id", "id", "pos", "target").join(deep, (F.col("doc_id") == F.col("__doc")) & (F.col("target") == F.col("__id")))
+    again = F.coalesce((F.col("__target") == F.col("id")) | (F.col("__target") == F.col("target")), F.lit(False))
+    deep = there.select("doc_id", "id", "pos", "then", F.when(~again, F.coalesce("__raw", "__text")).alias("said"))
+    parts = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "then", "said"))), lambda x: x["said"]), lambda x: x.isNotNull())
+    return own.union(deep).groupBy("doc_id", "id").agg(F.array_join(parts, " ").alias("source")).where(F.col("id").startswith("CL"))
+
+
+def nodes(cells: DataFrame, tables: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """(doc_id, id, text) of cells and tables for references(): a table's text is its HTML around the ids of its cells.
 
-    A table nested in a cell whose text does not name it follows the text.
+    A table nested in a cell whose text does not name it follows the text. The direction of a cell is that of what it and
+    its references say (direction_sources).
     """
+    sources = direction_sources(cells, assets).select(F.col("doc_id").alias("__doc"), F.col("id").alias("__cell"), "source")
+    cells = cells.join(sources, (F.col("doc_id") == F.col("__doc")) & (F.col("cell_id") == F.col("__cell")), "left").drop("__doc", "__cell").withColumn("source", F.coalesce("source", "text", F.lit("")))
     unnamed = F.filter(F.coalesce("nested_table_ids", F.array().cast("array<string>")), lambda t: ~F.contains(F.col("text"), F.concat(F.lit("<"), t, F.lit(">"))))
     text = F.concat(F.col("text"), F.array_join(F.transform(unnamed, lambda t: F.concat(F.lit("<"), t, F.lit(">"))), ""))
     known = F.col("color").rlike("^#[0-9A-Fa-f]{6}$")
     style = F.when(known, F.concat(F.lit(' style="background:'), F.col("color"), F.lit(";color:"), contrast_color(F.col("color")), F.lit('"'))).otherwise("")
     span = lambda x: F.greatest(F.coalesce(F.col(x), F.lit(1)), F.lit(1)).cast("string")
-    td = F.concat(F.lit('<td rowspan="'), span("rowspan"), F.lit('" colspan="'), span("colspan"), F.lit('" class="text-'), dominant_direction(F.col("text")), F.lit('"'), style, F.lit(">"), F.col("cell_id"), F.lit("</td>"))
+    td = F.concat(F.lit('<td rowspan="'), span("rowspan"), F.lit('" colspan="'), span("colspan"), F.lit('" class="text-'), dominant_direction(F.col("source")), F.lit('"'), style, F.lit(">"), F.col("cell_id"), F.lit("</td>"))
     in_order = lambda key, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, x.alias("x")))), lambda s: s["x"]), "")
     tr = cells.groupBy("doc_id", "table_id", "row").agg(F.concat(F.lit("<tr>"), in_order(("col", "cell_id"), td), F.lit("</tr>")).alias("tr"))
     drawn = tr.groupBy("doc_id", "table_id").agg(F.concat(F.lit("<table>"), in_order(("row",), F.col("tr")), F.lit("</table>")).alias("text"))

@@ -71,6 +71,16 @@ def disposition(spark, sf_dir):
     return p.select("p_partkey", F.replace(T.content_disposition(F.concat("p_name", F.lit(".pdf"))), F.lit("''"), F.lit("''")).alias("header")).withColumn("header", _percent(F.col("header")))
 
 
+@query(
+    "txt_content_disposition_marks",
+    """select p_partkey, 'attachment; filename="' || p_name || ' (final) ~v1!' || chr(39) || '*_+?.pdf"; filename*=UTF-8' || chr(39) || chr(39) || p_name || ' (final) ~v1!' || chr(39) || '*%C3%A9%2B%3F.pdf' as header from part""",
+)
+def disposition_marks(spark, sf_dir):
+    """Names with marks that stay, that are encoded, and a letter that ASCII lacks: the header as it is."""
+    name = F.concat("p_name", F.lit(" (final) ~v1!'*\u00e9+?.pdf"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.content_disposition(name).alias("header"))
+
+
 def _percent(x):
     """Spaces after the charset mark as %20, as clients send them."""
     head, tail = F.substring_index(x, "''", 1), F.substring_index(x, "''", -1)

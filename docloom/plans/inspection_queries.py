@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import dominant_direction
 from ..operators import cells, cues, grid, headers, rag, render, sections, spans, vectors
 from ..schema import SECTIONS
 from .base import LINES, Registry, lines, table
@@ -226,3 +227,24 @@ def cue_rules(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r",|\.|- ", "\n").alias("text"))
     found = cues.label_by_cues(d, ["doc_id"], "text", cues.cue_table(spark, _HEADS, (), _WORDS))
     return found.select("doc_id", F.array_join("labels", ",").alias("labels"), "evidence")
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_ARABIC = "".join(chr(0x627 + i) for i in range(26))
+
+
+@query(
+    "rnd_directions",
+    f"""with c as (select c_nationkey as doc, c_custkey, translate(lower(c_name), '{_LETTERS}', '{_ARABIC}') as rtl, row_number() over (partition by c_nationkey order by c_custkey) as k, count(*) over (partition by c_nationkey) as n from customer)
+    select doc as doc_id, 'CL' || lpad(k::varchar, 6, '0') as cell_id, case k % 4 when 0 then case when k + 2 <= n then 'rtl' else 'ltr' end when 1 then case when k + 1 <= n then 'rtl' else 'ltr' end when 2 then 'rtl' else 'ltr' end as direction,
+        case k % 4 when 2 then 'rtl' else 'ltr' end as own_direction from c""",
+)
+def directions(spark, sf_dir):
+    """Customers of a nation as cells: one names the next, which names the one after, and only that has letters from right to left."""
+    k, n = F.col("k"), F.count(F.lit(1)).over(Window.partitionBy("c_nationkey"))
+    c = table(spark, sf_dir, "customer").withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).withColumn("n", n)
+    name = lambda x: F.concat(F.lit("CL"), F.lpad(x.cast("string"), 6, "0"))
+    text = F.when(k % 4 == 0, F.concat(F.lit("see "), name(k + 1))).when(k % 4 == 1, name(k + 1)).when(k % 4 == 2, F.translate(F.lower("c_name"), _LETTERS, _ARABIC)).otherwise(F.col("c_mktsegment"))
+    cells_ = c.select(F.col("c_nationkey").alias("doc_id"), name(k).alias("cell_id"), F.lit("TB000001").alias("table_id"), k.cast("int").alias("row"), F.lit(1).alias("col"), text.alias("text"))
+    source = render.direction_sources(cells_).select("doc_id", F.col("id").alias("cell_id"), dominant_direction(F.col("source")).alias("direction"))
+    return cells_.join(source, ["doc_id", "cell_id"]).select("doc_id", "cell_id", "direction", dominant_direction(F.col("text")).alias("own_direction"))

@@ -126,11 +126,3 @@ def inside(root: str, path: str) -> str:
     if os.path.commonpath((top, full)) != top:
         raise ValueError(f"{path} is not below {root}")
     return full
-
-
-def inside(root: str, path: str) -> str:
-    """The real path of `path` below root; ValueError if it leads out of it."""
-    top, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
-    if os.path.commonpath((top, full)) != top:
-        raise ValueError(f"{path} is not below {root}")
-    return full
