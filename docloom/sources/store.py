@@ -40,9 +40,12 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def _folder(doc: str | None) -> str:
-    """A document's folder: its id with what is not a plain letter written as %XX, so that ids and folders are one to one."""
-    return "doc=" + ("" if doc is None else "." + quote(doc, safe=""))
+def _folder(doc: str | None, plain: bool = False) -> str:
+    """A document's folder: its id with what is not a plain letter written as %XX, so that ids and folders are one to one.
+
+    Plain folders have the id itself, made safe, as readers of folders of documents expect it.
+    """
+    return safe_name(doc or "") if plain else "doc=" + ("" if doc is None else "." + quote(doc, safe=""))
 
 
 def _names(files: fs.FileSystem, root: str) -> list[str]:
@@ -58,8 +61,8 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool, clear: tuple[str, ...]):
-        self.path, self.overwrite, self.clear, self.run = path.rstrip("/"), overwrite, clear, uuid.uuid4().hex
+    def __init__(self, path: str, overwrite: bool, clear: tuple[str, ...], plain: bool = False):
+        self.path, self.overwrite, self.clear, self.plain, self.run = path.rstrip("/"), overwrite, clear, plain, uuid.uuid4().hex
 
     @property
     def staging(self) -> str:
@@ -81,9 +84,10 @@ class Writer(DataSourceWriter):
         """Names and moves the files: in order of document, name and content; a taken name gets _2, _3, ... before its suffixes."""
         files, root = _opened(self.path)
         staged = sorted((x for m in messages if m for x in m.files), key=lambda x: (x[0] is not None, *(y or "" for y in x)))
-        taken: dict[str | None, set[str]] = {}
+        taken: dict[str, set[str]] = {}
         for doc, name, _, where in staged:
-            folder = f"{root}/{_folder(doc)}"
+            doc = _folder(doc, self.plain)
+            folder = f"{root}/{doc}"
             if doc not in taken:
                 files.create_dir(folder, recursive=True)
                 old = set(_names(files, folder))
@@ -120,17 +124,17 @@ class Folder(InputPartition):
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, plain: bool = False):
+        self.path, self.plain = path.rstrip("/"), plain
 
     def partitions(self) -> list[Folder]:
-        return [Folder(x) for x in _names(*_opened(self.path)) if x.startswith("doc=")] or [Folder("")]
+        return [Folder(x) for x in _names(*_opened(self.path)) if x.startswith("doc=") or (self.plain and not x.startswith("_"))] or [Folder("")]
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         files, root = _opened(self.path)
         schema = pa.schema([("doc_id", pa.string()), ("file_name", pa.string()), ("content", pa.binary())])
         rows, size = [], 0
-        doc = unquote(partition.name.removeprefix("doc=.")) if partition.name.startswith("doc=.") else None
+        doc = partition.name if self.plain else unquote(partition.name.removeprefix("doc=.")) if partition.name.startswith("doc=.") else None
         for name in _names(files, f"{root}/{partition.name}") if partition.name else ():
             with files.open_input_stream(f"{root}/{partition.name}/{name}", compression=None) as f:
                 rows.append({"doc_id": doc, "file_name": name, "content": f.read()})
@@ -143,7 +147,8 @@ class Reader(DataSourceReader):
 
 class DocumentFiles(DataSource):
     """append adds files; overwrite clears the folders of the documents that are written (those files alone that end
-    in one of the option `clear`, as ".txt,.json", if it is given). Other documents stay in both."""
+    in one of the option `clear`, as ".txt,.json", if it is given). Other documents stay in both. With the option `folders`
+    set to plain, folders have the ids of documents as names, which must then be safe ones."""
 
     @classmethod
     def name(cls) -> str:
@@ -153,21 +158,21 @@ class DocumentFiles(DataSource):
         return COLUMNS
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options["path"])
+        return Reader(self.options["path"], self.options.get("folders") == "plain")
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         if [f.name for f in schema.fields] != ["doc_id", "file_name", "content"]:
             raise ValueError(f"columns must be {COLUMNS}")
-        writer = Writer(self.options["path"], overwrite, tuple(x.strip().lower() for x in self.options.get("clear", "").split(",") if x.strip()))
+        writer = Writer(self.options["path"], overwrite, tuple(x.strip().lower() for x in self.options.get("clear", "").split(",") if x.strip()), self.options.get("folders") == "plain")
         _opened(self.options["path"])[0].create_dir(writer.staging, recursive=True)
         return writer
 
 
-def save(rows: DataFrame, path: str, overwrite: bool = False, clear: str = "") -> None:
+def save(rows: DataFrame, path: str, overwrite: bool = False, clear: str = "", folders: str = "") -> None:
     """Writes (doc_id, file_name, content) rows to a store; texts are written as UTF-8."""
     rows.sparkSession.dataSource.register(DocumentFiles)
     content = F.col("content").cast("binary")
-    rows.select(F.col("doc_id").cast("string").alias("doc_id"), "file_name", content.alias("content")).write.format("document_files").mode("overwrite" if overwrite else "append").option("clear", clear).save(path)
+    rows.select(F.col("doc_id").cast("string").alias("doc_id"), "file_name", content.alias("content")).write.format("document_files").mode("overwrite" if overwrite else "append").option("clear", clear).option("folders", folders).save(path)
 
 
 def load(spark, path: str) -> DataFrame:
