@@ -34,12 +34,17 @@ def prior_context(rows: DataFrame, doc: str, order: str, name: str, labels: str,
     Skipped rows get a context but are in no other row's.
     """
     w = ordered([doc], [order])
-    # collect_list leaves out nulls, and so skipped rows.
+    # Rows count by the shown ones before them, so that the last n of those are a range, however many skipped rows lie between.
+    r = rows.withColumn("__before", F.coalesce(F.sum(F.when(F.col(skipped), 0).otherwise(1)).over(before(w)), F.lit(0)))
     shown = F.when(~F.col(skipped), F.concat(F.col(name).cast("string"), F.lit(":"), F.array_join(labels, "+")))
-    earlier = F.collect_list(shown).over(before(w))
-    recent = F.slice(earlier, F.greatest(F.size(earlier) - (n - 1), F.lit(1)), F.lit(n))
-    seen = F.array_distinct(F.flatten(F.collect_list(F.when(~F.col(skipped), F.col(labels))).over(before(w))))
-    return rows.withColumn("seen", seen).withColumn("recent", recent)
+    recent = F.collect_list(shown).over(ordered([doc], ["__before"]).rangeBetween(-n, -1))
+    # A label is seen from the row on where it stands first; a document has few labels, and a row takes those before it.
+    each = rows.where(~F.col(skipped)).select(F.col(doc).alias("__doc"), F.col(order).alias("o"), F.posexplode(labels).alias("p", "label"))
+    first = each.groupBy("__doc", "label").agg(F.min(F.struct("o", "p")).alias("at"))
+    known = first.groupBy("__doc").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("__known"))
+    r = r.withColumn("recent", recent).drop("__before").join(known, F.col(doc).eqNullSafe(F.col("__doc")), "left")
+    seen = F.transform(F.filter("__known", lambda x: x["at"]["o"] < F.col(order)), lambda x: x["label"])
+    return r.withColumn("seen", F.coalesce(seen, F.array().cast("array<string>"))).drop("__doc", "__known").select(*rows.columns, "seen", "recent")
 
 
 def parse_labels(payload: Column, valid: tuple[str, ...] = SECTION_IDS) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, normalize, normalize_indented, slug, strip_markup, strip_run_suffix
 from ..schema import FILE_PREFIXES, WORKFLOW_LEVELS
-from . import rag
+from . import grid, rag
+from .storage import stored
 
 WORKFLOWS, INSTRUCTIONS, HEADER = ("SEC12", "SEC13"), ("SEC11", "SEC18"), "SEC02"
 _LEAF = "array<struct<label: string, value: string, row: int>>"
@@ -142,6 +143,39 @@ def resolve_leaves(found: DataFrame, nodes: DataFrame | None) -> DataFrame:
     return j.withColumn("leaves", F.when(F.col("texts").isNotNull(), replaced).otherwise(F.col("leaves"))).drop("texts")
 
 
+def table_texts(cells: DataFrame) -> DataFrame:
+    """(doc_id, table_id, text): tables drawn from what their cells say, with references expanded and nested tables drawn in place.
+
+    cells: doc_id, cell_id, table_id, row, col, rowspan, colspan, text, nested_table_ids. A nested table that the text
+    does not name follows it. Tables are drawn before those that refer to them, level by level: one that takes in more tables comes
+    later. A table that would hold itself has no text there; what is unknown stays as it is written.
+    """
+    spark = cells.sparkSession
+    none = F.array().cast("array<string>")
+    marks = F.transform(F.filter(F.coalesce("nested_table_ids", none), lambda t: ~F.contains(F.coalesce("text", F.lit("")), F.concat(F.lit("<"), t, F.lit(">")))), lambda t: F.concat(F.lit("<"), t, F.lit(">")))
+    text = F.array_join(F.filter(F.concat(F.array(F.coalesce("text", F.lit(""))), marks), lambda x: x != ""), "\n")
+    c = stored(cells.withColumn("text", text))
+    own = c.select("doc_id", F.col("cell_id").alias("id"), "text")
+    # What a table takes in, over all its cells: the tables on the paths of their references.
+    listed = c.groupBy("doc_id", F.col("table_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("cell_id")), " ").alias("text"))
+    walked = rag.walk(own.withColumn("is_root", F.lit(True)).union(listed.withColumn("is_root", F.lit(False))))
+    inside = walked.select("doc_id", F.col("root").alias("cell_id"), F.explode("path").alias("t")).where(F.col("t").startswith("TB"))
+    takes = c.select("doc_id", "table_id", "cell_id").join(inside, ["doc_id", "cell_id"], "left").groupBy("doc_id", "table_id").agg(F.size(F.collect_set(F.when(F.col("t") != F.col("table_id"), F.col("t")))).alias("level"), F.max(F.coalesce(F.col("t") == F.col("table_id"), F.lit(False))).alias("ring"))
+    takes = stored(takes)
+    known = listed.select("doc_id", F.col("id").alias("table_id"))
+    drawn = None
+    for (level,) in sorted(map(tuple, takes.select("level").distinct().collect())):  # as many as tables nest
+        now = c.join(takes.where(F.col("level") == level).select("doc_id", "table_id"), ["doc_id", "table_id"], "left_semi")
+        ready = known.withColumn("text", F.lit("")) if drawn is None else known.join(drawn, ["doc_id", "table_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+        roots = now.select("doc_id", F.col("cell_id").alias("id"))
+        nodes = own.join(roots.withColumn("is_root", F.lit(True)), ["doc_id", "id"], "left").withColumn("is_root", F.coalesce("is_root", F.lit(False))).select("doc_id", "id", "text", "is_root")
+        said = rag.resolve_by_document(spark, nodes.union(ready.select("doc_id", F.col("table_id").alias("id"), "text", F.lit(False).alias("is_root"))))
+        shown = now.drop("text").join(said.select("doc_id", F.col("root").alias("cell_id"), "text"), ["doc_id", "cell_id"], "left")
+        texts = grid.spanned(shown, ["doc_id", "table_id"], "row", "col", "rowspan", "colspan", "text", "cell_id", through=True).withColumnRenamed("rendered", "text")
+        drawn = stored(texts if drawn is None else drawn.union(texts))
+    return cells.select("doc_id", "table_id").distinct().withColumn("text", F.lit("")) if drawn is None else drawn
+
+
 def _body(leaves: Column) -> Column:
     """Blocks of leaves with text: rows together as `Rows`, each as its number and lines of label and value."""
     full = F.filter(leaves, lambda x: F.trim(F.coalesce(x["value"], F.lit(""))) != "")

@@ -17,6 +17,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schema import OTHER, SECTION_IDS, SECTIONS
 
@@ -196,3 +197,23 @@ def answer(prompts: DataFrame, client: ModelClient, check: Callable[[str], objec
 
     kind = prompts.schema[key].dataType.simpleString()
     return prompts.select(key, system, user).mapInPandas(run, f"{key} {kind}, answer string, attempts int, error string")
+
+
+RESOLVED, FALLBACK, FAILED = "resolved", "fallback", "failed"
+
+
+def outcomes(answered: DataFrame, fallback: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
+    """(key, value, status, attempts, error) of every answered prompt: the model's answer, else what the rules gave for it, else nothing.
+
+    fallback has key and value; a null value is none. Keys of the fallback that were not asked for are left out.
+    """
+    other = fallback.select(F.col(key).alias("__key"), F.col(value).alias("__value"))
+    j = answered.join(other, F.col(key).eqNullSafe(F.col("__key")), "left")
+    status = F.when(F.col("answer").isNotNull(), RESOLVED).when(F.col("__value").isNotNull(), FALLBACK).otherwise(FAILED)
+    return j.select(key, F.coalesce("answer", "__value").alias(value), status.alias("status"), "attempts", "error")
+
+
+def outcome_summary(found: DataFrame, *by: str) -> DataFrame:
+    """Per document or other group: prompts, how many came out each way, and the attempts beyond the first."""
+    n = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0)).alias(f"n_{s}")
+    return found.groupBy(*by).agg(F.count(F.lit(1)).alias("n_asked"), n(RESOLVED), n(FALLBACK), n(FAILED), F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,35 +149,43 @@ def segments(text: Column, boundary: str = r"\n\n+", trigger: int = TRIGGER) ->
     return F.flatten(F.transform(trimmed, lambda x: F.when((F.length(x) > 2 * trigger) & ~is_grid_line(F.substring_index(x, "\n", 1)) & (word_count(x) > trigger), items(x)).otherwise(F.array(x))))
 
 
+def cut_places(words: np.ndarray, target: int, trigger: int, least: int) -> list[int]:
+    """cuts() of one body: running totals once, and each cut by a binary search among them."""
+    upto = np.cumsum(words)
+    n, total = len(words), int(upto[-1]) if len(words) else 0
+    parts = min(-(-total // target), n)
+    out: list[int] = []
+    if total <= trigger:
+        return out
+    for k in range(1, parts):
+        low = out[-1] + 1 if out else 0
+        high = min(max(n - (parts - k) - 1, low), n - 1)
+        if k == parts - 1:  # the last part keeps `least` words, if any place leaves them
+            high = min(high, int(np.searchsorted(upto, total - least, "right")) - 1)
+        if high < low:
+            out.append(low)
+            continue
+        ideal = total * k / parts
+        after = min(max(int(np.searchsorted(upto, ideal)), low), high)
+        best = min((x for x in (after - 1, after) if x >= low), key=lambda x: (abs(int(upto[x]) - ideal), x))
+        out.append(max(low, int(np.searchsorted(upto, upto[best]))))  # the first of those with the same total
+    return out
+
+
 def cuts(words: Column, target: int = TARGET, trigger: int = TRIGGER, least: int = LEAST) -> Column:
     """After which segments (from 0) to cut, given the words of each; empty if the body is short enough.
 
     Parts are as many as the target asks for, or segments there are. Cut k goes after the segment whose running total
     is nearest to k shares, the first of equal ones, after the cut before and with a segment left for each later part.
-    The last cut leaves at least `least` words if it can.
+    The last cut leaves at least `least` words if it can. Counts alone go to Python, in Arrow batches; time grows with their number.
     """
-    n = F.size(words)
-    start = F.array(F.lit(0))
-    sums = F.aggregate(words, start, lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + w))
-    packed = F.struct(sums.alias("sums"), n.alias("n"))
-
-    def body(x: Column) -> Column:
-        total = F.element_at(x["sums"], -1)
-        parts = F.least(F.ceil(total / target).cast("int"), x["n"])
-
-        def one(acc: Column, k: Column) -> Column:
-            low = F.coalesce(F.try_element_at(acc, F.lit(-1)) + 1, F.lit(0))
-            high = F.least(F.greatest(x["n"] - (parts - k) - 1, low), x["n"] - 1)
-            ideal = total * k / parts
-            near = F.transform(F.sequence(low, high), lambda i: F.struct(F.abs(F.element_at(x["sums"], i + 2) - ideal).alias("d"), i.alias("i")))
-            fit = F.filter(near, lambda c: (k < parts - 1) | (total - F.element_at(x["sums"], c["i"] + 2) >= least))
-            return F.array_append(acc, F.coalesce(F.array_min(fit)["i"], low))
-
-        empty = F.array().cast("array<int>")
-        return F.when((total > trigger) & (parts > 1), F.aggregate(F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1))), empty, one)).otherwise(empty)
-
-    long = F.aggregate(words, F.lit(0), lambda a, w: a + w) > trigger
-    return F.when(long, F.element_at(F.transform(F.array(packed), body), 1)).otherwise(F.array().cast("array<int>"))
+
+    def run(many: pa.Array) -> pa.Array:
+        counts = many.values.to_numpy(zero_copy_only=False) if len(many.values) else np.zeros(0, int)
+        ends = many.offsets.to_numpy()
+        return pa.array([cut_places(counts[a:b], target, trigger, least) for a, b in zip(ends, ends[1:])], pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")(F.coalesce(words, F.array().cast("array<int>")))
 
 
 def split(docs: DataFrame, key: str, segs: str) -> DataFrame:

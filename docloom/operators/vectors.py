@@ -142,12 +142,12 @@ def stitch(hits: DataFrame, chunks: DataFrame, doc: str, key: list[str], file: s
 
 
 def hash_vector(text: str | None, dim: int) -> list[float]:
-    """A unit vector of hashed words with signs; zero for a text without words."""
-    v = np.zeros(dim, np.float32)
+    """A unit vector of hashed words with signs (the first 8 bytes of their MD5, little-endian: place by remainder, sign by the top bit); zero for a text without words."""
+    v = np.zeros(dim)
     for w in (text or "").lower().split():
-        h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        h = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8], "little")
         v[h % dim] += 1.0 if h >> 63 else -1.0
-    n = float(np.linalg.norm(v))
+    n = float(np.sqrt((v * v).sum()))
     return (v / n if n else v).tolist()
 
 

@@ -60,11 +60,6 @@ def prior(value: Column, w: WindowSpec, n: int) -> Column:
     return F.collect_list(value).over(w.rowsBetween(-n, -1))
 
 
-def seen_before(values: Column, w: WindowSpec) -> Column:
-    """The distinct elements of an array column in all rows before the current one, in first-seen order."""
-    return F.array_distinct(F.flatten(F.collect_list(values).over(before(w))))
-
-
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     """rows with their place from 1 in an order of all rows, without one task that sees them all.
 

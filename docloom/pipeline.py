@@ -38,16 +38,20 @@ def span_rows(rows: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]
     return j.withColumn("row", number).select(*SPAN, "row", "n_cells", "is_title", "cells"), m
 
 
-def section_results(rows: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(doc_id, sec_no, section_id, section_english, status, section_json) of all spans, by rules."""
-    spark = rows.sparkSession
-    table, members = span_rows(rows, parsed)
+def inspected(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table rows of spans with section_id, and the headings found for each span: known orders first, then the rows themselves."""
     keyed = table.withColumn("section_id", F.col("section"))
-    orders = header_dim(spark)
+    orders = header_dim(table.sparkSession)
     logical = spans.logical_columns(table, SPAN).withColumn("section_id", F.col("section"))
     seen = headers.visible_header(table.join(logical.select(*SPAN, "logical_columns"), SPAN), SPAN, "logical_columns")
     best = headers.best_match(headers.match_scores(keyed, orders, SPAN), SPAN)
-    found = headers.resolve(logical, best, seen, keyed, orders, SPAN)
+    return keyed, headers.resolve(logical, best, seen, keyed, orders, SPAN)
+
+
+def section_results(rows: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(doc_id, sec_no, section_id, section_english, status, section_json) of all spans, by rules."""
+    table, members = span_rows(rows, parsed)
+    _, found = inspected(table)
     ids = table.join(found.select(*SPAN, F.col("header_row").alias("row")), [*SPAN, "row"]).select(*SPAN, F.transform("cells", lambda c: c["cell_id"]).alias("header_ids"))
     t = table.join(found.select(*SPAN, F.col("valid_column_order").alias("columns")), SPAN).join(ids, SPAN, "left")
     t = t.withColumn("header_ids", F.coalesce("header_ids", F.array().cast("array<string>")))

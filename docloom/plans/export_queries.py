@@ -4,6 +4,7 @@ import json
 import uuid
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import export, models, vectors
@@ -208,3 +209,48 @@ def ingest_table(spark, sf_dir):
     vectors.ingest(d, path, vectors.embed(F.col("text"), 16), {"document_id": 256, "chunk_id": 256})
     v = spark.read.parquet(path)
     return stored(v.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(F.abs(F.col("norm") - 1) < 1e-6, 1).otherwise(0)).alias("n_vectors")))
+
+
+@query(
+    "rag_resolved_tables",
+    """with n as (select n_regionkey as r, n_nationkey as v, n_name, row_number() over (partition by n_regionkey order by n_nationkey) as k, length('key ' || n_nationkey)::int as w from nation),
+    m as (select r, max(length(n_name))::int as a, (max(w) + 4)::int as b from n group by r),
+    x as (select n.*, a, b, rpad('+' || repeat('-', w + 2) || '+', b, ' ') as edge, rpad('| key ' || v || ' |', b, ' ') as mid, '+' || repeat('-', a + 2) || '+' || repeat('-', b + 2) || '+' as line from n join m using (r))
+    select r as doc_id, 'TB000001' as table_id, string_agg(line || chr(10) || '| ' || rpad(n_name, a, ' ') || ' | ' || edge || ' |' || chr(10) || '| ' || repeat(' ', a) || ' | ' || mid || ' |' || chr(10) || '| ' || repeat(' ', a) || ' | ' || edge || ' |' || chr(10), '' order by k) || any_value(line) as text from x group by r
+    union all select r, 'TB' || lpad((k + 1)::varchar, 6, '0'), '+' || repeat('-', w + 2) || '+' || chr(10) || '| key ' || v || ' |' || chr(10) || '+' || repeat('-', w + 2) || '+' from n""",
+)
+def resolved_tables(spark, sf_dir):
+    """A region's table whose cells name other cells and hold tables, drawn with what those say."""
+    n = table(spark, sf_dir, "nation")
+    k = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    n = n.select(F.col("n_regionkey").alias("doc_id"), "n_nationkey", "n_name", k.alias("k"))
+    name = lambda kind, x: F.concat(F.lit(kind), F.lpad(x.cast("string"), 6, "0"))
+    none, one = F.array().cast("array<string>"), F.lit(1)
+    cell = lambda i, t, row, col, text, nested=none: n.select("doc_id", i.alias("cell_id"), t.alias("table_id"), row.alias("row"), col.alias("col"), one.alias("rowspan"), one.alias("colspan"), text.alias("text"), nested.alias("nested_table_ids"))
+    k, outer = F.col("k"), F.lit("TB000001")
+    cells = cell(name("CL", k), outer, k, one, name("CL", k + 1000)).union(cell(name("CL", k + 100), outer, k, F.lit(2), F.lit(""), F.array(name("TB", k + 1))))
+    cells = cells.union(cell(name("CL", k + 200), name("TB", k + 1), one, one, F.concat(F.lit("key "), F.col("n_nationkey").cast("string")))).union(cell(name("CL", k + 1000), F.lit("TB999999"), k, one, F.col("n_name")))
+    return export.table_texts(cells).where("table_id <> 'TB999999'")
+
+
+class SometimesModel:
+    """A client that counts words as JSON; of texts of some lengths it first gives no JSON, and of others never."""
+
+    def complete(self, messages: list[models.Message]) -> str:
+        text = messages[1]["content"]
+        if len(text) % 4 == 0 or (len(text) % 3 == 0 and len(messages) == 2):
+            return "no JSON"
+        return json.dumps({"words": len(text.split())})
+
+
+@query(
+    "sec_model_outcomes",
+    r"""with d as (select source, length(text) as n, lang from documents), a as (select *, n % 4 <> 0 as ok, case when n % 4 = 0 then 3 when n % 3 = 0 then 2 else 1 end as attempts from d)
+    select source, count(*) as n_asked, count(*) filter (ok) as n_resolved, count(*) filter (not ok and lang = 'en') as n_fallback, count(*) filter (not ok and coalesce(lang, '') <> 'en') as n_failed, sum(attempts - 1)::bigint as retries from a group by source""",
+)
+def model_outcomes(spark, sf_dir):
+    """Documents as prompts of three attempts; English ones have an answer by rules."""
+    d = table(spark, sf_dir, "documents")
+    asked = models.answer(d.select("doc_id", F.lit("Count.").alias("system"), "text"), SometimesModel(), json.loads, 3, "doc_id", "system", "text")
+    rules = d.select("doc_id", F.when(F.col("lang") == "en", F.lit('{"words": 0}')).alias("value"))
+    return models.outcome_summary(models.outcomes(asked, rules, "doc_id").join(d.select("doc_id", "source"), "doc_id"), "source")

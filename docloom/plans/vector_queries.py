@@ -91,6 +91,41 @@ def hash_embed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(vectors.norm(v), 4).alias("norm"))
 
 
+@query(
+    "vec_hash_embed_values",
+    r"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[^\s]+')) as w from documents),
+    h as (select doc_id, ('0x' || substr(md5(w), 1, 2))::int % 16 as place, case when ('0x' || substr(md5(w), 15, 2))::int >= 128 then 1 else -1 end as sign from w),
+    v as (select doc_id, place, sum(sign)::double as x from h group by all),
+    n as (select doc_id, sqrt(sum(x * x)) as n from v group by doc_id)
+    select doc_id, p.place::int as place, (case when n > 0 then coalesce(x, 0) / n else 0 end)::float::double as value from documents cross join range(16) p(place) left join n using (doc_id) left join v using (doc_id, place)""",
+)
+def hash_embed_values(spark, sf_dir):
+    """The 16 values of hashed vectors of whole documents."""
+    v = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.embed(F.col("text"), 16)).alias("place", "x"))
+    return v.select("doc_id", "place", F.col("x").cast("double").alias("value"))
+
+
+@query(
+    "vec_stitch_metadata",
+    """with c as (select c_custkey, c_nationkey, c_mktsegment, c_name, c_custkey % 4 as k from customer),
+    g as (select c_nationkey, c_mktsegment, count(*) as part_count, string_agg(case when rank = 1 then '--- RAG METADATA ---' || chr(10) || 'Document: d' || c_nationkey || chr(10) || 'Section: ' || c_mktsegment || chr(10) || 'Hierarchy: ' || c_mktsegment || ' > x' || chr(10) || '--- END RAG METADATA ---' || chr(10) || chr(10) || c_name else c_name end, chr(10) || chr(10) order by c_custkey) as text
+        from (select *, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) as rank from c) group by all),
+    h as (select c_nationkey, c_mktsegment, max(c_custkey % 10 / 10.0) as sc, string_agg(c_custkey::varchar, ',' order by c_custkey desc) as files from c where c_custkey % 9 = 0 group by all)
+    select c_nationkey as doc_id, c_mktsegment as section, part_count, round(sc, 6)::double as reranker_score, files, md5(text) as text_md5 from h join g using (c_nationkey, c_mktsegment)""",
+)
+def stitch_metadata(spark, sf_dir):
+    """Customers as parts whose texts name their document, section and hierarchy: hits come with all parts of the same."""
+    c = table(spark, sf_dir, "customer")
+    head = F.concat(F.lit("--- RAG METADATA ---\nDocument: d"), F.col("c_nationkey").cast("string"), F.lit("\nSection: "), "c_mktsegment", F.lit("\nHierarchy: "), "c_mktsegment", F.lit(" > x\n--- END RAG METADATA ---\n\n"))
+    p = c.select(F.col("c_nationkey").alias("doc_id"), "c_custkey", F.concat(head, "c_name").alias("text"), F.col("c_custkey").cast("string").alias("file"))
+    key = ["section_line", "hierarchy_line", "document_line"]
+    p = p.select("*", *vectors.metadata_key(F.col("text")))
+    w = Window.partitionBy("doc_id").orderBy(F.col("c_custkey").desc())
+    h = p.where("c_custkey % 9 = 0").withColumn("reranker_score", F.col("c_custkey") % 10 / 10).withColumn("vector_score", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(w))
+    out = vectors.stitch(h, p, "doc_id", key, "file", "c_custkey", "text", "--- END RAG METADATA ---")
+    return out.select("doc_id", F.col("section_line").alias("section"), "part_count", F.round("reranker_score", 6).alias("reranker_score"), F.array_join("retrieved_files", ",").alias("files"), F.md5("text").alias("text_md5"))
+
+
 @query(
     "vec_metadata_key",
     """select n_nationkey, n_name as document_line, r_name as section_line, r_name || ' > ' || n_name as hierarchy_line from nation join region on n_regionkey = r_regionkey""",
