@@ -200,6 +200,14 @@ def safe_double(x: Column, default: float | None = None) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(default).cast("double")).otherwise(v)
 
 
+def list_value(v: Column) -> Column:
+    """The texts of a VARIANT: those of a list that are not blank, a single value trimmed, none for null or a blank one."""
+    texts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
+    one = F.trim(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v), F.lit("")))
+    single = F.when(one.isin("", "null"), F.array().cast("array<string>")).otherwise(F.array(one))
+    return F.coalesce(F.filter(texts, lambda x: F.trim(x) != ""), single)
+
+
 def departments(x: Column) -> Column:
     """Names of an array: spaces collapsed, edge punctuation gone, the first spelling of each kept in order."""
     clean = F.filter(F.transform(x, lambda v: F.regexp_replace(collapse(v), r"^[ ,;]+|[ ,;]+$", "")), lambda v: v != "")

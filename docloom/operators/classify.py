@@ -118,3 +118,33 @@ def by_catalog(ids: Column) -> Column:
     order = F.create_map(*(y for i, x in enumerate(SECTION_IDS) for y in (F.lit(x), F.lit(i))))
     keyed = F.transform(ids, lambda x: F.struct(F.coalesce(F.try_element_at(order, x), F.lit(999)).alias("o"), x.alias("id")))
     return F.transform(F.array_sort(keyed), lambda x: x["id"])
+
+
+#: What a reviewer types to accept all rows, and to give up; rows on a page.
+ACCEPT, GIVE_UP, PAGE = ("", "ok", "done", "confirm", "yes", "y", "s", "save"), ("q", "quit", "exit"), 25
+
+
+def review_pages(rows: DataFrame, doc: str, order: str, skipped: str = "skipped", size: int = PAGE) -> DataFrame:
+    """Rows that are reviewed, with their number in the document and the page that shows it, both from 1."""
+    r = rows.where(~F.coalesce(F.col(skipped), F.lit(False))).withColumn("number", F.row_number().over(ordered([doc], [order])))
+    return r.withColumn("page", F.floor((F.col("number") - 1) / size).cast("int") + 1)
+
+
+def replay_review(rows: DataFrame, typed: DataFrame, doc: str, order: str, at: str = "at", said: str = "said", ids: str = "ids") -> DataFrame:
+    """rows (doc, order, labels, skipped) after what a reviewer typed: labels, llm_labels, review_action, human_reviewed.
+
+    typed has for each document, in order of `at`, what was typed and for a row's number the ids for it. The last ids of a row count
+    if some are known and all came before an accepting word; a word that gives up, or none, leaves all labels as they were (and
+    the rows confirmed, as nobody changed them). Other words and numbers without a row do nothing.
+    """
+    word = F.lower(F.trim(said))
+    t = typed.select(F.col(doc).alias("__doc"), F.col(at).alias("__at"), word.alias("__word"), parse_id_list(F.col(ids)).alias("__ids"))
+    ends = t.where(F.col("__word").isin(*ACCEPT, *GIVE_UP)).groupBy("__doc").agg(F.min_by(F.col("__word").isin(*ACCEPT), "__at").alias("__accepted"), F.min("__at").alias("__end"))
+    edits = t.join(ends.where("__accepted"), "__doc").where((F.col("__at") < F.col("__end")) & F.col("__word").rlike(r"^\d{1,9}$") & (F.size("__ids") > 0))
+    edits = edits.groupBy("__doc", F.col("__word").cast("int").alias("__number")).agg(F.max_by("__ids", "__at").alias("__new"))
+    numbered = review_pages(rows, doc, order).select(F.col(doc).alias("__d"), F.col(order).alias("__o"), "number")
+    r = rows.join(numbered, F.col(doc).eqNullSafe(F.col("__d")) & (F.col(order) == F.col("__o")), "left")
+    r = r.join(edits, (F.col(doc) == F.col("__doc")) & (F.col("number") == F.col("__number")), "left").drop("__doc").join(ends, F.col(doc) == F.col("__doc"), "left")
+    new = F.coalesce("__new", "labels")
+    action = F.when(F.col("number").isNull(), "skipped").when(new != F.col("labels"), "modified").otherwise("confirmed")
+    return r.select(doc, order, "skipped", new.alias("labels"), F.col("labels").alias("llm_labels"), action.alias("review_action"), F.coalesce("__accepted", F.lit(False)).alias("human_reviewed"))

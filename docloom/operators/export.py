@@ -143,6 +143,22 @@ def resolve_leaves(found: DataFrame, nodes: DataFrame | None) -> DataFrame:
     return j.withColumn("leaves", F.when(F.col("texts").isNotNull(), replaced).otherwise(F.col("leaves"))).drop("texts")
 
 
+def cell_text(cells: DataFrame) -> Column:
+    """What stands for a cell: its text, else what it shows, and the nested tables that this does not name, each on a line."""
+    shown = F.nullif(F.col("display_text"), F.lit("")) if "display_text" in cells.columns else F.lit(None).cast("string")
+    own = F.coalesce(F.nullif(F.col("text"), F.lit("")), shown, F.lit(""))
+    nested = F.coalesce("nested_table_ids", F.array().cast("array<string>")) if "nested_table_ids" in cells.columns else F.array().cast("array<string>")
+    marks = F.filter(F.transform(nested, lambda t: F.concat(F.lit("<"), t, F.lit(">"))), lambda m: ~F.contains(own, m))
+    return F.array_join(F.filter(F.concat(F.array(own), marks), lambda x: x != ""), "\n")
+
+
+def labelled_lines(entry: Column) -> Column:
+    """An entry (a map of texts) as lines of label and text, in its own order; what belongs to the section and blank texts are left out."""
+    full = F.filter(F.map_entries(entry), lambda e: ~e["key"].isin("type", "section_id", "header_cell_ids") & (F.trim(F.coalesce(e["value"], F.lit(""))) != ""))
+    label = lambda e: F.when(strip_markup(e["key"]) != "", F.concat(strip_markup(e["key"]), F.lit(": "))).otherwise("")
+    return F.array_join(F.transform(full, lambda e: F.concat(label(e), F.trim(e["value"]))), "\n")
+
+
 def table_texts(cells: DataFrame) -> DataFrame:
     """(doc_id, table_id, text): tables drawn from what their cells say, with references expanded and nested tables drawn in place.
 
@@ -151,9 +167,7 @@ def table_texts(cells: DataFrame) -> DataFrame:
     later. A table that would hold itself has no text there; what is unknown stays as it is written.
     """
     spark = cells.sparkSession
-    none = F.array().cast("array<string>")
-    marks = F.transform(F.filter(F.coalesce("nested_table_ids", none), lambda t: ~F.contains(F.coalesce("text", F.lit("")), F.concat(F.lit("<"), t, F.lit(">")))), lambda t: F.concat(F.lit("<"), t, F.lit(">")))
-    text = F.array_join(F.filter(F.concat(F.array(F.coalesce("text", F.lit(""))), marks), lambda x: x != ""), "\n")
+    text = cell_text(cells)
     c = stored(cells.withColumn("text", text))
     own = c.select("doc_id", F.col("cell_id").alias("id"), "text")
     # What a table takes in, over all its cells: the tables on the paths of their references.

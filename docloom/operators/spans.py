@@ -115,3 +115,9 @@ def component_summary(rows: DataFrame, group: list[str]) -> DataFrame:
     )
     only = lambda c, x: F.when(c, F.col(x)).alias(x)
     return s.select(*group, "component", "component_kind", "files", "table_ids", *(only(is_table, x) for x in ("n_rows", "logical_columns")), only(~is_table, "n_chars"), (is_table & (F.size("table_ids") > 1)).alias("merged"))
+
+
+def component_text(parts: Column) -> Column:
+    """The texts of a component's chunks that are not blank, without white space at their ends, a blank line between them and a line end; empty without any."""
+    full = F.filter(F.transform(parts, lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+\z", "")), lambda x: x != "")
+    return F.when(F.size(full) > 0, F.concat(F.array_join(full, "\n\n"), F.lit("\n"))).otherwise("")

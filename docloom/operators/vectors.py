@@ -99,6 +99,28 @@ def source_names(ids: list[str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def normalized_hits(hits: DataFrame, score: str = "score", rank: str = "rank") -> DataFrame:
+    """Hits of either layout of a vector table as rank, the fields of a document's chunk (never null) and vector_score (null if it is no number).
+
+    In the layout by source the document is its source under an encoded id, and the chunk its file.
+    """
+    from ..functions.text import encode_id
+    from ..sources.files import SCHEMAS, detect_schema
+
+    layout, have = detect_schema(hits.columns), set(hits.columns)
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in have else F.lit("")
+    if layout == "document":
+        fields = {name: text(name) for name in SCHEMAS[layout]}
+    else:
+        file, source = text("chunk_file"), text("source")
+        stem = F.regexp_replace(F.substring_index(file, "/", -1), r"(?s)(?<=[^.])\.[^.]+\z", "")
+        fields = {"document_id": F.when(source != "", encode_id(source)).otherwise(""), "document_name": source, "chunk_id": stem, "file_name": file}
+        fields |= {name: text(name) for name in ("section_id", "chunk_type", "hierarchy_path")} | {"text": text("document")}
+    s = F.col(score).try_cast("double") if score in have else F.lit(None).cast("double")
+    number = F.when(~F.isnan(s) & (F.abs(s) != float("inf")), s)
+    return hits.select(rank, *(c.alias(n) for n, c in fields.items()), number.alias("vector_score"))
+
+
 def document_counts(documents: DataFrame, chunks: DataFrame, doc: str = "document_id") -> DataFrame:
     """documents with chunk_count, 0 for those without chunks: what an ingest is about to write."""
     n = chunks.groupBy(F.col(doc).alias("__doc")).agg(F.count(F.lit(1)).alias("chunk_count"))

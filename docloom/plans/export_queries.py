@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import export, models, vectors
+from ..functions import text as T
+from ..operators import classify, export, models, spans, vectors
 from ..operators.storage import shared_folder, stored
 from ..sources import files, ooxml, store
 from .base import LINES, Registry, lines, table
+from .label_queries import _SQL_TURNS, turns
 from .source_queries import region_files
 
 query = Registry()
@@ -254,3 +256,83 @@ def model_outcomes(spark, sf_dir):
     asked = models.answer(d.select("doc_id", F.lit("Count.").alias("system"), "text"), SometimesModel(), json.loads, 3, "doc_id", "system", "text")
     rules = d.select("doc_id", F.when(F.col("lang") == "en", F.lit('{"words": 0}')).alias("value"))
     return models.outcome_summary(models.outcomes(asked, rules, "doc_id").join(d.select("doc_id", "source"), "doc_id"), "source")
+
+
+@query(
+    "vec_hits_two_layouts",
+    """select vec_id as rank, 'document' as layout, 'd' || label as document_id, '' as document_name, 'c' || vec_id as chunk_id, '' as text, vec_id / 7.0::double as vector_score from embeddings
+    union all select vec_id, 'source', rtrim(replace(replace(to_base64(encode('d' || label)), '+', '-'), '/', '_'), '='), 'd' || label, 'f' || vec_id || '.x', 't' || vec_id, case when vec_id % 3 = 0 then null else vec_id / 7.0::double end from embeddings""",
+)
+def hits(spark, sf_dir):
+    """Vectors as hits of both layouts: fields that are missing are empty, scores that are no numbers null."""
+    e = table(spark, sf_dir, "embeddings")
+    score = F.col("vec_id") / 7
+    name, n = F.concat(F.lit("d"), F.col("label").cast("string")), F.col("vec_id").cast("string")
+    first = e.select(F.col("vec_id").alias("rank"), name.alias("document_id"), F.lit(None).cast("string").alias("document_name"), F.concat(F.lit("c"), n).alias("chunk_id"), score.alias("score"))
+    second = e.select(F.col("vec_id").alias("rank"), name.alias("source"), F.concat(F.lit("f"), n, F.lit(".x.txt")).alias("chunk_file"), F.concat(F.lit("t"), n).alias("document"), F.when(F.col("vec_id") % 3 == 0, float("nan")).otherwise(score).alias("score"))
+    out = vectors.normalized_hits(first).withColumn("layout", F.lit("document")).unionByName(vectors.normalized_hits(second).withColumn("layout", F.lit("source")))
+    return out.select("rank", "layout", "document_id", "document_name", "chunk_id", "text", "vector_score")
+
+
+@query(
+    "review_replay",
+    f"""with {_SQL_TURNS},
+    k as (select conv_id, idx, row_number() over (partition by conv_id order by idx) as number from t where not skipped),
+    w as (select conv_id, conv_id % 4 in (0, 1) as accepted from (select distinct conv_id from t)),
+    r as (select t.*, number, accepted, accepted and number is not null and number % 2 = 1 and number <= 5 as edited from t left join k using (conv_id, idx) left join w using (conv_id))
+    select conv_id, idx, case when edited then 'SEC05,SEC03' else array_to_string(labels, ',') end as labels, case when number is null then 'skipped' when edited then 'modified' else 'confirmed' end as review_action, accepted as human_reviewed from r""",
+)
+def review_replay(spark, sf_dir):
+    """A reviewer gives odd rows new ids, twice, then accepts, gives up or goes; what is typed afterwards does not count."""
+    t = turns(spark, sf_dir)
+    last = F.element_at(F.array(*map(F.lit, ("OK", " y ", "q", "next"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    say = lambda at, said, ids: F.struct(F.lit(at).alias("at"), said.alias("said"), F.lit(ids).alias("ids"))
+    said = [say(1, F.lit("1"), "SEC01"), say(2, F.lit("1"), "sec05; SEC03"), say(3, F.lit("3"), "SEC05,SEC03,SEC77"), say(4, F.lit("5"), "SEC05,SEC03"), say(5, F.lit("2"), "nothing"), say(6, F.lit("99"), "SEC01"), say(7, F.lit("help"), None), say(8, last, None), say(9, F.lit("2"), "SEC01"), say(10, F.when(F.col("conv_id") % 4 == 3, "p").otherwise("ok"), None)]
+    typed = t.select("conv_id").distinct().select("conv_id", F.inline(F.array(*said)))
+    return classify.replay_review(t, typed, "conv_id", "idx").select("conv_id", "idx", F.array_join("labels", ",").alias("labels"), "review_action", "human_reviewed")
+
+
+@query(
+    "txt_list_value",
+    """select o_orderkey, case o_orderkey % 5 when 0 then 'a|' || o_orderpriority when 1 then o_orderpriority when 2 then '' when 3 then o_orderkey::varchar else '' end as found from orders""",
+)
+def list_value(spark, sf_dir):
+    """Lists with blanks, texts, nulls, numbers and blanks as JSON."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 5
+    quoted = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))
+    text = F.when(k == 0, F.concat(F.lit('["a", " ", '), quoted, F.lit("]"))).when(k == 1, F.concat(F.lit('" '), "o_orderpriority", F.lit(' "'))).when(k == 2, "null").when(k == 3, F.col("o_orderkey").cast("string")).otherwise('"  "')
+    return o.select("o_orderkey", F.array_join(T.list_value(F.try_parse_json(text)), "|").alias("found"))
+
+
+@query(
+    "span_component_text",
+    f"""select l_orderkey, coalesce(string_agg(chr(10) || ' ' || p_name, chr(10) || chr(10) order by pos) filter (pos % 3 <> 0) || chr(10), '') as text from {LINES} join part on l_partkey = p_partkey group by l_orderkey""",
+)
+def component_text(spark, sf_dir):
+    """The lines of an order as the chunks of a component, every third of them blank."""
+    l, p = lines(spark, sf_dir), table(spark, sf_dir, "part")
+    said = F.when(F.col("pos") % 3 == 0, " \n").otherwise(F.concat(F.lit("\n "), "p_name", F.lit("\t")))
+    g = l.join(p, l["l_partkey"] == p["p_partkey"]).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))), lambda x: x["t"]).alias("parts"))
+    return g.select("l_orderkey", spans.component_text(F.col("parts")).alias("text"))
+
+
+@query(
+    "rag_cell_text",
+    """select c_custkey, case c_custkey % 4 when 0 then c_name when 1 then c_mktsegment when 2 then 'see <TB000001>' || chr(10) || '<TB000002>' else '<TB000001>' || chr(10) || '<TB000002>' end as text from customer""",
+)
+def cell_text(spark, sf_dir):
+    """Cells with a text, with what they show alone, and with nested tables that the text names or not."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 4
+    both = F.array(F.lit("TB000001"), F.lit("TB000002"))
+    cells = c.select("c_custkey", F.when(k == 0, F.col("c_name")).when(k == 1, "").when(k == 2, "see <TB000001>").alias("text"), F.when(k < 2, F.col("c_mktsegment")).alias("display_text"), F.when(k >= 2, both).alias("nested_table_ids"))
+    return cells.select("c_custkey", export.cell_text(cells).alias("text"))
+
+
+@query(
+    "rag_labelled_lines",
+    """select o_orderkey, 'Rank: ' || trim(o_orderpriority) || chr(10) || 'Status: ' || o_orderstatus || case when o_orderkey % 2 = 0 then chr(10) || 'Key: ' || o_orderkey else '' end as text from orders""",
+)
+def labelled_lines(spark, sf_dir):
+    """Orders as entries of a section, with keys that are no content and blank values."""
+    pairs = F.create_map(F.lit("type"), F.lit("step"), F.lit("<u>Rank</u>"), F.concat(F.lit(" "), F.col("o_orderpriority")), F.lit("section_id"), F.lit("SEC12"), F.lit("Status"), F.col("o_orderstatus"), F.lit("Key"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise(" "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", export.labelled_lines(pairs).alias("text"))

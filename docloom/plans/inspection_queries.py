@@ -55,11 +55,12 @@ def search_cells(spark, sf_dir):
     return cells.search(cells.build(e), queries, 12, exact=True).withColumn("score", F.round("score", 6))
 
 
-@query("vec_document_counts", "select n_nationkey as document_id, n_name, count(c_custkey)::bigint as chunk_count from nation left join (select * from customer where c_acctbal > 9000) on c_nationkey = n_nationkey group by all")
+@query("vec_document_counts", "select n_nationkey as document_id, n_name, count(c_custkey)::bigint as chunk_count from nation left join customer on c_nationkey = n_nationkey group by all union all select 100 + r_regionkey, r_name, 0 from region")
 def document_counts(spark, sf_dir):
-    """Nations stand for documents, their wealthy customers for chunks; some may have none."""
-    chunks = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("document_id"))
-    return vectors.document_counts(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("document_id"), "n_name"), chunks)
+    """Nations stand for documents, their customers for chunks; regions are documents without any."""
+    chunks = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("document_id"))
+    documents = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("document_id"), "n_name").union(table(spark, sf_dir, "region").select(F.col("r_regionkey") + 100, "r_name"))
+    return vectors.document_counts(documents, chunks)
 
 
 @query(

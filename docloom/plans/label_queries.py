@@ -167,7 +167,7 @@ def table_runs(spark, sf_dir):
     """select o_orderkey as doc_id, o_orderkey::varchar || case when o_orderkey % 2 = 0 then '_table.txt' else '_text.txt' end as file_name,
         case when l.l_orderkey is not null then 'table' when o_orderkey % 2 = 1 then 'text' else 'unknown' end as kind, l.t as table_id,
         case when o_orderkey % 3 = 0 then o_orderpriority else coalesce(l.r, '') end as content
-    from orders left join (select l_orderkey, 'TB' || max(l_partkey)::varchar as t, sum(l_linenumber)::bigint::varchar as r from lineitem where l_orderkey % 4 = 0 group by l_orderkey) l on l.l_orderkey = o_orderkey and o_orderkey % 2 = 0""",
+    from orders left join (select l_orderkey, 'TB' || max(l_partkey)::varchar as t, sum(l_linenumber)::bigint::varchar as r from lineitem group by l_orderkey) l on l.l_orderkey = o_orderkey and o_orderkey % 2 = 0""",
 )
 def chunk_table(spark, sf_dir):
     """Orders as chunks; some have a table, some a text file."""
@@ -175,31 +175,32 @@ def chunk_table(spark, sf_dir):
     name = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "_table.txt").otherwise("_text.txt"))
     classified = o.select(F.col("o_orderkey").alias("doc_id"), name.alias("file_name"))
     texts = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id"), name.alias("file_name"), F.col("o_orderpriority").alias("content"))
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("TB"), F.max("l_partkey").cast("string")).alias("table_id"), F.sum("l_linenumber").cast("string").alias("rendered_table"))
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("TB"), F.max("l_partkey").cast("string")).alias("table_id"), F.sum("l_linenumber").cast("string").alias("rendered_table"))
     t = t.withColumn("chunk_file_name", F.concat(F.col("doc_id").cast("string"), F.lit("_table.txt")))
     return spans.chunk_records(classified, t, texts).select("doc_id", "file_name", "kind", "table_id", "content")
 
 
-#: Tables of two or three columns made of part names: a table is a brand, a row a size, its cells the first parts of that size.
+#: Tables of any number of columns made of part names: a table is a brand, a row a size, its cells the parts of that size.
 _NAMES = """select p_brand, p_size as row, p_partkey, p_name, row_number() over (partition by p_brand, p_size order by p_partkey) as col from part"""
 _ORDERS = (("SEC04", 0, ["hot gear", "new anvil"]), ("SEC04", 1, ["large bolt", "hot anvil", "new rod"]), ("SEC04", 2, ["hot", "new"]))
 _SQL_ORDERS = "o(order_no, n, p, label) as (values (0, 2, 1, 'hotgear'), (0, 2, 2, 'newanvil'), (1, 3, 1, 'largebolt'), (1, 3, 2, 'hotanvil'), (1, 3, 3, 'newrod'), (2, 2, 1, 'hot'), (2, 2, 2, 'new'))"
 
 
 def part_tables(spark, sf_dir):
-    """Brands as tables (p_brand, row, n_cells, is_title, cells, section_id) of at most three columns."""
+    """Brands as tables (p_brand, row, n_cells, is_title, cells, section_id)."""
     p = table(spark, sf_dir, "part")
     col = F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
     shown = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("CL"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
-    cells = p.select("p_brand", F.col("p_size").alias("row"), col.alias("col"), F.concat(F.lit("CL"), F.col("p_partkey").cast("string")).alias("cell_id"), F.lit(1).alias("colspan"), F.col("p_name").alias("text"), shown.alias("display_text"), F.lit(3).alias("n"))
-    return spans.table_rows(cells.where("col <= 3"), ["p_brand"], "n").withColumn("section_id", F.lit("SEC04"))
+    p = p.withColumn("col", col)
+    cells = p.select("p_brand", F.col("p_size").alias("row"), "col", F.concat(F.lit("CL"), F.col("p_partkey").cast("string")).alias("cell_id"), F.lit(1).alias("colspan"), F.col("p_name").alias("text"), shown.alias("display_text"), (F.max("col").over(Window.partitionBy("p_brand")) + 1).alias("n"))
+    return spans.table_rows(cells, ["p_brand"], "n").withColumn("section_id", F.lit("SEC04"))
 
 
 def _orders(spark):
     return spark.createDataFrame(list(_ORDERS), "section_id string, order_no int, labels array<string>")
 
 
-_SQL_SCORES = f"""n as ({_NAMES}), k as (select p_brand, row, col, p_partkey, regexp_replace(lower(p_name), '[^\\pL\\pN_]+', '', 'g') as t from n where col <= 3),
+_SQL_SCORES = f"""n as ({_NAMES}), k as (select p_brand, row, col, p_partkey, regexp_replace(lower(p_name), '[^\\pL\\pN_]+', '', 'g') as t from n),
     w as (select *, row_number() over (partition by p_brand order by row) as place from (select p_brand, row, count(*) as n from k group by all)),
     {_SQL_ORDERS},
     c as (select k.p_brand, k.row, o.order_no, case when k.t = '' then 0.0 when k.t = o.label then 1.0 when contains(k.t, o.label) or contains(o.label, k.t) then 0.9 else 0.0 end::double as s
@@ -228,12 +229,12 @@ def fuzzy(spark, sf_dir):
     "hdr_heuristic",
     f"""with {_SQL_SCORES}, b as (select *, row_number() over (partition by p_brand order by score desc, row, order_no) as n from sc where score > 0),
     lc as (select p_brand, max(n) as lc from w group by all),
-    sh as (select p_brand, row, bool_and(p_partkey % 7 <> 0) as shown, string_agg(p_name, '|' order by col) as labels from n where col <= 3 group by all),
+    sh as (select p_brand, row, bool_and(p_partkey % 7 <> 0) as shown, string_agg(p_name, '|' order by col) as labels from n group by all),
     m as (select b.p_brand, b.row, b.order_no, sh.shown from b join sh using (p_brand, row) where b.n = 1 and b.score >= 0.9),
     d as (select w.p_brand, min_by(sh.labels, w.row) as labels, min(w.row) as row from w join sh using (p_brand, row) join lc using (p_brand) where w.place <= 8 and w.n = lc.lc and sh.shown group by all)
     select lc.p_brand, case when m.row is not null and m.shown then 'visible_valid' when m.row is not null then 'hidden_valid' when d.row is not null then 'visible_valid' else 'missing' end as header_state,
         case when m.row is not null then ['hot gear|new anvil', 'large bolt|hot anvil|new rod', 'hot|new'][m.order_no + 1] when d.row is not null then d.labels
-             else ['Column 1', 'hot gear|new anvil', 'large bolt|hot anvil|new rod'][lc.lc] end as columns,
+             when lc.lc in (2, 3) then ['hot gear|new anvil', 'large bolt|hot anvil|new rod'][lc.lc - 1] else array_to_string(list_transform(range(1, lc.lc + 1), lambda i: 'Column ' || i), '|') end as columns,
         coalesce(m.row, d.row)::bigint as header_row
     from lc left join m using (p_brand) left join d using (p_brand)""",
 )

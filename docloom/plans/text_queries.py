@@ -54,8 +54,8 @@ def strip_markup(spark, sf_dir):
 
 #: Five Arabic letters, which the corpus lacks.
 _ARABIC = "مرحبا"
-_MIXED = f"""case doc_id % 4 when 0 then left(text, 60) when 1 then repeat('{_ARABIC}', 1 + doc_id % 7) || left(text, 40)
-             when 2 then left(text, 60) || '{_ARABIC}' else '{_ARABIC}' end"""
+_MIXED = f"""case doc_id % 4 when 0 then text when 1 then repeat('{_ARABIC}', cast(1 + doc_id % 7 * (1 + length(text) / 64) as int)) || text
+             when 2 then text || '{_ARABIC}' else '{_ARABIC}' || text end"""
 
 
 @query(

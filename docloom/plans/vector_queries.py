@@ -138,14 +138,16 @@ def metadata_key(spark, sf_dir):
 
 @query(
     "cat_history_listing",
-    """select c_custkey, coalesce(o.n, 0) as n_orders, o.n is not null as has_orders, greatest(timestamp '1990-01-01' + c_custkey * interval 1 day, coalesce(o.t, timestamp '1990-01-01')) as updated
-    from customer left join (select o_custkey, count(*) as n, max(o_orderdate) as t from orders where o_orderpriority like '1%' group by all) o on o_custkey = c_custkey""",
+    """with o as (select o_custkey, count(*) filter (o_orderpriority like '1%') as n, count(*) filter (o_orderpriority not like '1%') as m, max(o_orderdate) as t from orders group by all)
+    select c_custkey, coalesce(n, 0) as n_urgent, coalesce(n, 0) > 0 as has_urgent, coalesce(m, 0) as n_others, coalesce(m, 0) > 0 as has_others, greatest(timestamp '1990-01-01' + c_custkey * interval 1 day, coalesce(o.t, timestamp '1990-01-01')) as updated
+    from customer left join o on o_custkey = c_custkey""",
 )
 def history(spark, sf_dir):
-    """Customers stand for documents, their urgent orders for the parts of one."""
+    """Customers stand for documents, their urgent and other orders for two kinds of parts."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.expr("timestamp_ntz '1990-01-01' + make_dt_interval(cast(c_custkey as int))").alias("mtime"))
-    o = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("mtime"))
-    return catalog.history(c, {"orders": o}, "c_custkey").select("c_custkey", "n_orders", "has_orders", "updated")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("mtime"), F.col("o_orderpriority").startswith("1").alias("urgent"))
+    kinds = {"urgent": o.where("urgent"), "others": o.where("not urgent")}
+    return catalog.history(c, kinds, "c_custkey").select("c_custkey", "n_urgent", "has_urgent", "n_others", "has_others", "updated")
 
 
 @query(
