@@ -175,6 +175,21 @@ def join_table(big: DataFrame, small: DataFrame, on: str, by: str, how: str = "i
     return dealt.join(every, (F.col(on) == F.col(by)) & (F.col(salt) == F.col(other)), how).drop(salt, other)
 
 
+def one_of_each(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """rows with one row of each key: of several the one whose text has the smallest SHA-256, then by a hash of all columns.
+
+    Null keys stay, every row of them. Keys that repeat are counted first, by the key alone, so that the texts of other
+    rows are not shuffled; those of a repeated key are reduced before the shuffle, however many there are.
+    """
+    columns = rows.columns
+    of, several, kept = (fresh(columns, x) for x in ("of", "several", "kept"))
+    again = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(of)).agg((F.count(F.lit(1)) > 1).alias(several)).where(several)
+    marked = join_table(rows, again, key, of, "left", text)
+    order = F.struct(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.xxhash64(*columns))
+    chosen = marked.where(several).groupBy(key).agg(F.min_by(F.struct(*columns), order).alias(kept)).select(f"{kept}.*")
+    return marked.where(F.col(several).isNull()).select(*columns).union(chosen.select(*columns))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of the graph with edges (u, v), two columns of long: one row (node, root) per node, root its smallest node.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, release_memory, small_batches, utf8, written
+from .common import connected_components, one_of_each, release_memory, small_batches, utf8, written
 
 RADIUS = 2
 SEED = 42
@@ -112,7 +112,8 @@ def simhash(docs: DataFrame, text: str = "text", id_column: str = "doc_id", widt
 def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = 3) -> DataFrame:
     """docs with one document of each component, the one with the smallest id; rows without an id stay.
 
-    Of repeated rows of one id one stays, whichever text is smaller by its hash. Columns are docs' own.
+    Null and empty texts link like any other, very long texts are read whole. Of repeated rows of one id one stays, that
+    with the smallest text hash, in every run. Columns are docs' own, whatever their names; an empty table gives an empty one.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
@@ -120,8 +121,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", wid
     found = simhash(plain, body, key, width)
     gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     left = plain.join(gone, key, "left_anti")
-    unnamed, named = left.where(F.col(key).isNull()), left.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return named.union(unnamed).select(*names).toDF(*docs.columns)
+    return one_of_each(left, key, body).select(*names).toDF(*docs.columns)
 
 
 def query(spark, sf_dir):
