@@ -51,10 +51,12 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(file)
-    return path
+    name = f"docloom-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(folder)  # only what exists can be marked
+    files.deleteOnExit(folder)
+    return f"{shared_dir(spark)}/{name}/{name}"
 
 
 #: Rows of whole texts that a Python worker gets at a time, unless the session sets its own number.
