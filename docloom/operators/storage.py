@@ -19,11 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or context.getCheckpointDir()).rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str = "step") -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)  # only what exists can be marked
+    files.deleteOnExit(path)
+    return f"{folder}/data"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lost executors repeat one step. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    target = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    target = scratch(df.sparkSession)
     df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)

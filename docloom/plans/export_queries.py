@@ -1,7 +1,6 @@
 """Exports and file sources end to end: section JSON to chunks, folders of documents, model labels, vector tables."""
 
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import Window
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, export, models, spans, vectors
-from ..operators.storage import shared_folder, stored
+from ..operators.storage import scratch, stored
 from ..sources import files, ooxml, store
 from .base import LINES, Registry, lines, table
 from .label_queries import _SQL_TURNS, turns
@@ -19,7 +18,7 @@ query = Registry()
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    return scratch(spark, "export")
 
 
 def _section(doc, number, section: str, english: str, text):

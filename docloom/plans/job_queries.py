@@ -1,11 +1,9 @@
 """Jobs around documents: approval, admission, stored files, counts of a run, folder names, deletion, models of workers."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import runs
-from ..operators.storage import shared_folder, stored
+from ..operators.storage import scratch, stored
 from ..sources import store
 from ..streaming import gate
 from .base import Registry, table
@@ -49,7 +47,7 @@ def document_files(spark, sf_dir):
     """Parts as files of their brand under the name of their type, written to a store of files and read again."""
     p = table(spark, sf_dir, "part")
     rows = p.select(F.col("p_brand").alias("doc_id"), F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".txt")).alias("file_name"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("content"))
-    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    path = scratch(spark, "files")
     store.save(rows, path)
     return stored(store.load(spark, path).select("doc_id", "file_name", F.sha2("content", 256).alias("sha256")))
 
@@ -96,7 +94,7 @@ def delete_documents(spark, sf_dir):
     """Customers as chunks of a segment and nation, in folders: some groups have a running job, some do not exist."""
     c = table(spark, sf_dir, "customer")
     name = lambda n: F.concat("c_mktsegment", F.lit("/"), n.cast("string")).alias("doc")
-    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    path = scratch(spark, "documents")
     chunks = c.select("c_custkey", name(F.col("c_nationkey")))
     chunks.repartition("doc").write.partitionBy("doc").parquet(path)
     jobs = c.select(name(F.col("c_nationkey")), F.when(F.col("c_acctbal") > 9500, "running").otherwise("done").alias("status"))
