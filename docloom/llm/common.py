@@ -186,6 +186,9 @@ def one_of_each(rows: DataFrame, key: str, text: str) -> DataFrame:
     columns = rows.columns
     of, several, kept = (fresh(columns, x) for x in ("of", "several", "kept"))
     again = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(of)).agg((F.count(F.lit(1)) > 1).alias(several)).where(several)
+    again = written(again)
+    if again.isEmpty():  # then rows are not read twice
+        return rows
     marked = join_table(rows, again, key, of, "left", text)
     order = F.struct(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.xxhash64(*columns))
     chosen = marked.where(several).groupBy(key).agg(F.min_by(F.struct(*columns), order).alias(kept)).select(f"{kept}.*")
