@@ -22,7 +22,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word similarity of 0.8 or more), that of the smallest id.
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    SimHash fingerprints of 5-word shingles and covering masks find them, min-hashing those beyond the masks' radius; the
+    exact similarity of 0.8 or more decides.
 
     Null and empty texts are one group. Rows of null id link nothing and stay; of repeated rows of one id one stays.
     """
@@ -56,7 +59,7 @@ STAGES = [
     ("sentencepiece", pieces),
 ]
 
-#: XXH64 fingerprints, boosted trees and a lattice search have no SQL form; tests compare with brute force.
+#: Fingerprints, boosted trees and a lattice search have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

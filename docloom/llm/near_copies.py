@@ -1,10 +1,12 @@
-"""Near copies by shingles of five words: texts link when the Jaccard similarity of their shingle sets is 0.8 or more.
+"""Near copies by SimHash over shingles of five words: texts link when the Jaccard similarity of their shingle sets is 0.8 or more.
 
-Candidates come from min-hashing in BANDS bands of ROWS values; every candidate pair is then compared exactly, so that
-no other pair links. A pair of similarity s shares no band with a probability of (1 - s^ROWS)^BANDS: at most 3.1e-6 at
-0.8, 3e-9 at 0.85. Beyond that no pair is left out.
+Each distinct shingle set has a SimHash fingerprint, and covering masks as in simhash.py, for RADIUS bits here, bring every
+pair that differs in at most RADIUS bits into a common bucket. Pairs of similarity 0.8 differ in about ten bits of 64, which
+no affordable number of masks covers, so that pairs beyond the radius meet by min-hashing in BANDS bands of ROWS values: one
+of similarity s shares no band with a probability of (1 - s^ROWS)^BANDS, at most 3.1e-6 at 0.8, 3e-9 at 0.85. Every pair that
+meets is then compared exactly, so that no other pair links; but for that probability, beyond the radius, no pair is left out.
 
-Work is on distinct shingle sets. The members of a bucket follow its lead, the one that shares most with others, so that
+Work is on distinct shingle sets. The members of a bucket, of either kind, follow its lead, the one that shares most with others, so that
 the buckets of one group of copies have one lead and each set goes to it once. A lead's followers meet in one task, or
 in pairs of blocks of BLOCK shingles if they are many. There all are compared with the lead first, and those that do not
 link to it with all others; no pair is listed, only links that connect what belongs together leave the task.
@@ -22,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, mix64, one_of_each, release_memory, small_batches, written
 from .fingerprints import terms
+from .simhash import majority, masks, signed
 
 LEAST = 0.8
+#: Bits in which fingerprints may differ so that the covering masks (63 of 32 or 33 bits) find the pair for certain.
+RADIUS = 5
 BANDS, ROWS = 32, 5
 #: Shingles of a block of followers of one lead; a task holds two blocks.
 BLOCK = 400_000
@@ -55,7 +60,7 @@ def bands(h: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         sets = [terms(x)[0] for x in texts]
-        yield pd.DataFrame({"node": pd.Series([_node(h) for h in sets], dtype="int64"), "size": pd.Series([len(h) for h in sets], dtype="int64"), "bands": [bands(h) for h in sets]})
+        yield pd.DataFrame({"node": pd.Series([_node(h) for h in sets], dtype="int64"), "size": pd.Series([len(h) for h in sets], dtype="int64"), "fp": pd.Series(np.array([majority(h) for h in sets], np.uint64).astype(np.int64)), "bands": [bands(h) for h in sets]})
     release_memory()
 
 
@@ -131,13 +136,25 @@ def _linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     release_memory()
 
 
-def followers(rows: DataFrame) -> DataFrame:
-    """(lead, node, size) of rows (node, size, key), once each, the lead itself included: who meets whom."""
+def buckets(sets: DataFrame) -> DataFrame:
+    """(node, key) of sets (node, size, fp, bands): keys of covering masks are odd, those of bands even. An empty set has none."""
+    kept = F.array(*(F.lit(signed(m)) for m in masks(RADIUS).values()))
+    covering = F.transform(kept, lambda mask, table: F.xxhash64(table, F.col("fp").bitwiseAND(mask)).bitwiseOR(F.lit(1)))
+    beyond = F.transform("bands", lambda band: band.bitwiseAND(F.lit(-2)))
+    return sets.where("size > 0").select("node", F.explode(F.concat(covering, beyond)).alias("key"))
+
+
+def followers(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, node, size) of rows (node, key) of sets (node, size, fp), once each, the lead itself included: who meets whom.
+
+    Two alone in the bucket of a mask do not meet there if they differ in more than RADIUS bits.
+    """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(rows.join(sizes, "key"))
+    members = written(rows.join(sizes, "key").join(sets.select("node", "size", "fp"), "node"))
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    first = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "size")).alias("first"))
-    led = members.join(first, "key").select(F.col("first.node").alias("lead"), F.col("first.size").alias("lead_size"), "node", "size").where("node <> lead").distinct()
+    first = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node", "size", "fp")).alias("first"))
+    near = (F.col("n") > 2) | (F.col("key").bitwiseAND(F.lit(1)) == 0) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS)
+    led = members.join(first, "key").where(near).select(F.col("first.node").alias("lead"), F.col("first.size").alias("lead_size"), "node", "size").where("node <> lead").distinct()
     return led.select("lead", "node", "size").union(led.select("lead", F.col("lead").alias("node"), F.col("lead_size").alias("size")).distinct())
 
 
@@ -158,12 +175,12 @@ def components(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -
     long texts are read whole. Repeated rows stay. Other columns are left out, whatever their names. An empty table gives an
     empty result.
     """
-    sketch, shingles = F.pandas_udf(_sketch, "node long, size long, bands array<long>"), F.pandas_udf(_shingles, "node long, shingles array<long>")
+    sketch, shingles = F.pandas_udf(_sketch, "node long, size long, fp long, bands array<long>"), F.pandas_udf(_shingles, "node long, shingles array<long>")
     d = small_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     sketches = written(d.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"))
     nodes = sketches.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    one = sketches.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
-    led = written(followers(one.select("node", "size", F.explode("bands").alias("key")).distinct()))
+    distinct = sketches.groupBy("node").agg(*(F.first(x).alias(x) for x in ("size", "fp", "bands")))  # a node's are equal
+    led = written(followers(buckets(distinct), distinct))
 
     wanted = led.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
     sets = d.join(wanted, "doc_id").select("node", shingles("text").alias("s")).where("node = s.node")

@@ -46,6 +46,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def majority(h: np.ndarray) -> int:
+    """The unsigned fingerprint of 64-bit hashes (none: 0), each once: bits set in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 8192):
+        ones += np.unpackbits(h[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 3):
     """A column of the signed 64-bit fingerprints of docs' texts."""
 
@@ -59,19 +67,19 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3):
     return measure(F.col(text))
 
 
-def masks() -> dict[int, int]:
-    """Table number -> mask of the kept bits."""
-    top = (1 << (RADIUS + 1)) - 1
+def masks(radius: int = RADIUS) -> dict[int, int]:
+    """Table number -> mask of the kept bits; up to a radius of 5 each keeps about half of the bits."""
+    top = (1 << (radius + 1)) - 1
     return {v: sum(1 << i for i in range(BITS) if ((1 + i % top) & v).bit_count() % 2) for v in range(1, top + 1)}
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) between representatives of distinct fingerprints (fp, rep) that connect all pairs within RADIUS bits."""
-    tables = F.explode(F.array(*(F.struct(F.lit(v).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in masks().items()))).alias("t")
+    tables = F.explode(F.array(*(F.struct(F.lit(v).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for v, m in masks().items()))).alias("t")
     rows = nodes.select("fp", "rep", tables).select("fp", "rep", "t.table", "t.key")
     me = F.struct("fp", "rep")
     buckets = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("a"), F.max(me).alias("b")).where("n > 1")
@@ -79,7 +87,7 @@ def links(nodes: DataFrame) -> DataFrame:
     pairs = buckets.where("n = 2").where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
 
     members = rows.join(buckets.where("n > 2").select("table", "key"), ["table", "key"])
-    free = F.element_at(F.create_map(*(x for v, m in masks().items() for x in (F.lit(v), F.array(*(F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1))))), F.col("table"))
+    free = F.element_at(F.create_map(*(x for v, m in masks().items() for x in (F.lit(v), F.array(*(F.lit(signed(1 << i)) for i in range(BITS) if not m >> i & 1))))), F.col("table"))
     near = F.explode(F.concat(F.array("fp"), F.transform(free, lambda bit: F.col("fp").bitwiseXOR(bit)))).alias("near")
     named = members.select("table", near, "rep").groupBy("table", "near").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
     stars = named.select(F.array_min("reps").alias("u"), F.explode("reps").alias("v"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docloom.llm import near_copies
+from docloom.llm import fingerprints, near_copies, simhash
 
 
 def shingles(text):
@@ -72,3 +72,37 @@ def test_links_connect_what_is_similar():
             root[find(a)] = find(b)
         for a, b in itertools.combinations(range(len(sets)), 2):
             assert not near(a, b) or find(a) == find(b)
+
+
+@pytest.mark.parametrize("radius", [2, 5])
+def test_covering_masks_of_any_radius(radius):
+    masks = list(simhash.masks(radius).values())
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= 32
+    rng = random.Random(radius)
+    for _ in range(3000):
+        flips = sum(1 << i for i in rng.sample(range(64), radius))
+        assert any(not m & flips for m in masks)
+
+
+def test_fingerprints_find_all_within_the_radius(spark, monkeypatch):
+    """With min-hashing switched off, SimHash alone links every similar pair of up to RADIUS bits, and no other kind of pair."""
+    monkeypatch.setattr(near_copies, "bands", lambda h: np.zeros(0, np.int64))
+    rng = random.Random(11)
+    texts = {}
+    for k in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 300))]
+        for i in range(6):
+            copy = list(base)
+            for _ in range(min(i, 2)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(3000)}"
+            texts[10 * k + i] = " ".join(copy)
+    texts |= {1000: "one two", 1001: "ONE\ntwo", 1002: None, 1003: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.components(df).collect()}
+    sets, prints = {i: shingles(t) for i, t in texts.items()}, {i: simhash.majority(fingerprints.terms(t)[0]) for i, t in texts.items()}
+    whole, found = by_hand(texts), 0
+    for a, b in itertools.combinations(texts, 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and (prints[a] ^ prints[b]).bit_count() <= near_copies.RADIUS:
+            assert got[a] == got[b], (a, b)
+            found += sets[a] != sets[b]
+    assert found > 50 and all(whole[i] == whole[got[i]] for i in texts)
