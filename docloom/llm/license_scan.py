@@ -1,13 +1,16 @@
 """License scans by an exact set-similarity join of text blocks with templates, in DataFrame operations only.
 
 A block is a line, or a paragraph of several lines (between empty ones). It meets a template if it has at least
-ceil(THRESHOLD * size) of the template's distinct words. Only words of templates can be shared, so that blocks are cut
-down to those, ordered by their frequency over all blocks of the corpus, rarest first. A pair that meets the threshold
+ceil(THRESHOLD * size) of the template's distinct words, so that at most size - ceil(THRESHOLD * size) of them are missing:
+of any one word more than that, the text has one. Texts without any of the longest such words, searched for as plain
+substrings, have no such block and are not cut into words. Only words of templates can be shared, so that blocks are cut
+down to those, ordered by their frequency over all blocks of the other texts, rarest first. A pair that meets the threshold
 shares a word of both prefixes whose places leave room for the rest; such pairs are compared in full.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -52,15 +55,47 @@ def _pattern(phrase: str) -> str:
     return f"(?<![^{SEPARATORS}]){between.join(phrase.split())}(?![^{SEPARATORS}])"
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word, base (sorted labels) of a text that is not null."""
-    anywhere = "(?is)(?:" + "|".join(map(_pattern, PHRASES)) + ")"
+def _words(text: str) -> list[str]:
+    """The distinct words of a template."""
+    import re
+
+    return sorted(set(re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))))
+
+
+def needed(templates, threshold: float) -> list[str]:
+    """Words of which a text with a block that meets one of the templates has at least one: of each the longest, one more than may be missing."""
+    out = set()
+    for _, template in templates:
+        words = sorted(_words(template), key=lambda w: (-len(w), w))
+        out |= set(words[: len(words) - math.ceil(threshold * len(words)) + 1])
+    return sorted(out)
+
+
+def may_hold(text: Column, words: list[str]) -> Column:
+    """Whether a text has one of these words, also as part of others, in any case. Of words with other letters their ASCII counts, as lower() changes more."""
+    import re
+
+    parts = [max(re.findall("[\x00-\x7F]*", w), key=len) for w in words]
+    return F.exists(F.array(F.lower(text)), lambda low: functools.reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in parts)))  # lower() once
+
+
+ANYWHERE = "(?is)(?:" + "|".join(map(_pattern, PHRASES)) + ")"
+
+
+def has_phrase(text: Column) -> Column:
+    return may_hold(text, needed([(label, phrase) for phrase, label in PHRASES.items()], 1.0)) & text.rlike(ANYWHERE)
+
+
+def base_columns(text: Column, found: Column) -> dict[str, Column]:
+    """n_words, n_base, first_word, last_word, base (sorted labels) of a text that is not null; found is has_phrase() of it."""
+    anywhere = ANYWHERE
     count = lambda pattern, x=text: F.regexp_count(x, F.lit(pattern)).cast("long")
-    found = text.rlike(anywhere)
+    # A letter for each word with all around it: no word becomes a string of its own.
+    letters = F.regexp_replace(text, f"[{SEPARATORS}]*{WORD}[{SEPARATORS}]*", "x")
     some = lambda x, none=None: F.when(found, x).otherwise(none)
     labels = [F.when(text.rlike("(?i)" + _pattern(p)), F.lit(label)) for p, label in PHRASES.items()]
     return {
-        "n_words": count(WORD),
+        "n_words": F.when(text.rlike(WORD), F.length(letters)).otherwise(0).cast("long"),
         "n_base": some(count(anywhere), F.lit(0).cast("long")),
         "first_word": some(count(WORD, F.split(text, anywhere, 2)[0])),
         "last_word": some(count(WORD, F.regexp_extract(text, "(?is)\\A(.*)(?:" + "|".join(map(_pattern, PHRASES)) + ")", 1))),
@@ -68,13 +103,6 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def _words(text: str) -> list[str]:
-    """The distinct words of a template."""
-    import re
-
-    return sorted(set(re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))))
-
-
 def blocks(docs: DataFrame, text: str, words: list[str], at_least: int) -> DataFrame:
     """(digest, found): the distinct words among `words` of each line, and of each paragraph of several, that has so many; digest is of the text."""
     vocabulary = F.lit(words)
@@ -119,9 +147,11 @@ def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id", templat
     rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text).cast("string").alias("text"))
     words = sorted({w for _, t in templates for w in _words(t)})
     at_least = min(math.ceil(threshold * len(_words(t))) for _, t in templates)
-    met = containment_join(written(blocks(rows, "text", words, at_least)), templates, threshold)
+    some = rows.where(may_hold(F.col("text"), needed(templates, threshold)))
+    met = containment_join(written(blocks(some, "text", words, at_least)), templates, threshold)
     labels = met.groupBy("digest").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))  # at most one per label
-    plain = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("of"), *(c.alias(n) for n, c in base_columns(F.col("text")).items()))
+    told = rows.select("doc_id", "text", has_phrase(F.col("text")).alias("phrase"))
+    plain = told.select("doc_id", F.unhex(F.sha2("text", 256)).alias("of"), *(c.alias(n) for n, c in base_columns(F.col("text"), F.col("phrase")).items()))
     out = join_table(written(plain).withColumn("spread", F.monotonically_increasing_id()), labels, "of", "digest", "left", "spread")
     none = F.array().cast("array<string>")
     return out.select(

@@ -77,3 +77,22 @@ def test_edges(spark, rows):
     docs = spark.createDataFrame([(1, "plain words here"), (2, None)], DOCS)
     assert got(scan.scan(docs)) == [(1, 3, 0, None, None, "", "", 0.0), (2, 0, 0, None, None, "", "", 0.0)]
     assert "Python" not in scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_texts_that_may_hold_a_template_are_cut(spark):
+    """Most texts of a corpus cannot meet a template: they are told by substrings, and none that meets one is lost."""
+    rng = random.Random(4)
+    common = "this work is under the version 3 all rights you may not use file of and to for with".split()
+    texts = [" ".join(rng.choice(common) for _ in range(80)) for _ in range(200)]
+    odd = [("x", "Ünïcodé öne"), ("y", "\u212aelvin ÄÖÜ"), ("z", "éé")]
+    texts += [t.upper() for _, t in scan.TEMPLATES] + ["Ünïcodé öne", "ünïcodé öne", "\u212aelvin ÄÖÜ", "kelvin äöü", "éé", "İ ALL RIGHTS RESERVED İ", " \t\n", "\n\none", "one..", "a\x00b C-D"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    templates = (*scan.TEMPLATES, *odd)
+    assert got(scan.scan(docs, templates=templates)) == sorted(((i, *by_hand(x, templates)) for i, x in enumerate(texts)), key=str)
+    told = {r.doc_id for r in docs.where(scan.may_hold(F.col("text"), scan.needed(scan.TEMPLATES, scan.THRESHOLD))).collect()}
+    assert not told & set(range(200)) and told >= set(range(200, 200 + len(scan.TEMPLATES)))
+    for label, template in scan.TEMPLATES:  # whichever words are left out
+        words = scan._words(template)
+        for _ in range(20):
+            kept = set(rng.sample(words, math.ceil(scan.THRESHOLD * len(words))))
+            assert kept & set(scan.needed([(label, template)], scan.THRESHOLD))
