@@ -21,6 +21,9 @@ is one row (about one per 185 bytes), with a hash of all the bytes that the run
 
 Hashes only bring together what may be equal; the index compares the bytes and decides. (That all members of a class
 have the same bytes rests on 128 bits of hashes, those of the anchor and of the run.)
+
+Passages of WORDS words and more are often shorter than WIDTH bytes. They stay, but passages() tells of those that stand
+in other texts too, by anchors of PART words; here windows are equal if their hashes of 64 bits are.
 """
 
 from __future__ import annotations
@@ -34,16 +37,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, mix64, small_batches, text_of, utf8, written
+from .common import bucketed, mix64, small_batches, text_of, utf8, word_spans, written
 
 WIDTH = 400
 GRAM = 32
 SECTION = 1 << 20
 #: Bytes of the first key of a suffix.
 PACK = 7
-#: Bytes of contexts of a group that one task may index, and of a batch.
+#: Bytes of contexts of a group that one task may index, and of a batch of smaller groups: what sorts within a core's cache.
 GROUP_BYTES = 1 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 48_000
+#: Words of the passages that n_shared_words tells of, words of their anchors, and windows of words that are cut into runs at a time.
+WORDS, PART = 50, 8
+PIECE = 1 << 18
+#: Offsets of windows of words before their anchor that are told from others at once, by the words that all of them share.
+NEAR = 11
 #: Offsets in a range, by level; the first is all there are.
 RANGES = (WIDTH, 46, 6, 1)
 #: Offsets in a range of the filter before the index.
@@ -67,41 +75,86 @@ def _tables() -> list[np.ndarray]:
 
 
 class Hashes:
-    """Hashes of all substrings of at most SECTION + WIDTH bytes."""
+    """Hashes of all substrings of at most SECTION + WIDTH bytes, or of so many hashes of words."""
 
     def __init__(self, data: np.ndarray):
         power, self.inverse = _tables()
+        value = _VALUE[data] if data.dtype == np.uint8 else data
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * power[: len(data)], dtype=np.uint64)])
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[: len(data)], dtype=np.uint64)])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _GOLD)
 
+    def all(self, size: int) -> np.ndarray:
+        """The hashes of all substrings of one size, in order; without copies, as this is most of the work on texts."""
+        with np.errstate(over="ignore"):
+            x = self.sums[size:] - self.sums[:-size]
+            x *= self.inverse[: len(x)]
+            x += np.uint64(size) * _GOLD
+            rest = np.empty_like(x)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):  # mix64
+                np.right_shift(x, np.uint64(shift), out=rest)
+                x ^= rest
+                if factor:
+                    x *= np.uint64(factor)
+        return x
+
+
+def _anchors(part: np.ndarray, width: int, size: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of `width` elements with one anchor of `size`: first and last window, the anchor's place, its hash, the elements' hash.
+
+    Windows over elements of several owners belong to no run.
+    """
+    grams = width - size + 1
+    h = Hashes(part)
+    gram = h.all(size)
+    n = len(gram)
+    low = np.uint64((1 << 21) - 1)
+    key = np.full(-(-n // grams) * grams, np.iinfo(np.uint64).max, np.uint64)
+    np.bitwise_and(gram, ~low, out=key[:n])
+    key[:n] |= np.arange(n, dtype=np.uint64)
+    block = key.reshape(-1, grams)
+    ahead = np.minimum.accumulate(block, axis=1).ravel()
+    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    windows = len(part) - width + 1
+    m = np.minimum(behind[:windows], ahead[grams - 1 : grams - 1 + windows])
+    m &= low
+    m = m.view(np.int64)
+    edge = m[1:] != m[:-1]
+    if own is not None:
+        inside = own[:windows] == own[width - 1 :]
+        edge |= np.diff(inside)
+    edge = np.flatnonzero(edge) + 1
+    a, b = np.concatenate([[0], edge]), np.concatenate([edge, [windows]]) - 1
+    if own is not None:
+        a, b = a[inside[a]], b[inside[a]]
+    place = m[a]
+    with np.errstate(over="ignore"):
+        whole = mix64(h(a, b + width) + (place - a).astype(np.uint64) * _GOLD)
+    return a, b, place, gram[place], whole
+
 
 def runs(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By section: its first byte, and of each run the first and last window, the anchor's place, its hash, the bytes' hash."""
-    grams = WIDTH - GRAM + 1
     for first in range(0, len(data) - WIDTH + 1, SECTION):
-        part = data[first : first + SECTION + WIDTH - 1]
-        h = Hashes(part)
-        n = len(part) - GRAM + 1
-        at = np.arange(n)
-        gram = h(at, at + GRAM)
-        low = np.uint64((1 << 21) - 1)
-        key = np.full(-(-n // grams) * grams, np.iinfo(np.uint64).max, np.uint64)
-        key[:n] = (gram & ~low) | at.astype(np.uint64)
-        block = key.reshape(-1, grams)
-        ahead = np.minimum.accumulate(block, axis=1).ravel()
-        behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = len(part) - WIDTH + 1
-        m = (np.minimum(behind[:windows], ahead[grams - 1 : grams - 1 + windows]) & low).astype(np.int64)
-        edge = np.flatnonzero(np.diff(m)) + 1
-        a, b = np.concatenate([[0], edge]), np.concatenate([edge, [windows]]) - 1
-        place = m[a]
-        with np.errstate(over="ignore"):
-            whole = mix64(h(a, b + WIDTH) + (place - a).astype(np.uint64) * _GOLD)
-        yield first, a, b, place, gram[place], whole
+        yield first, *_anchors(data[first : first + SECTION + WIDTH - 1], WIDTH, GRAM)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word, and a hash of each word, however long the words."""
+    starts, ends = word_spans(data)
+    out, i = [np.zeros(0, np.uint64)], 0
+    while i < len(starts):
+        j = max(int(np.searchsorted(ends, starts[i] + SECTION, "right")), i + 1)
+        first, end = starts[i], ends[j - 1]
+        if end - first > SECTION:  # one word
+            out.append(np.array([xxhash.xxh64_intdigest(data[first:end].tobytes())], np.uint64))
+        else:
+            out.append(Hashes(data[first:end])(starts[i:j] - first, ends[i:j] - first))
+        i = j
+    return starts, np.concatenate(out)
 
 
 def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,12 +266,12 @@ def anchored(texts: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for h, g, text in zip(rows["h"].tolist(), rows["g"].tolist(), rows["text"]):
-                data = np.frombuffer(utf8(text), np.uint8)
-                for first, a, b, place, anchor, whole in runs(data):
-                    out.append(pd.DataFrame({"h": h, "g": g, "anchor": anchor.astype(np.int64), "whole": whole.astype(np.int64), "a": first + a, "b": first + b, "place": first + place}))
+            for i, text in enumerate(rows["text"]):
+                for first, a, b, place, anchor, whole in runs(np.frombuffer(utf8(text), np.uint8)):
+                    out.append((np.full(len(a), i), anchor.view(np.int64), whole.view(np.int64), first + a, first + b, first + place))
             if out:
-                yield pd.concat(out)
+                i, anchor, whole, a, b, place = (np.concatenate(x) for x in zip(*out))
+                yield pd.DataFrame({"h": rows["h"].to_numpy()[i], "g": rows["g"].to_numpy()[i], "anchor": anchor, "whole": whole, "a": a, "b": b, "place": place})
 
     return texts.select(*ID, "text").mapInPandas(cut, f"{_ID}, anchor long, whole long, a long, b long, place long")
 
@@ -352,9 +405,106 @@ def repeated(texts: DataFrame) -> DataFrame:
     return rows.join(found, ["anchor", "whole"]).select(*ID, (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
 
 
+def _blocks(rows: pd.DataFrame) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (h, text) of texts in blocks of SECTION bytes or one text: places of the rows, first word of each, hashes of all words, the text of each word."""
+    held, size = [], 0
+    texts = [utf8(t) for t in rows["text"]]
+    for i, t in enumerate(texts):
+        if len(t) >= 2 * WORDS - 1:
+            held.append(i)
+            size += len(t) + 1
+        if held and (size >= SECTION or i + 1 == len(texts)):
+            starts, words = word_hashes(np.frombuffer(b" ".join(texts[j] for j in held), np.uint8))
+            first = np.cumsum([0, *(len(texts[j]) + 1 for j in held[:-1])])
+            yield held, np.searchsorted(starts, first), words, np.searchsorted(first, starts, "right") - 1
+            held, size = [], 0
+
+
+def worded(texts: DataFrame) -> DataFrame:
+    """One row per run of windows of WORDS words of each (h, text): anchor, whole, and `at`, its first window, further windows and the anchor's offset."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            ids = rows["h"].to_numpy()
+            for held, base, words, own in _blocks(rows):
+                for first in range(0, len(words) - WORDS + 1, PIECE):
+                    a, b, place, anchor, whole = _anchors(words[first : first + PIECE + WORDS - 1], WORDS, PART, own[first : first + PIECE + WORDS - 1])
+                    mine = own[first + a]
+                    at = ((first + a - base[mine]) << 12) + ((b - a) << 6) + place - a
+                    yield pd.DataFrame({"h": ids[held][mine], "anchor": anchor.astype(np.int64), "whole": whole.astype(np.int64), "at": at})
+
+    return texts.select("h", "text").mapInPandas(cut, "h long, anchor long, whole long, at long")
+
+
+def windowed(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The windows of wanted runs (h, g, runs): h, core, first window and the windows' hashes, by ranges of NEAR offsets.
+
+    The core is a hash of the words that all windows of a range share.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            ids, found = rows["h"].to_numpy(), rows["runs"].tolist()
+            for held, base, words, own in _blocks(rows):
+                at = np.concatenate([found[j] for j in held]).astype(np.int64)
+                first = np.repeat(base, [len(found[j]) for j in held])
+                a, more, off = (at >> 12) + first, (at >> 6) & 63, at & 63
+                run = np.repeat(np.arange(len(at)), more + 1)
+                w = np.arange(len(run)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1) + a[run]
+                near = (a + off)[run] - w
+                near //= NEAR
+                edge = np.flatnonzero(np.concatenate([[True], (np.diff(run) != 0) | (np.diff(near) != 0)]))
+                start, q, place = w[edge], near[edge], (a + off)[run[edge]]
+                core, window = np.zeros(len(edge), np.uint64), np.zeros(len(w), np.uint64)
+                for piece in range(0, len(words), PIECE):  # each window and core in the piece where it starts
+                    h = Hashes(words[piece : piece + PIECE + WORDS])
+                    x, y = (np.flatnonzero((v >= piece) & (v < piece + PIECE)) for v in (w, place - q * NEAR))
+                    window[x] = h(w[x] - piece, w[x] - piece + WORDS)
+                    c = (place - q * NEAR)[y] - piece
+                    with np.errstate(over="ignore"):
+                        core[y] = mix64(h(c, c + WORDS - NEAR + 1) + q[y].astype(np.uint64) * _GOLD)
+                mine = own[start]
+                yield pd.DataFrame({"h": ids[held][mine], "core": core.astype(np.int64), "start": start - base[mine], "windows": np.split(window.astype(np.int64), edge[1:])})
+
+    return texts.join(wanted, [*ID]).select("h", "text", "runs").mapInPandas(cut, "h long, core long, start long, windows array<long>")
+
+
+def passages(texts: DataFrame) -> DataFrame:
+    """(h, g, windows): of the distinct texts (h, g, text) those that share WORDS words in a row with another, and stretches of such windows (first and last, in words).
+
+    Runs of one anchor and the same words in several texts are shared as they are. Of other runs with an anchor of
+    several texts the windows are compared, if the words common to a range of them are in several texts. Every step is a
+    count by a hash and a join with the written hashes that count, which Spark splits where one has many rows, so that no
+    group has to fit a task. Other texts are told by h alone.
+    """
+    several = F.min("h") != F.max("h")
+    rows = written(worded(texts))
+    anchors = written(rows.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor"))
+    some = written(rows.join(anchors, "anchor"))
+    run = F.struct("h", "at")
+    classes = written(some.groupBy("anchor", "whole").agg(several.alias("several"), F.min(run).alias("first"), F.max(run).alias("last")))
+    settled = some.join(classes.where("several").select("anchor", "whole"), ["anchor", "whole"]).select("h", "at")
+    # Runs that no other text has as a whole; they may share windows with each other and with two runs of each settled class.
+    alone = some.join(classes.where("not several").select("anchor", "whole"), ["anchor", "whole"]).select("h", "at")
+    mixed = written(classes.groupBy("anchor").agg(F.min("several").alias("all")).where("not all").select("anchor"))
+    members = classes.where("several").join(mixed, "anchor").select(F.explode(F.array("first", "last")).alias("r")).select("r.*")
+    ids = texts.select(*ID)
+    wanted = alone.union(members).join(ids, "h").groupBy(*ID).agg(F.collect_list("at").alias("runs"))
+    ranges = written(windowed(texts, wanted))
+    cores = written(ranges.groupBy("core").agg(several.alias("several")).where("several").select("core"))
+    windows = written(ranges.join(cores, "core").select("h", "start", F.posexplode("windows").alias("i", "window")).select("h", (F.col("start") + F.col("i")).alias("a"), "window"))
+    shared = written(windows.groupBy("window").agg(several.alias("several")).where("several").select("window"))
+    single = windows.join(shared, "window").select("h", "a", F.col("a").alias("b"))
+    first = F.shiftright("at", 12)
+    found = settled.select("h", first.alias("a"), (first + F.shiftright("at", 6).bitwiseAND(63)).alias("b")).union(single)
+    return found.groupBy("h").agg(F.collect_list(F.struct("a", "b")).alias("windows")).join(ids, "h").select(*ID, "windows")
+
+
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per distinct text of docs: h and g (see names()), text, copies, and spans, the bytes to remove as array<struct<start, end>> in order and apart, ends exclusive.
 
+    Also shared, the spans of words that stand WORDS or more in a row in another row of docs, as such an array in words.
+
     Null texts are empty; texts of fewer than WIDTH bytes hold no repeat. A text that docs holds more than once repeats
     itself as a whole. Very long texts are anchored in sections of SECTION bytes that overlap by a window. Rows and
     ids play no part, so null ids, ties, repeated rows and clashing column names are harmless. An empty table gives
@@ -371,14 +521,25 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append([{"start": a, "end": b} for a, b in found])
         return pd.Series(out)
 
+    @F.pandas_udf("array<struct<start: long, end: long>>")
+    def shared(copied: pd.Series, windows: pd.Series) -> pd.Series:
+        out = []
+        for t, w in zip(copied, windows):
+            n = len(word_spans(np.frombuffer(utf8(t), np.uint8))[0]) if t is not None else 0
+            found = [(0, n)] if n >= WORDS else removed(w, WORDS) if w is not None else []
+            out.append([{"start": a, "end": b} for a, b in found])
+        return pd.Series(out)
+
     size = F.octet_length(F.encode("text", "UTF-8"))
-    return texts.join(lists, [*ID], "left").withColumn("spans", spans(size, "copies", "windows")).drop("windows")
+    out = texts.join(lists, [*ID], "left").withColumn("spans", spans(size, "copies", "windows")).drop("windows")
+    told = written(passages(texts))
+    return out.join(told, [*ID], "left").withColumn("shared", shared(F.when(F.col("copies") > 1, F.col("text")), "windows")).drop("windows")
 
 
-def removed(windows) -> list[tuple[int, int]]:
-    """Maximal byte spans (end exclusive) covered by windows, given as (first, last) pairs."""
+def removed(windows, width: int = WIDTH) -> list[tuple[int, int]]:
+    """Maximal spans (end exclusive) covered by windows of `width` bytes or words, given as (first, last) pairs."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((w["a"], w["b"] + WIDTH) for w in windows):
+    for a, b in sorted((w["a"], w["b"] + width) for w in windows):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -397,16 +558,16 @@ def keep(data: bytes, spans) -> bytes:
 
 
 def query(spark, sf_dir):
-    """op7: whole `documents`."""
+    """op7: whole `documents`; n_shared_words counts the words that stand WORDS or more in a row in another document too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def report(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long")
+    def report(texts: pd.Series, spans: pd.Series, shared: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, found in zip(texts, spans):
+        for t, found, words in zip(texts, spans, shared):
             data = utf8(t)
-            rows.append((len(data), sum(s["end"] - s["start"] for s in found), len(found), hashlib.sha256(keep(data, found)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((len(data), sum(s["end"] - s["start"] for s in found), len(found), hashlib.sha256(keep(data, found)).hexdigest(), sum(s["end"] - s["start"] for s in words)))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"])
 
-    r = dedup(docs).select(*ID, report("text", "spans").alias("r"))
+    r = dedup(docs).select(*ID, report("text", "spans", "shared").alias("r"))
     return docs.select("doc_id", *names()).join(r, [*ID]).select("doc_id", "r.*")

@@ -81,3 +81,55 @@ def test_frames(spark):
     got = {r.text: (r.copies, [tuple(s) for s in r.spans]) for r in suffix_dedup.dedup(df).collect()}
     assert got == {"": (2, []), t: (2, [(0, 500)]), "short": (2, []), t + "more": (1, [(0, 500)])}
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
+
+
+def words_by_hand(texts, width):
+    """Words of each text in windows of `width` words that another row holds too."""
+    words = [(t or "").encode().split() for t in texts]
+    rows = {}
+    for i, w in enumerate(words):
+        for a in range(len(w) - width + 1):
+            rows.setdefault(tuple(w[a : a + width]), set()).add(i)
+    return [len({a + j for a in range(len(w) - width + 1) if len(rows[tuple(w[a : a + width])]) > 1 for j in range(width)}) for w in words]
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(n))
+
+
+def told(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    rows = suffix_dedup.query(spark, str(folder)).collect()
+    got = {r.doc_id: (r.n_shared_words, r.n_removed) for r in rows}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_passages_below_the_width(spark, tmp_path):
+    """Passages of 49 to 80 words and under 400 bytes: they stay, and are told where other texts hold 50 words of them."""
+    rng = random.Random(5)
+    short = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 4))) for _ in range(n)) for n in (49, 50, 51, 80)]
+    assert all(len(p) < W for p in short)
+    texts = [f"{prose(rng, 60)} {p} {prose(rng, 70)}" for p in short for _ in range(3)]
+    texts += [prose(rng, 300), f"{short[3]}\n{prose(rng, 5)}\t{short[3]}", short[2].replace(" ", "\n\t"), prose(rng, 60)]
+    twice = prose(rng, 55)
+    texts += [f"{twice} {prose(rng, 9)} {twice}", "w " * 400, "w " * 90 + "end", None, "", prose(rng, 49)]
+    texts += [texts[-1], texts[12], " ".join(short[1].split()[:30] + short[0].split()[:30])]
+    got = told(spark, tmp_path, texts)
+    assert [n for n, _ in got] == words_by_hand(texts, suffix_dedup.WORDS)
+    assert [n for n, _ in got][:12] == [0] * 3 + [50] * 3 + [51] * 3 + [80] * 3
+    assert [gone for _, gone in got][:12] == [0] * 12
+
+
+def test_passages_over_pieces_and_blocks(spark, tmp_path, monkeypatch):
+    """Texts longer than a piece and than a section, a word longer than a section, and many cuts of one passage."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 100)
+    rng = random.Random(6)
+    passage = prose(rng, 150).split()
+    texts = [f"{prose(rng, 20)} {' '.join(passage[rng.randint(0, 60) : 150 - rng.randint(0, 60)])} {prose(rng, 20)}" for _ in range(40)]
+    wide = "x" * (suffix_dedup.SECTION + 9)
+    texts += [f"{prose(rng, 30)} {wide} {prose(rng, 40)}", f"{prose(rng, 200)} {' '.join(passage[:70])} {prose(rng, 300)}"]
+    texts.append(texts[40][:-1] + "!")
+    assert [n for n, _ in told(spark, tmp_path / "small", texts)] == words_by_hand(texts, suffix_dedup.WORDS)
+    long = prose(rng, suffix_dedup.SECTION // 4)
+    assert len(long) > suffix_dedup.SECTION
+    assert [n for n, _ in told(spark, tmp_path / "long", [long + " " + " ".join(passage[:60]), " ".join(passage), "a b c"])] == [60, 60, 0]
