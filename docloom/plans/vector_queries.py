@@ -86,8 +86,8 @@ def stitch(spark, sf_dir):
 
 @query("vec_hash_embed", "select doc_id, case when trim(text) = '' then 0.0 else 1.0 end::double as norm from documents")
 def hash_embed(spark, sf_dir):
-    """Norms of hashed unit vectors of documents."""
-    v = vectors.embed(F.col("text"), 64)
+    """Norms of hashed unit vectors of documents; no text but one of spaces has a zero vector."""
+    v = vectors.embed(F.col("text"), 64, directed=True)
     return table(spark, sf_dir, "documents").select("doc_id", F.round(vectors.norm(v), 4).alias("norm"))
 
 

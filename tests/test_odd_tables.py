@@ -26,3 +26,11 @@ def same(spark, tmp_path):
 
 def test_prompt_whose_text_says_leave(same):
     same("sec_prompt", documents="select * from (values (1::bigint, 'they leave early', 'a'), (2, 'x', 'b'), (3, 'Leave', 'c')) t(doc_id, text, source)")
+
+
+#: Words that cancel in 64 and in 16 places, white space of several kinds.
+_BLANKS = "select * from (values (1::bigint, 'aab aca', 'a'), (2, 'aaa acd', 'a'), (3, chr(9) || chr(10), 'b'), (4, '  ', 'b'), (5, chr(160) || ' ', 'b'), (6, '', 'c'), (7, 'one word', 'c')) t(doc_id, text, source)"
+
+
+def test_hashed_words_that_cancel_leave_a_vector(same):
+    same("vec_hash_embed", documents=_BLANKS)
