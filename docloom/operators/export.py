@@ -232,7 +232,7 @@ def export(sections: DataFrame, names: DataFrame, nodes: DataFrame | None = None
     p = p.join(h, "doc_id", "left")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_no", "ord", "part_num"))
     n_parts = F.max("part_num").over(Window.partitionBy("doc_id", "sec_no", "ord"))
-    stem = F.concat(F.lpad(number.cast("string"), 4, "0"), F.lit("_"), F.col("base"))
+    stem = F.concat(rag.padded(number, 4), F.lit("_"), F.col("base"))
     body = F.when(n_parts > 1, F.col("part")).otherwise(F.col("body"))
     text = F.concat(rag.metadata_header(F.coalesce("header", F.lit("")), F.col("section_heading"), F.col("path")), F.lit("\n\n"), body)
     p = p.withColumn("file_name", rag.part_name(stem, F.col("part_num"), n_parts)).withColumn("text", normalize_indented(text, True))

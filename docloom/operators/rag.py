@@ -122,8 +122,14 @@ def hierarchy(entries: DataFrame, doc: str, order: str, level: str, title: str,
     return e.drop("__level", "__parent", "__number", "__last", "__open")
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number with zeros before it up to a width; longer ones stay whole, which lpad would cut."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def number_path(numbers: Column) -> Column:
-    return F.array_join(F.transform(numbers, lambda x: F.lpad(F.greatest(x, F.lit(0)).cast("string"), 2, "0")), "_")
+    return F.array_join(F.transform(numbers, lambda x: padded(F.greatest(x, F.lit(0)), 2)), "_")
 
 
 def title_path(titles: Column) -> Column:
@@ -202,7 +208,7 @@ def split(docs: DataFrame, key: str, segs: str) -> DataFrame:
 
 def part_name(stem: Column, part: Column, parts: Column, suffix: str = ".txt") -> Column:
     """The file name of a part; a body in one part keeps its plain name."""
-    return F.when(parts > 1, F.concat(stem, F.lit("~p"), F.lpad(part.cast("string"), 2, "0"), F.lit(suffix))).otherwise(F.concat(stem, F.lit(suffix)))
+    return F.when(parts > 1, F.concat(stem, F.lit("~p"), padded(part, 2), F.lit(suffix))).otherwise(F.concat(stem, F.lit(suffix)))
 
 
 def unique_names(rows: DataFrame, scope: list[str], order: list[str], base: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from docloom.operators import rag
 from test_queries import rows
 
 
@@ -38,3 +40,9 @@ def test_hashed_words_that_cancel_leave_a_vector(same):
 
 def test_ingested_words_that_cancel_leave_a_vector(same):
     same("vec_ingest_table", documents=f"{_BLANKS} union all select 8, null, 'd'")
+
+
+def test_numbers_of_more_than_two_and_four_digits_stay_whole(spark, same):
+    same("rag_export_instructions", nation="select 7::int as n_nationkey, 'N' as n_name", customer="select i::bigint as c_custkey, 7::int as c_nationkey, 'c' || i as c_name, 'm' || i as c_mktsegment from range(1, 121) r(i)")
+    numbers = spark.range(1).select(*(rag.padded(F.lit(x), 4).alias(str(x)) for x in (7, 1234, 12345, 123456))).first()
+    assert list(numbers) == ["0007", "1234", "12345", "123456"]
