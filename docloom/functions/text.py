@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,10 @@ def is_grid_line(line: Column) -> Column:
     return F.regexp_replace(line, r"(?U)\s+$", "").rlike(r"^(?:\+.*\+|\|.*\|)$")
 
 
+#: White space but spaces and line feeds.
+_OTHER_SPACE = "[\\t\\x0B\\f\\r\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+
+
 def normalize_indented(x: Column, keep_tables: bool = False) -> Column:
     """Like normalize, but each line keeps its leading spaces and tabs; drawn tables keep their inner spacing if asked."""
 
@@ -58,7 +64,10 @@ def normalize_indented(x: Column, keep_tables: bool = False) -> Column:
         return F.when(is_grid_line(line), F.regexp_replace(line, r"(?U)\s+$", "")).otherwise(plain) if keep_tables else plain
 
     lines = F.array_join(F.transform(F.split(_line_ends(x), "\n"), clean), "\n")
-    return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    full = F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    # Most texts have nothing to clean, which a few searches tell.
+    found = [F.contains(x, F.lit(y)) for y in ("  ", " \n", "\n\n\n")] + [x.startswith("\n"), x.endswith("\n"), x.endswith(" "), x.rlike(_OTHER_SPACE)]
+    return F.when(~functools.reduce(lambda a, b: a | b, found), x).otherwise(full)
 
 
 def word_count(x: Column) -> Column:

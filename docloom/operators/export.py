@@ -41,55 +41,50 @@ def _without_type(m: Column) -> Column:
 
 
 def _level(m: Column, default: Column) -> Column:
-    return F.greatest(F.coalesce(F.try_element_at(m, F.lit("level")).try_cast("int"), default), F.lit(1))
+    level = F.try_element_at(m, F.lit("level"))
+    number = F.when(level.rlike(r"^[^\pL]*[0-9][^\pL]*$"), level.try_cast("int"))  # a cast that fails is slow
+    return F.greatest(F.coalesce(number, default), F.lit(1))
 
 
-def _workflow(json: Column) -> Column:
-    """Headers, steps with a value for each column (by name, else by place), and content; other types are left out."""
-    maps = F.transform(_array(F.get_json_object(json, "$.entries")), lambda e: _map(e))
-    kind = lambda m: F.try_element_at(m, F.lit("type"))
+def _workflow_columns(json: Column, listed: Column) -> Column:
+    """A workflow's declared columns, else the keys of its first step with two or more."""
     declared = F.filter(F.transform(_array(F.get_json_object(json, "$.columns")), lambda c: strip_markup(c)), lambda c: c != "")
-    keys = F.filter(F.transform(F.filter(maps, lambda m: kind(m) == "step"), lambda m: F.map_keys(_without_type(m))), lambda k: F.size(k) >= 2)
-    columns = F.when(F.size(declared) >= 2, declared).otherwise(F.coalesce(F.try_element_at(keys, F.lit(1)), F.array(F.lit("Step"), F.lit("Owner"))))
-    levels = F.create_map(*(x for k, v in WORKFLOW_LEVELS.items() for x in (F.lit(k), F.lit(v))))
-
-    def entry(m: Column) -> Column:
-        default = F.try_element_at(levels, kind(m))
-        value = lambda c, i: F.coalesce(F.try_element_at(m, c), F.try_element_at(F.map_values(_without_type(m)), i + 1))
-        step = _entry(None, None, "workflow_step", F.transform(columns, lambda c, i: _leaf(c, value(c, i))))
-        content = _entry(None, None, "workflow_content", F.array(_leaf(F.lit("Content"), F.try_element_at(m, F.lit("value")))))
-        header = _entry(_level(m, default), F.try_element_at(m, F.lit("heading")), "header", None)
-        return F.when(default.isNotNull(), header).when(kind(m) == "step", step).when(kind(m) == "content", content)
-
-    return F.filter(F.transform(maps, entry), lambda e: e.isNotNull())
-
-
-def _instructions(json: Column) -> Column:
-    """Subsections as headers and every value of an entry as an item under its heading."""
-
-    def entry(text: Column) -> Column:
-        m = F.when(F.ltrim(text).startswith("{"), _map(text))
-        get = lambda k: F.try_element_at(m, F.lit(k))
-        kind = F.coalesce(get("type"), F.lit("content"))
-        heading = F.coalesce(get("heading"), F.lit(""))
-        label = F.when(heading != "", heading).when(~kind.isin("content", "subsection"), kind).otherwise("Instruction")
-        own = F.array_compact(F.concat(F.array(get("value")), F.coalesce(_array(get("values")), F.array().cast("array<string>"))))
-        rest = F.transform(F.map_entries(_without_type(m)), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-        has = F.map_contains_key(m, "value") | F.map_contains_key(m, "values")
-        values = F.when(m.isNull(), F.array(text)).when(has, own).otherwise(F.array(F.array_join(rest, "\n")))
-        items = F.transform(values, lambda v: _entry(None, None, "general_instruction", F.array(_leaf(label, v))))
-        header = F.array(_entry(_level(m, F.lit(1)), heading, "header", None))
-        return F.when(kind == "subsection", F.concat(header, items)).otherwise(items)
-
-    return F.flatten(F.transform(_array(F.get_json_object(json, "$.entries")), entry))
-
-
-def _content(json: Column) -> Column:
+    steps = F.filter(F.transform(listed, lambda e: _map(e)), lambda m: F.try_element_at(m, F.lit("type")) == "step")
+    keys = F.filter(F.transform(steps, lambda m: F.map_keys(_without_type(m))), lambda k: F.size(k) >= 2)
+    own = F.coalesce(F.try_element_at(keys, F.lit(1)), F.array(F.lit("Step"), F.lit("Owner")))
+    return F.transform(F.array(declared), lambda d: F.when(F.size(d) >= 2, d).otherwise(own))[0]
+
+
+def _workflow(m: Column, columns: Column) -> Column:
+    """A header, a step with a value for each column (by name, else by place), or content; other types are left out."""
+    kind, values = F.try_element_at(m, F.lit("type")), F.map_values(_without_type(m))
+    default = F.try_element_at(F.create_map(*(x for k, v in WORKFLOW_LEVELS.items() for x in (F.lit(k), F.lit(v)))), kind)
+    step = _entry(None, None, "workflow_step", F.transform(columns, lambda c, i: _leaf(c, F.coalesce(F.try_element_at(m, c), F.try_element_at(values, i + 1)))))
+    content = _entry(None, None, "workflow_content", F.array(_leaf(F.lit("Content"), F.try_element_at(m, F.lit("value")))))
+    header = _entry(_level(m, default), F.try_element_at(m, F.lit("heading")), "header", None)
+    found = F.when(default.isNotNull(), header).when(kind == "step", step).when(kind == "content", content)
+    return F.array_compact(F.array(found))
+
+
+def _instructions(m: Column, text: Column) -> Column:
+    """A subsection as a header, and every value of an entry as an item under its heading."""
+    get = lambda k: F.try_element_at(m, F.lit(k))
+    kind = F.coalesce(get("type"), F.lit("content"))
+    heading = F.coalesce(get("heading"), F.lit(""))
+    label = F.when(heading != "", heading).when(~kind.isin("content", "subsection"), kind).otherwise("Instruction")
+    own = F.array_compact(F.concat(F.array(get("value")), F.coalesce(_array(get("values")), F.array().cast("array<string>"))))
+    rest = F.transform(F.map_entries(_without_type(m)), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    has = F.map_contains_key(m, "value") | F.map_contains_key(m, "values")
+    values = F.when(m.isNull(), F.array(text)).when(has, own).otherwise(F.array(F.array_join(rest, "\n")))
+    items = F.transform(values, lambda v: _entry(None, None, "general_instruction", F.array(_leaf(label, v))))
+    header = F.array(_entry(_level(m, F.lit(1)), heading, "header", None))
+    return F.when(kind == "subsection", F.concat(header, items)).otherwise(items)
+
+
+def _content(m: Column, json: Column, columns: Column) -> Column:
     """One item: content, rows (numbered), and what else the section holds."""
-    m = F.when(F.ltrim(json).startswith("{"), _map(json))
     get = lambda k: F.try_element_at(m, F.lit(k))
     none = F.array().cast(_LEAF)
-    columns = F.coalesce(F.transform(_array(get("columns")), lambda c: strip_markup(c)), F.array().cast("array<string>"))
     name = lambda i: F.coalesce(F.try_element_at(columns, i + 1), F.concat(F.lit("Column "), (i + 1).cast("string")))
 
     def row(text: Column, n: Column) -> Column:
@@ -109,19 +104,28 @@ def entries(sections: DataFrame, include: tuple[str, ...] | None = None) -> Data
     """(doc_id, sec_no, section_id, section_heading, prefix, ord, level, title, chunk_type, leaves) of resolved sections.
 
     sections: doc_id, sec_no, section_id, section_english, status, section_json (text). The document's header, sections
-    that were not found and, if `include` is given, all others are left out.
+    that were not found and, if `include` is given, all others are left out. A section's JSON is read once, and each of its entries
+    once, in a row of its own; ord grows with the entry and with the place in it.
     """
     json = F.col("section_json")
     s = sections.where((F.col("status") == "resolved") & (F.col("section_id") != HEADER) & (F.coalesce(F.get_json_object(json, "$.status"), F.lit("")) != "not_found"))
     if include is not None:
         s = s.where(F.col("section_id").isin(*include))
-    has = _array(F.get_json_object(json, "$.entries")).isNotNull()
-    found = F.when(F.col("section_id").isin(*WORKFLOWS) & has, _workflow(json)).when(F.col("section_id").isin(*INSTRUCTIONS) & has, _instructions(json)).otherwise(_content(json))
     prefix = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in FILE_PREFIXES.items() for x in kv)), F.col("section_id")), slug(F.col("section_english")))
     heading = F.coalesce(F.nullif(strip_markup(F.get_json_object(json, "$.section_heading")), F.lit("")), F.col("section_english"))
-    return s.select("doc_id", "sec_no", "section_id", heading.alias("section_heading"), prefix.alias("prefix"), F.posexplode(found.cast(f"array<{_ENTRY}>")).alias("ord", "e")).select(
-        "doc_id", "sec_no", "section_id", "section_heading", "prefix", "ord", "e.*"
-    )
+    listed = F.when(F.col("section_id").isin(*WORKFLOWS, *INSTRUCTIONS), _array(F.get_json_object(json, "$.entries")))
+    s = s.select("doc_id", "sec_no", "section_id", heading.alias("section_heading"), prefix.alias("prefix"), json.alias("json"), listed.alias("listed"))
+    kind = F.when(F.col("listed").isNull(), "content").when(F.col("section_id").isin(*WORKFLOWS), "workflow").otherwise("instructions")
+    s = s.withColumn("kind", kind).withColumn("columns", F.when(F.col("kind") == "workflow", _workflow_columns(F.col("json"), F.col("listed"))))
+    # Outer, as Spark would look into what it explodes a second time, for a filter; what is empty goes afterwards.
+    e = s.select("doc_id", "sec_no", "section_id", "section_heading", "prefix", "kind", "columns", F.posexplode_outer(F.coalesce("listed", F.array("json"))).alias("at", "text")).where("at is not null")
+    m, text, columns = F.col("m"), F.col("text"), F.col("columns")
+    e = e.withColumn("m", F.when(F.ltrim(text).startswith("{"), _map(text)))
+    declared = F.coalesce(F.transform(_array(F.try_element_at(m, F.lit("columns"))), lambda c: strip_markup(c)), F.array().cast("array<string>"))
+    e = e.withColumn("columns", F.when(F.col("kind") == "content", declared).otherwise(columns))
+    found = F.when(F.col("kind") == "workflow", _workflow(m, columns)).when(F.col("kind") == "instructions", _instructions(m, text)).otherwise(_content(m, text, columns))
+    e = e.select("doc_id", "sec_no", "section_id", "section_heading", "prefix", "at", F.posexplode_outer(found.cast(f"array<{_ENTRY}>")).alias("part", "e")).where("part is not null")
+    return e.select("doc_id", "sec_no", "section_id", "section_heading", "prefix", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("part")).alias("ord"), "e.*")
 
 
 def resolve_leaves(found: DataFrame, nodes: DataFrame | None) -> DataFrame:
@@ -190,18 +194,21 @@ def table_texts(cells: DataFrame) -> DataFrame:
     return cells.select("doc_id", "table_id").distinct().withColumn("text", F.lit("")) if drawn is None else drawn
 
 
-def _body(leaves: Column) -> Column:
-    """Blocks of leaves with text: rows together as `Rows`, each as its number and lines of label and value."""
-    full = F.filter(leaves, lambda x: F.trim(F.coalesce(x["value"], F.lit(""))) != "")
-    plain = F.transform(F.filter(full, lambda x: x["row"].isNull()), lambda x: F.struct(collapse(x["label"]).alias("label"), normalize_indented(x["value"], True).alias("value")))
-    numbers = F.array_distinct(F.transform(F.filter(full, lambda x: x["row"].isNotNull()), lambda x: x["row"]))
+def with_body(found: DataFrame) -> DataFrame:
+    """found with `body` for its leaves: blocks of those with text, rows together as `Rows`, each as its number and lines of label and value."""
+    full = F.filter("leaves", lambda x: F.trim(F.coalesce(x["value"], F.lit(""))) != "")
+    f = found.withColumn("__full", full).drop("leaves")
+    plain = F.transform(F.filter("__full", lambda x: x["row"].isNull()), lambda x: F.struct(collapse(x["label"]).alias("label"), normalize_indented(x["value"], True).alias("value")))
+    f = f.withColumn("__rows", F.filter("__full", lambda x: x["row"].isNotNull())).withColumn("__plain", plain)
+    # Leaves of a row stand together: one goes on a line of its own, the first of a row after the row's number.
+    begins = lambda x, i: (i == 0) | (F.get("__rows", i - 1)["row"] != x["row"])
+    head = lambda x, i: F.when(begins(x, i), F.concat(F.when(i == 0, "").otherwise("\n\n"), F.lit("Row "), x["row"].cast("string"), F.lit(":\n"))).otherwise("\n")
     line = lambda x: F.when(x["label"] != "", F.concat(x["label"], F.lit(": "), x["value"])).otherwise(x["value"])
-    one = lambda n: F.concat(F.lit("Row "), n.cast("string"), F.lit(":\n"), F.array_join(F.transform(F.filter(full, lambda x: x["row"] == n), line), "\n"))
-    rows = F.array_join(F.transform(numbers, one), "\n\n")
-    first = F.filter(plain, lambda b: b["label"] == "Content")
-    rest = F.filter(plain, lambda b: b["label"] != "Content")
-    block = F.when(F.size(numbers) > 0, F.array(F.struct(F.lit("Rows").alias("label"), rows.alias("value")))).otherwise(F.array().cast("array<struct<label: string, value: string>>"))
-    return rag.content_body(F.concat(first, block, rest))
+    rows = F.array_join(F.transform("__rows", lambda x, i: F.concat(head(x, i), line(x))), "")
+    first = F.filter("__plain", lambda b: b["label"] == "Content")
+    rest = F.filter("__plain", lambda b: b["label"] != "Content")
+    block = F.when(F.size("__rows") > 0, F.array(F.struct(F.lit("Rows").alias("label"), rows.alias("value")))).otherwise(F.array().cast("array<struct<label: string, value: string>>"))
+    return f.withColumn("__blocks", F.concat(first, block, rest)).withColumn("body", rag.content_body(F.col("__blocks"))).drop("__full", "__rows", "__plain", "__blocks")
 
 
 def document_header(sections: DataFrame) -> DataFrame:
@@ -219,15 +226,18 @@ def export(sections: DataFrame, names: DataFrame, nodes: DataFrame | None = None
     names: doc_id, document_name (stands in for a missing header, without its run suffix). Items without text do not
     count. Files are numbered per document in order of section, entry and part.
     """
-    found = resolve_leaves(entries(sections, include), nodes).withColumn("body", _body(F.col("leaves")))
-    found = found.where(F.col("level").isNotNull() | (F.col("body") != "")).withColumn("__scope", F.concat_ws("|", "doc_id", "sec_no"))
-    placed = rag.hierarchy(found, "__scope", "ord", "level", "title").where("level is null")
+    found = entries(sections, include)
+    found = with_body(found if nodes is None else resolve_leaves(stored(found), nodes))
+    found = stored(found).where(F.col("level").isNotNull() | (F.col("body") != ""))  # read twice; a filter before it would make each body twice
+    placed = rag.hierarchy(found.withColumn("__scope", F.struct("doc_id", "sec_no")), "__scope", "ord", "level", "title").where("level is null")
     single = F.col("chunk_type") == "section_content"
     base = F.concat(F.col("prefix"), F.when(single, "").otherwise(F.concat(F.lit("_"), rag.number_path(F.col("numbers")))))
     titles = F.concat(F.array("section_heading"), F.transform("titles", lambda t: strip_markup(t)))
-    placed = placed.withColumn("base", base).withColumn("path", rag.title_path(titles)).withColumn("segments", rag.segments(F.col("body"))).withColumn("key", F.struct("doc_id", "sec_no", "ord"))
-    parts = rag.split(placed, "key", "segments").select("key", "part_num", F.col("text").alias("part"))
-    p = placed.drop("segments").join(parts, "key")
+    own = F.struct("doc_id", "sec_no", "ord", "section_id", "section_heading", "chunk_type", "body", base.alias("base"), rag.title_path(titles).alias("path"))
+    # A body of so few characters has no more words than one part may have.
+    whole = F.length("body") <= 2 * rag.TRIGGER
+    parts = rag.split(placed.select(own.alias("own"), F.when(whole, F.array("body")).otherwise(rag.segments(F.col("body"))).alias("segments")), "own", "segments")
+    p = parts.select("own.*", "part_num", F.col("text").alias("part"))
     h = names.join(document_header(sections), "doc_id", "left").select("doc_id", F.coalesce(F.nullif("document_header", F.lit("")), strip_run_suffix(F.col("document_name"))).alias("header"))
     p = p.join(h, "doc_id", "left")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_no", "ord", "part_num"))
@@ -235,7 +245,7 @@ def export(sections: DataFrame, names: DataFrame, nodes: DataFrame | None = None
     stem = F.concat(rag.padded(number, 4), F.lit("_"), F.col("base"))
     body = F.when(n_parts > 1, F.col("part")).otherwise(F.col("body"))
     text = F.concat(rag.metadata_header(F.coalesce("header", F.lit("")), F.col("section_heading"), F.col("path")), F.lit("\n\n"), body)
-    p = p.withColumn("file_name", rag.part_name(stem, F.col("part_num"), n_parts)).withColumn("text", normalize_indented(text, True))
+    p = p.withColumn("file_name", rag.part_name(stem, F.col("part_num"), n_parts)).withColumn("text", text).withColumn("text", normalize_indented(F.col("text"), True))
     return p.select(
         "doc_id", "file_name", F.regexp_replace("file_name", r"\.txt$", "").alias("chunk_id"), "section_id", "chunk_type", F.col("path").alias("hierarchy_path"), "text",
         F.length("text").cast("long").alias("content_character_count"),

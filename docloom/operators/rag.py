@@ -203,7 +203,7 @@ def split(docs: DataFrame, key: str, segs: str) -> DataFrame:
     size = F.col("end") - F.col("begin") + 1
     part = F.slice(segs, F.col("begin") + 1, size)
     words = F.aggregate(F.slice("__words", F.col("begin") + 1, size), F.lit(0), lambda a, b: a + b)
-    return d.where(F.size(segs) > 0).select(key, (F.col("k") + 1).alias("part_num"), words.alias("n_words"), F.array_join(part, "\n\n").alias("text"))
+    return d.where("end >= 0").select(key, (F.col("k") + 1).alias("part_num"), words.alias("n_words"), F.array_join(part, "\n\n").alias("text"))
 
 
 def part_name(stem: Column, part: Column, parts: Column, suffix: str = ".txt") -> Column:

@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables of odd rows."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +48,22 @@ def test_numbers_of_more_than_two_and_four_digits_stay_whole(spark, same):
     same("rag_export_instructions", nation="select 7::int as n_nationkey, 'N' as n_name", customer="select i::bigint as c_custkey, 7::int as c_nationkey, 'c' || i as c_name, 'm' || i as c_mktsegment from range(1, 121) r(i)")
     numbers = spark.range(1).select(*(rag.padded(F.lit(x), 4).alias(str(x)) for x in (7, 1234, 12345, 123456))).first()
     assert list(numbers) == ["0007", "1234", "12345", "123456"]
+
+
+def exported(spark, section, english, text):
+    """Seconds and (file_name, text) of one document of one section."""
+    import time
+
+    from docloom.operators import export
+
+    start = time.perf_counter()
+    df = spark.createDataFrame([("d", 1, section, english, "resolved", text)], "doc_id string, sec_no int, section_id string, section_english string, status string, section_json string")
+    out = export.export(df, spark.createDataFrame([("d", "Name")], "doc_id string, document_name string")).orderBy("file_name").select("file_name", "text").collect()
+    return time.perf_counter() - start, [tuple(r) for r in out]
+
+
+def test_time_of_a_workflow_grows_with_its_entries(spark):
+    entries = [{"type": "group_header", "heading": "H", "level": "deep"}] + [{"type": "step", "Do": f"do {i}", "Who": "me"} for i in range(6000)]
+    seconds, out = exported(spark, "SEC12", "Procedures", json.dumps({"entries": entries, "columns": ["<u>Do</u>", "Who"]}))
+    assert len(out) == 6000 and out[1234][0].startswith("1235_procedure_01_1235") and out[1234][1].endswith("Do:\ndo 1234\n\nWho:\nme")
+    assert seconds < 120
