@@ -67,3 +67,11 @@ def test_time_of_a_workflow_grows_with_its_entries(spark):
     seconds, out = exported(spark, "SEC12", "Procedures", json.dumps({"entries": entries, "columns": ["<u>Do</u>", "Who"]}))
     assert len(out) == 6000 and out[1234][0].startswith("1235_procedure_01_1235") and out[1234][1].endswith("Do:\ndo 1234\n\nWho:\nme")
     assert seconds < 120
+
+
+def test_time_of_a_content_grows_with_its_rows(spark):
+    rows = [[f"a{i}", f"b{i}"] for i in range(6000)]
+    seconds, out = exported(spark, "SEC07", "Purpose", json.dumps({"content": "c", "columns": ["A", "B"], "rows": rows}))
+    text = "\n\n".join(t.split("--- END RAG METADATA ---\n\n")[1] for _, t in out)
+    assert text == "Content:\nc\n\nRows:\n" + "\n\n".join(f"Row {i + 1}:\nA: a{i}\nB: b{i}" for i in range(6000))
+    assert seconds < 120
