@@ -75,3 +75,10 @@ def test_time_of_a_content_grows_with_its_rows(spark):
     text = "\n\n".join(t.split("--- END RAG METADATA ---\n\n")[1] for _, t in out)
     assert text == "Content:\nc\n\nRows:\n" + "\n\n".join(f"Row {i + 1}:\nA: a{i}\nB: b{i}" for i in range(6000))
     assert seconds < 120
+
+
+def test_time_of_instructions_grows_with_their_number(spark):
+    entries = [{"type": "subsection", "level": "1", "heading": f"h{i}", "values": [f"v{i}", f"w{i}"]} for i in range(6000)]
+    seconds, out = exported(spark, "SEC11", "General Instructions", json.dumps({"entries": entries}))
+    assert len(out) == 12000 and max(out)[1].endswith("h4999:\nv4999") and ("12000_general_instruction_6000_02.txt" in dict(out))
+    assert seconds < 120
