@@ -109,3 +109,29 @@ def test_a_model_is_loaded_once_in_each_worker(spark):
             assert all(n <= (1 if settings == 3 else 2) for n in loads.values())
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_files_are_named_and_moved_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store.Writer, "commit", lambda *_: pytest.fail("the driver names no files"))
+    n, path = 3000, str(tmp_path / "s")
+    store.save(spark.range(n).selectExpr("'a' as doc_id", "'x.txt' as file_name", "cast(id as string) as content").union(spark.range(1).selectExpr("'b'", "'_.y'", "'z'")), path)
+    found = store.load(spark, path).collect()
+    assert sorted(r["file_name"] for r in found if r["doc_id"] == "a") == sorted(["x.txt", *(f"x_{k}.txt" for k in range(2, n + 1))])
+    assert {bytes(r["content"]) for r in found if r["doc_id"] == "a"} == {str(k).encode() for k in range(n)}
+    assert [(r["file_name"], bytes(r["content"])) for r in found if r["doc_id"] == "b"] == [("_.y", b"z")]
+
+
+def test_a_name_that_many_files_want_is_found_at_once():
+    from docloom.sources.ole import free_name
+
+    class Taken(set):
+        looks = 0
+
+        def __contains__(self, x):
+            self.looks += 1
+            return super().__contains__(x)
+
+    taken, tried = Taken({"x_3.txt"}), {}
+    for k in range(2000):
+        taken.add(free_name("x.txt", taken, tried))
+    assert len(taken) == 2001 and {"x.txt", "x_2.txt", "x_2001.txt"} <= taken and taken.looks < 5000
