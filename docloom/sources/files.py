@@ -10,9 +10,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import store
+
 #: The two layouts of a vector table, by the columns that tell them.
 SCHEMAS = {"document": ("document_id", "document_name", "chunk_id", "file_name", "section_id", "chunk_type", "hierarchy_path", "text"), "source": ("source", "chunk_file", "section_id", "chunk_type", "hierarchy_path", "document")}
 
@@ -43,10 +46,17 @@ def content_types(parts: DataFrame, overrides: DataFrame, defaults: DataFrame) -
 
 
 def text_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, file_name, chunk_index, content): the chunk files of each document in string order, nested ones left out."""
-    t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    """(doc_id, file_name, chunk_index, content): the chunk files of each document in string order, nested ones left out.
+
+    Tasks list the folders below root and read the files. Where only Spark reads root, it lists them on the driver.
+    """
     doc, name = _names(F.col("path"))
-    t = t.select(doc.alias("doc_id"), name.alias("file_name"), F.decode("content", "UTF-8").alias("content")).where(~F.contains("file_name", F.lit("_nested_")))
+    wanted = name.endswith(".txt") & ~F.contains(name, F.lit("_nested_"))
+    try:
+        t = store.contents(store.listed(spark, root).where(wanted), root)
+    except pa.ArrowInvalid:
+        t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root).where(wanted)
+    t = t.select(doc.alias("doc_id"), name.alias("file_name"), F.decode("content", "UTF-8").alias("content"))
     return t.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("file_name")) - 1)
 
 

@@ -313,3 +313,16 @@ def test_files_to_retrieval_chunks(spark, tmp_path):
     rows = out["chunks"].orderBy("file_name").collect()
     assert [(r.file_name, r.hierarchy_path) for r in rows] == [("0001_purpose.txt", "Purpose"), ("0002_procedure_01_01.txt", "Procedures / Workflow Steps > Part A"), ("0003_procedure_01_02.txt", "Procedures / Workflow Steps > Part A")]
     assert rows[1].text.endswith("Step:\nopen file\n\nOwner:\nclerk") and "Document: Policy\n" in rows[1].text
+
+
+def test_chunk_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from docloom.sources import files
+
+    for name, text in {"a/0001_text.txt": "x", "a/b/0000_table.txt": "y", "a/0002_nested_1.txt": "n", "a/_c/0003.txt": "hidden", ".d/0.txt": "hidden", "e/0.json": "{}", "top.txt": "é"}.items():
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(text, encoding="utf-8")
+    monkeypatch.setattr(DataFrameReader, "load", lambda *_: pytest.fail("the driver lists no files"))
+    found = files.text_chunks(spark, f"file://{tmp_path}/r").collect()
+    assert sorted((r["doc_id"], r["file_name"], r["chunk_index"], r["content"]) for r in found) == [("a", "0001_text.txt", 0, "x"), ("b", "0000_table.txt", 0, "y"), ("r", "top.txt", 0, "é")]
