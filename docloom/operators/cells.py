@@ -20,6 +20,14 @@ from .storage import stored
 
 #: Cells at most, rows of the sample for each, rows and queries of a block, cells that a query looks into, rounds of the fit.
 CELLS, PER_CELL, BLOCK_ROWS, BLOCK_QUERIES, PROBES, ROUNDS = 4096, 64, 4096, 1024, 16, 12
+#: Scores that a task or the driver holds at a time: 8 MB as numbers of 8 bytes, for any number of cells.
+SCORES = 1 << 20
+
+
+def slices(n: int, width: int):
+    """Slices of n rows, each with SCORES numbers at most in a matrix of that width."""
+    step = max(1, SCORES // max(width, 1))
+    return (slice(at, at + step) for at in range(0, n, step))
 
 
 def unit(vectors, dim: int | None = None) -> np.ndarray:
@@ -46,8 +54,8 @@ def nearest(rows: DataFrame, queries: DataFrame, on: list[str], k: int, key: str
             m, keys = unit(mine[embedding]), mine[key].to_numpy()
             m = m if m.shape[1] else np.zeros((len(m), max((len(v) for v in asked["embedding"] if v is not None), default=0)))  # nulls alone
             place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
-            for first in range(0, len(asked), BLOCK_QUERIES):
-                some = asked.iloc[first : first + BLOCK_QUERIES]
+            for part in slices(len(asked), len(m)):
+                some = asked.iloc[part]
                 scores = np.round(unit(some["embedding"], m.shape[1]) @ m.T, 12)
                 least = np.partition(scores, -min(k, len(m)), axis=1)[:, -min(k, len(m))]
                 q, r = np.nonzero(scores >= least[:, None])  # ties of the last may be more than k
@@ -81,6 +89,16 @@ class Index:
     embedding: str
 
 
+def _best(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row and its cosine."""
+    own, best = np.zeros(len(rows), int), np.zeros(len(rows))
+    for part in slices(len(rows), len(centroids)):
+        score = rows[part] @ centroids.T
+        own[part] = score.argmax(axis=1)
+        best[part] = score.max(axis=1)
+    return own, best
+
+
 def fit(sample: np.ndarray, cells: int, seed: int = 0) -> np.ndarray:
     """Centroids of length one by k-means on the sphere; an empty cell starts again at the row that fits worst."""
     rng = np.random.default_rng(seed)
@@ -89,9 +107,8 @@ def fit(sample: np.ndarray, cells: int, seed: int = 0) -> np.ndarray:
         return np.zeros((0, sample.shape[1]))
     c = sample[rng.permutation(len(sample))[:cells]]
     for _ in range(ROUNDS):
-        score = sample @ c.T
-        own = score.argmax(axis=1)
-        worst = iter(np.argsort(score[np.arange(len(sample)), own]))
+        own, best = _best(sample, c)
+        worst = iter(np.argsort(best))
         sums = np.zeros_like(c)
         np.add.at(sums, own, sample)
         for j in np.flatnonzero(np.bincount(own, minlength=len(c)) == 0):
@@ -117,9 +134,9 @@ def build(rows: DataFrame, key: str = "vec_id", embedding: str = "embedding", ce
 
     def assign(frames):
         for f in frames:
-            score = _scores(f[embedding], shared.value)
-            own = score.argmax(axis=1)
-            f["cell"], f["fit"] = own.astype("int32"), score[np.arange(len(f)), own]
+            c = shared.value
+            own, best = _best(unit(f[embedding], c.shape[1]), c) if c.any() else (np.zeros(len(f), int), np.zeros(len(f)))
+            f["cell"], f["fit"] = own.astype("int32"), best
             yield f
 
     schema = rows.select(key, embedding).schema.add("cell", T.IntegerType()).add("fit", T.DoubleType())
@@ -149,7 +166,8 @@ def probed(index: Index, queries: DataFrame, probes: int, least: str | None = No
         centroids, radius = shared.value
         cells = np.array(sorted(radius), int)
         c, reach = centroids[cells], np.arccos(np.clip([radius[x] for x in cells], -1, 1))
-        for f in frames:
+        # A query may look into all cells, so that few queries are looked at, and given on, at a time.
+        for f in (f.iloc[part] for f in frames for part in slices(len(f), len(cells) * 16)):
             score = _scores(f["embedding"], c)
             order = np.argsort(-score, axis=1, kind="stable")
             q, rank = np.divmod(np.arange(order.size), max(len(cells), 1))

@@ -60,3 +60,29 @@ def test_edges(spark):
     nothing = cells.build(spark.createDataFrame([(1, None), (2, None)], kind))
     assert {(r["vec_id"], r["score"]) for r in cells.search(nothing, queries, 3, exact=True).collect()} == {(1, 0.0), (2, 0.0)}
     assert cells.tuned(cells.build(spark.createDataFrame([(1, [1.0, 2.0])], kind))) == 1
+
+
+def test_a_task_looks_at_few_queries_at_a_time():
+    import tracemalloc
+    from types import SimpleNamespace as Space
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    rng = np.random.default_rng(3)
+    sample = cells.unit(rng.normal(size=(20000, 8)))
+    tracemalloc.start()
+    centroids = cells.fit(sample, 400)
+    assert tracemalloc.get_traced_memory()[1] < 50e6  # 64 MB alone for the scores of all
+    fields = T.StructType([T.StructField("query", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    context = Space(broadcast=lambda x: Space(value=x))
+    queries = Space(sparkSession=Space(sparkContext=context), columns=["query", "embedding"], schema=fields, mapInPandas=lambda look, _: look)
+    index = Space(centroids=centroids, table=Space(collect=lambda: [{"cell": k, "radius": 0.5} for k in range(400)]))
+    look = cells.probed(index, queries, 400)
+    n, seen = 0, set()
+    tracemalloc.reset_peak()
+    for part in look([pd.DataFrame({"query": range(3000), "embedding": list(sample[:3000])})]):
+        assert len(part) <= cells.SCORES
+        n, seen = n + len(part), seen | set(part["query"])
+    assert n == 3000 * 400 and len(seen) == 3000 and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
