@@ -147,11 +147,14 @@ def spanned(
     )
 
     def drawn(many: pa.Array, heights: pa.Array, widths: pa.Array) -> pa.Array:
-        out = []
-        for found, rows, cols in zip(many.to_pylist(), heights.to_pylist(), widths.to_pylist()):
-            inside = [c for c in found if 1 <= c["row"] <= rows]
-            own = canvas.owners([(c["row"] - 1, min(c["col"], cols) - 1, c["down"], c["across"]) for c in inside], rows, cols)
-            out.append(canvas.draw(own, {k: c["text"].split("\n") for k, c in enumerate(inside)}, through) if inside else "")
+        out, at, flat = [], 0, many.flatten()
+        where = list(zip(*(flat.field(name).to_pylist() for name in ("row", "col", "down", "across"))))
+        texts = flat.field("text").to_pylist()
+        for n, rows, cols in zip(many.value_lengths().to_pylist(), heights.to_pylist(), widths.to_pylist()):
+            inside = [k for k in range(at, at + n) if 1 <= where[k][0] <= rows]
+            boxes = tuple((row - 1, min(col, cols) - 1, down, across) for row, col, down, across in map(where.__getitem__, inside))
+            out.append(canvas.draw_boxes(boxes, rows, cols, {k: texts[i].split("\n") for k, i in enumerate(inside)}, through) if inside else "")
+            at += n
         return pa.array(out, pa.string())
 
     return t.select(*table, F.arrow_udf(drawn, "string")("cells", "rows", "cols").alias("rendered"))

@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LINES = "(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos from lineitem)"
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with pos, the position of a line in its order, from 1."""
+def lines(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """lineitem, or rows that have its columns and all its lines, with pos, the position of a line in its order, from 1."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(w).cast("long"))
+    return (table(spark, sf_dir, "lineitem") if rows is None else rows).withColumn("pos", F.row_number().over(w).cast("long"))
 
 
 class Registry:

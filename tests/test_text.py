@@ -86,3 +86,18 @@ def test_plain_text(spark):
 
 def test_safe_double(spark):
     assert one(spark, T.safe_double, "1.5", "NaN", "Infinity", "x", None) == [1.5, None, None, None, None]
+
+
+def test_tables_of_the_same_boxes_share_their_layout():
+    import time
+
+    from docloom.functions import canvas
+
+    boxes, start = ((0, 0, 2, 1), (0, 1, 1, 2), (1, 1, 1, 1), (1, 2, 1, 1)), time.perf_counter()
+    for n in range(20000):
+        drawn = canvas.draw_boxes(boxes, 2, 3, {0: ["k1"], 1: [f"name {n}"], 2: ["a", "b"], 3: ["9"]})
+    assert time.perf_counter() - start < 6
+    want = ["+----+------------+", "| k1 | name 19999 |", "+    +------+-----+", "|    | a    | 9   |", "|    | b    |     |", "+----+------+-----+"]
+    assert drawn == "\n".join(want)
+    through = canvas.draw_boxes(boxes, 2, 3, {1: ["x"]}, through=True)
+    assert through == canvas.draw(canvas.owners(boxes, 2, 3), {1: ["x"]}, True) and through.split("\n")[2] == "+---+---+---+"
